@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parleyspark.llm import terms, threads
+from parleyspark.llm import leaks, lookalike, packing, terms, threads
+from parleyspark.plans.stage import Stage
 from parleyspark.sources.tables import table
 
 
@@ -29,6 +30,29 @@ def p7_terms(spark, root):
     return terms.mark_terms(table(spark, root, "entities"))
 
 
+def p8_packing(spark, root):
+    # the sizes are written, so that counting the items doesn't tokenise twice
+    return packing.pack(Stage(packing.token_counts(table(spark, root, "documents"))).df)
+
+
+def p9_found(spark, root):
+    found = leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return found.where(F.col("exact_words") >= leaks.SPAN).select("doc_id", "item_id").distinct()
+
+
+def p9_overlaps(spark, root):
+    found = leaks.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    return found.where((F.col("overlap_words") >= leaks.SPAN) & (F.col("equal_words") >= 0.75 * F.col("overlap_words")))
+
+
+def p10_found(spark, root):
+    return lookalike.look_alike_pairs(table(spark, root, "documents"))
+
+
+def p10_texts(spark, root):
+    return lookalike.canonical_rows(table(spark, root, "documents"))
+
+
 _TERMS = r"""e AS (SELECT lower(regexp_replace(entity, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS entity, type, message_uuid FROM entities WHERE message_uuid IS NOT NULL),
 t AS (SELECT * FROM e WHERE entity <> ''), total AS (SELECT count(DISTINCT message_uuid) AS n FROM t)"""
 _COUNTS = "c AS (SELECT entity, type, count(*) AS n_rows, count(DISTINCT message_uuid) AS n_records FROM t GROUP BY entity, type)"
@@ -37,7 +61,7 @@ _PAIRS = """d AS (SELECT DISTINCT entity, message_uuid FROM t), n1 AS (SELECT en
 ab AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n_ab FROM d a JOIN d b ON a.message_uuid = b.message_uuid AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 3),
 p AS (SELECT ab.*, x.n AS n_a, y.n AS n_b, total.n AS n_all FROM ab JOIN n1 x ON x.entity = entity_a JOIN n1 y ON y.entity = entity_b, total WHERE n_ab * total.n >= 3 * x.n * y.n)"""
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
 SQL = {
     "p3_found": r"""WITH RECURSIVE m AS (
   SELECT uuid AS id, conversation_uuid AS conv, created_at::TIMESTAMPTZ AS ts, CASE WHEN parent_message_uuid IN ('', '00000000-0000-4000-8000-000000000000') THEN NULL ELSE parent_message_uuid END AS parent,
