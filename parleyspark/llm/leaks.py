@@ -100,10 +100,12 @@ class Items:
             other = self.ids[i]
             lo, hi = max(0, d), min(len(ids), d + len(other))
             same = ids[lo:hi] == other[lo - d : hi - d]
-            edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
-            run = int((edge[1::2] - edge[::2]).max()) if len(edge) else 0
+            other_at = np.flatnonzero(~same)
+            gaps = np.diff(other_at, prepend=-1, append=len(same)) - 1
+            run = int(gaps.max())
             # best segment with +1 for an equal word and -2 for another one
-            s = np.r_[0, np.cumsum(np.where(same, 1, -2))]
+            s = np.zeros(len(same) + 1, np.int64)
+            np.cumsum(np.where(same, 1, -2), out=s[1:])
             low = np.minimum.accumulate(s)
             end = int(np.argmax(s - low))
             begin = int(np.flatnonzero(s[: end + 1] == low[end])[-1])

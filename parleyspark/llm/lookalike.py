@@ -14,8 +14,9 @@ Defined cases: NULL stays NULL, the empty text stays empty; applying it twice ch
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex
@@ -48,33 +49,49 @@ SUSPECT = r"[^\t-\r\x20-\x7E]"
 
 @cache
 def _tables() -> tuple:
+    """(unstable characters, their runs, widths, twins, ignorable), from the properties of all code points."""
     twins = CYRILLIC | GREEK
     width = {}
     for cp in [0x3000, *range(0xFF01, 0xFFE7)]:
         tag, _, rest = unicodedata.decomposition(chr(cp)).partition(" ")
         if tag in ("<wide>", "<narrow>"):
             width[cp] = "".join(chr(int(x, 16)) for x in rest.split())
-    gone = "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE + _CONTROLS)
+    gone = {chr(cp) for a, b in IGNORABLE + _CONTROLS for cp in range(a, b + 1)}
     # letters that hold a look-alike with an accent
-    composed = [chr(cp) for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in twins]
-    letters = "".join({*twins, *composed, *map(chr, width)})
-    unstable = rf"[\p{{NFC_QC=N}}\p{{NFC_QC=M}}\p{{M}}{gone}{regex.escape(letters)}   -   　]"
-    segment = regex.compile(rf"(?s:[^\x00-\x08\x0E-\x1F\x7F-\x9F])?{unstable}+")
-    drop = regex.compile(f"[{gone}]+")
-    return segment, drop, width, str.maketrans(twins), regex.compile(r"\p{Zs}")
-
-
-def _segment(m) -> str:
-    _, drop, width, twins, space = _tables()
-    s = unicodedata.normalize("NFD", drop.sub("", m[0]).translate(width))
-    return unicodedata.normalize("NFC", space.sub(" ", s.translate(twins)))
+    composed = {chr(cp) for a, b in ((0x370, 0x530), (0x1F00, 0x2000)) for cp in range(a, b) if unicodedata.normalize("NFD", chr(cp))[0] in twins}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    unstable = {*regex.findall(r"[\p{NFC_QC=N}\p{NFC_QC=M}\p{M}\p{Zs}]", every), *gone, *twins, *composed, *map(chr, width)} - {" "}
+    points, ranges = sorted(map(ord, unstable)), []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    runs = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
+    spaces = dict.fromkeys(map(ord, regex.findall(r"\p{Zs}", every)), " ")
+    return frozenset(unstable), runs, width | dict.fromkeys(map(ord, gone)), str.maketrans(twins) | spaces
+
+
+@lru_cache(100_000)
+def _segment(s: str) -> str:
+    _, _, first, then = _tables()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s.translate(first)).translate(then))
 
 
 def canonical(text: str | None) -> str | None:
     """The consistent form of one text."""
-    if text is None or (text.isascii() and text.isprintable()):
+    if not text:
+        return text
+    unstable, runs, _, _ = _tables()
+    if unstable.isdisjoint(set(text)):
         return text
-    return _tables()[0].sub(_segment, text)
+    out, done = [], 0
+    for m in runs.finditer(text):
+        at = max(done, m.start() - 1)
+        out += (text[done:at], _segment(text[at : m.end()]))
+        done = m.end()
+    out.append(text[done:])
+    return "".join(out)
 
 
 def _canonical_series(texts: pd.Series) -> pd.Series:
