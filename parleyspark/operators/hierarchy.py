@@ -24,23 +24,24 @@ def _parents(rows: DataFrame, id_col: str, parent_col: str, flag: str | None) ->
     return picked.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"), F.min("ok").alias("ok"))
 
 
-def point_at_roots(nodes: DataFrame, with_path: bool = False) -> DataFrame:
-    """Resolve (id BINARY unique, parent BINARY, ok BOOLEAN) to (id, root BINARY, depth BIGINT, ok BOOLEAN[, path]).
+def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False) -> DataFrame:
+    """Resolve (id unique, parent of the same type, ok BOOLEAN[, tag]) to (id, root, depth BIGINT, ok BOOLEAN[, path][, tag]).
 
     A parent that isn't an id makes a root. ``ok`` holds if it holds for the row and all its ancestors. Looping rows have
     root NULL and depth -1. ``path`` holds the ids from the root to the row, and only the row where it loops.
     """
     base = Stage(nodes)
     path = [F.array("id").alias("path")] if with_path else []
+    kept = ["tag"] if tag else []
     there = base.df.select(F.col("id").alias("p_id"), F.col("parent").isNotNull().alias("p_up"), F.col("ok").alias("p_ok"))
     n = base.df.where("parent is not null").join(there, F.col("parent") == F.col("p_id"), "left")
     # A row points at its parent; whether that is a root is known for sure only where it has no parent of its own.
     first = n.select(
         "id", F.coalesce("p_id", "id").alias("ptr"), F.when(F.col("p_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-        (F.col("p_id").isNull() | ~F.col("p_up")).alias("done"), "ok",
+        (F.col("p_id").isNull() | ~F.col("p_up")).alias("done"), (F.col("ok") & F.coalesce("p_ok", F.lit(True))).alias("ok"), *kept,
         *([F.when(F.col("p_id").isNull(), F.array("id")).otherwise(F.array("p_id", "id")).alias("path")] if with_path else []),
     )
-    roots = base.df.where("parent is null").select("id", F.col("id").alias("ptr"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done"), "ok", *path)
+    roots = base.df.where("parent is null").select("id", F.col("id").alias("ptr"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done"), "ok", *kept, *path)
     state = Stage(first.unionByName(roots))
     base.drop()
     left, finished = None, [state]
@@ -57,7 +58,7 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False) -> DataFrame:
         look = known.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("depth").alias("t_depth"), F.col("done").alias("t_done"), F.col("ok").alias("t_ok"), *([F.col("path").alias("t_path")] if with_path else []))
         small = now <= BROADCAST_ROWS and not with_path
         moved = look.join(F.broadcast(moving) if small else moving, F.col("ptr") == F.col("t_id")).select(
-            "id", F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_done").alias("done"), (F.col("ok") & F.col("t_ok")).alias("ok"),
+            "id", F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_done").alias("done"), (F.col("ok") & F.col("t_ok")).alias("ok"), *kept,
             *([F.concat("t_path", F.slice("path", 2, 2**30)).alias("path")] if with_path else []),
         )
         step = Stage(moved)
@@ -71,8 +72,8 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False) -> DataFrame:
     out = finished[0].df.where("done")
     for s in finished[1:]:
         out = out.unionByName(s.df.where("done"))
-    done = out.select("id", F.col("ptr").alias("root"), "depth", "ok", *(["path"] if with_path else []))
-    loops = open_.df.where("not done").select("id", F.lit(None).cast("binary").alias("root"), F.lit(-1).cast("bigint").alias("depth"), "ok", *path)
+    done = out.select("id", F.col("ptr").alias("root"), "depth", "ok", *kept, *(["path"] if with_path else []))
+    loops = open_.df.where("not done").select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("root"), F.lit(-1).cast("bigint").alias("depth"), "ok", *kept, *path)
     return done.unionByName(loops)
 
 
