@@ -55,26 +55,37 @@ def fold(log: DataFrame, op: str | None = None) -> DataFrame:
 
 
 def _linked(m: DataFrame) -> DataFrame:
-    """Messages on the threads of the conversations in which some message has a parent, and which are sound."""
-    latest = m.where("parent is not null").groupBy("conv", "parent").agg(F.max(F.struct("at", "id")).alias("best"))
-    favoured = latest.select("conv", F.col("parent").alias("b_parent"), F.col("best.id").alias("b_id"))
-    above = m.select(F.col("id").alias("a_id"), F.col("conv").alias("a_conv"), F.col("role").alias("a_role"))
-    up = m.join(above, (F.col("parent") == F.col("a_id")) & (F.col("conv") == F.col("a_conv")), "left").select(m["*"], "a_id", "a_role")
-    n = up.join(favoured, (up["parent"] == F.col("b_parent")) & (up["conv"] == favoured["conv"]), "left").select(
-        up["*"], (F.col("parent").isNull() | (F.col("b_id") == F.col("id"))).alias("ok"), (F.col("parent").isNotNull() & F.col("a_id").isNull()).alias("lost")
-    )
-    n = Stage(n).df
-    # ids made of conversation and message: the same uuid may stand in two conversations
-    node, parent = F.concat("conv", "id"), F.when(~F.col("lost"), F.concat("conv", "parent"))
-    walked = point_at_roots(n.select(node.alias("id"), parent.alias("parent"), "ok")).select(F.col("id").alias("node"), F.col("root").alias("r"), "depth", F.col("ok").alias("on"))
-    t = Stage(n.withColumn("node", node).join(walked, "node")).df
-    first = F.max(F.when(F.col("parent").isNull(), F.struct("at", "id"))).alias("first")
-    sound = t.groupBy("conv").agg(first, F.max(F.col("lost") | (F.col("depth") < 0)).alias("broken")).where("not broken and first is not null")
-    on = t.where("on and depth >= 0").join(sound.select("conv", F.concat("conv", "first.id").alias("start")), "conv").where("r = start")
-    wrong = (
-        F.col("role").isNull() | ~F.col("seen") | ((F.col("depth") == 0) & ~(F.col("role").eqNullSafe("human"))) | ((F.col("a_role") == "human") & ~(F.col("role").eqNullSafe("assistant")))
-    )
-    return on.select("conv", "id", "role", (F.col("depth") + 1).alias("turn"), F.coalesce(wrong, F.lit(False)).alias("wrong"))
+    """(no, root, depth, on, bits) of all numbered messages ``m``: 8-byte numbers are all that the joins move.
+
+    ``on``: the message and all above it are the latest child of their parent. ``lost``: its parent isn't in its conversation.
+    """
+    key = lambda c: F.unhex(F.md5(F.concat("conv", c)))  # noqa: E731  of fixed width 16
+    human = F.col("role").eqNullSafe("human")
+    own = F.col("role").isNull() | ~F.col("seen")
+    below = m.where("parent is not null").select(key("parent").alias("k"), "no", "at", "id", F.when(own, 2).when(F.col("role") == "assistant", 1).otherwise(0).cast("tinyint").alias("kind"))
+    above = m.select(key("id").alias("k2"), F.col("no").alias("up"), human.alias("after_human"))
+    links = below.join(above, F.col("k") == F.col("k2"), "left")
+    # wrong on a thread: no role or text, or a human message is followed by something else than an assistant message
+    wrong = (F.col("kind") == 2) | (F.coalesce("after_human", F.lit(False)) & (F.col("kind") != 1))
+    links = Stage(links.select("no", "up", F.struct("at", "id", "no").alias("when"), wrong.alias("wrong"))).df
+    best = links.where("up is not null").groupBy("up").agg(F.max("when").alias("w")).select(F.col("w.no").alias("no"), F.lit(True).alias("best"))
+    flagged = links.select("no", "up", "wrong").join(best, "no", "left")
+    starts = m.where("parent is null").select("no", F.lit(None).cast("bigint").alias("up"), (own | ~human).alias("wrong"), F.lit(True).alias("best"))
+    n = flagged.unionByName(starts).withColumn("bits", F.when(F.col("wrong"), 1).otherwise(0) + F.when(F.col("up").isNull() & ~F.col("best").eqNullSafe(True), 2).otherwise(0))
+    nodes = n.select(F.col("no").alias("id"), F.col("up").alias("parent"), F.col("best").eqNullSafe(True).alias("ok"), F.col("bits").cast("tinyint").alias("tag"))
+    return point_at_roots(nodes, tag=True)
+
+
+def _threads(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages on threads (conv, id, role, turn, wrong), and those of conversations without links."""
+    t = m.join(_linked(m).withColumnRenamed("id", "no"), "no")
+    t = Stage(t.select("conv", "id", "no", "at", "role", "seen", F.col("parent").isNotNull().alias("linked"), "root", "depth", F.col("ok").alias("on"), "tag")).df
+    first = F.max(F.when(~F.col("linked"), F.struct("at", "id", "no"))).alias("first")
+    heads = t.groupBy("conv").agg(first, F.max("linked").alias("tree"), F.max((F.col("tag") >= 2) | (F.col("depth") < 0)).alias("broken"))
+    heads = Stage(heads.where("not broken and first is not null").select("conv", F.col("first.no").alias("start"), "tree")).df
+    on = t.where("on and depth >= 0").join(heads.where("tree"), "conv").where("root = start")
+    flat = t.where("not linked").join(heads.where("not tree"), "conv", "left_semi")
+    return on.select("conv", "id", "role", (F.col("depth") + 1).alias("turn"), (F.col("tag") % 2 == 1).alias("wrong")), flat.select("conv", "id", "at", "role", "seen")
 
 
 def _flat(m: DataFrame) -> DataFrame:
@@ -97,10 +108,10 @@ def _flat(m: DataFrame) -> DataFrame:
 
 def rebuild(log: DataFrame, op: str | None = None) -> DataFrame:
     """(conversation_uuid, turn, message_uuid, role) of the conversations that are whole."""
-    m = Stage(fold(log, op)).df
-    linked = m.groupBy("conv").agg(F.max(F.col("parent").isNotNull()).alias("linked"))
-    m = m.join(linked, "conv")
-    threads = Stage(_linked(m.where("linked").drop("linked")).unionByName(_flat(m.where("not linked").drop("linked")))).df
+    # numbers by place in the written table: as stable as its files
+    m = Stage(Stage(fold(log, op)).df.withColumn("no", F.monotonically_increasing_id())).df
+    trees, flat = _threads(m)
+    threads = Stage(trees.unionByName(_flat(flat))).df
     # the last message must not be a human one: it has no reply
     kept = threads.groupBy("conv").agg(F.max("wrong").alias("wrong"), F.max_by("role", "turn").alias("last")).where("not wrong and last = 'assistant'")
     return threads.join(kept.select("conv"), "conv", "left_semi").select(unpack_key(F.col("conv")).alias("conversation_uuid"), "turn", unpack_key(F.col("id")).alias("message_uuid"), "role")
