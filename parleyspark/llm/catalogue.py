@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parleyspark.llm import leaks, lookalike, packing, terms, threads
+from parleyspark.llm import leaks, lookalike, neighbours, packing, terms, threads
 from parleyspark.plans.stage import Stage
 from parleyspark.sources.tables import table
 
@@ -13,6 +13,15 @@ def p3_found(spark, root):
     return threads.rebuild(table(spark, root, "messages"))
 
 
+def p4_found(spark, root):
+    t = neighbours.most_similar(table(spark, root, "conversation_embeddings"))
+    return t.select(F.least("uuid", "other").alias("uuid_a"), F.greatest("uuid", "other").alias("uuid_b")).distinct()
+
+
+def p4_neighbours(spark, root):
+    return neighbours.most_similar(table(spark, root, "conversation_embeddings"))
+
+
 def p6_found(spark, root):
     return terms.pairs(table(spark, root, "entities")).select("entity_a", "entity_b")
 
@@ -61,7 +70,7 @@ _PAIRS = """d AS (SELECT DISTINCT entity, message_uuid FROM t), n1 AS (SELECT en
 ab AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n_ab FROM d a JOIN d b ON a.message_uuid = b.message_uuid AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 3),
 p AS (SELECT ab.*, x.n AS n_a, y.n AS n_b, total.n AS n_all FROM ab JOIN n1 x ON x.entity = entity_a JOIN n1 y ON y.entity = entity_b, total WHERE n_ab * total.n >= 3 * x.n * y.n)"""
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
 SQL = {
     "p3_found": r"""WITH RECURSIVE m AS (
   SELECT uuid AS id, conversation_uuid AS conv, created_at::TIMESTAMPTZ AS ts, CASE WHEN parent_message_uuid IN ('', '00000000-0000-4000-8000-000000000000') THEN NULL ELSE parent_message_uuid END AS parent,
