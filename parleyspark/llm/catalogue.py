@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parleyspark.llm import leaks, lookalike, neighbours, packing, terms, threads
+from parleyspark.llm import leaks, lookalike, neighbours, packing, pii, terms, threads
 from parleyspark.plans.stage import Stage
 from parleyspark.sources.tables import table
 
 
+def p1_found(spark, root):
+    both = pii.find_pii(table(spark, root, "messages"), "uuid", "text", "messages").unionByName(pii.find_pii(table(spark, root, "content_blocks"), "id", "text_content", "content_blocks"))
+    return both.select("source_table", "row_key", "pii_type", "start_char")
+
+
+def p1_texts(spark, root):
+    m = table(spark, root, "messages").select(F.lit("messages").alias("source_table"), F.col("uuid").alias("row_key"), F.col("text"))
+    b = table(spark, root, "content_blocks").select(F.lit("content_blocks").alias("source_table"), F.col("id").cast("string").alias("row_key"), F.col("text_content").alias("text"))
+    return m.unionByName(b).withColumn("text", pii.redacted(F.col("text")))
+
+
 def p3_found(spark, root):
     return threads.rebuild(table(spark, root, "messages"))
 
@@ -70,7 +81,7 @@ _PAIRS = """d AS (SELECT DISTINCT entity, message_uuid FROM t), n1 AS (SELECT en
 ab AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n_ab FROM d a JOIN d b ON a.message_uuid = b.message_uuid AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 3),
 p AS (SELECT ab.*, x.n AS n_a, y.n AS n_b, total.n AS n_all FROM ab JOIN n1 x ON x.entity = entity_a JOIN n1 y ON y.entity = entity_b, total WHERE n_ab * total.n >= 3 * x.n * y.n)"""
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
 SQL = {
     "p3_found": r"""WITH RECURSIVE m AS (
   SELECT uuid AS id, conversation_uuid AS conv, created_at::TIMESTAMPTZ AS ts, CASE WHEN parent_message_uuid IN ('', '00000000-0000-4000-8000-000000000000') THEN NULL ELSE parent_message_uuid END AS parent,
