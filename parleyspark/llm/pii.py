@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,17 +154,14 @@ def redacted(c: Column) -> Column:
     """A text column with every piece of personal data replaced by the placeholder of its type; all else as it was."""
     crf = tagger()
 
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         given = texts.tolist()
         at = [i for i, t in enumerate(given) if t]
         for i, spans in zip(at, find([given[i] for i in at], crf), strict=True):
             if spans:
                 given[i] = redact_text(given[i], spans)
-        return type(texts)(given, index=texts.index, dtype=object)
+        return pd.Series(given, index=texts.index, dtype=object)
 
-    import pandas as pd
-
-    def series(texts: pd.Series) -> pd.Series:
-        return run(texts)
-
-    return F.pandas_udf(series, T.StringType())(c)
+    # the annotations are text under the future import; pandas_udf needs the types themselves
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.StringType())(c)
