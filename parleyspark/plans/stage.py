@@ -31,12 +31,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Stage:
-    """A table written once and read as often as needed; ``drop`` removes its files."""
+    """A table written once and read as often as needed; ``drop`` removes its files.
 
-    def __init__(self, df: DataFrame, compression: str = "zstd"):
+    ``dictionary=False`` is for arrays of floats: building dictionaries of them costs a hundred times the write itself.
+    """
+
+    def __init__(self, df: DataFrame, compression: str = "zstd", dictionary: bool = True):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/parleyspark-{uuid.uuid4().hex}"
-        df.write.option("compression", compression).parquet(self.path)
+        df.write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _written[self.path] = self.spark
 
