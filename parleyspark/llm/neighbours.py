@@ -209,7 +209,7 @@ def _one_model(v: DataFrame, dim: int, k: int) -> DataFrame:
             probes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(order[use].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(order[:, 0].astype(np.int32)), probes], names=["key", "v", "home", "probes"])
 
-    routed = Stage(v.select("key", "v").mapInArrow(route, "key binary, v array<float>, home int, probes array<int>")).df
+    routed = Stage(v.select("key", "v").mapInArrow(route, "key binary, v array<float>, home int, probes array<int>"), dictionary=False).df
     # sizes of the parts: at most SAMPLE / PART_ROWS rows
     stored = routed.groupBy(F.col("home").alias("part")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_b"))
     asked = routed.select(F.explode("probes").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_q"))
@@ -227,7 +227,7 @@ def _one_model(v: DataFrame, dim: int, k: int) -> DataFrame:
 
 def most_similar(rows: DataFrame, k: int = K, models: dict[str, int] = MODELS) -> DataFrame:
     """(uuid, other, model, rank, similarity): the k most similar others of every vector."""
-    v = Stage(usable(rows, models)).df
+    v = Stage(usable(rows, models), dictionary=False).df
     out = None
     for model, dim in models.items():
         one = _one_model(v.where(F.col("model") == model), dim, k).withColumn("model", F.lit(model))
