@@ -41,10 +41,11 @@ MODELS = {"embed-lite-64": 64, "embed-mini-32": 32}
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row of unit vectors, (n, k)."""
     out = np.empty((len(x), k), np.int64)
-    for i in range(0, len(x), 1000):
-        s = x[i : i + 1000] @ x.T
+    x = x.astype(np.float32)
+    for i in range(0, len(x), 256):
+        s = x[i : i + 256] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out[i : i + 1000] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[i : i + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
