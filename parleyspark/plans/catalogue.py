@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parleyspark.plans import hierarchy_queries, nested_queries
+from parleyspark.plans import archive_queries, hierarchy_queries, nested_queries
 
-_MODULES = [hierarchy_queries, nested_queries]
+_MODULES = [hierarchy_queries, nested_queries, archive_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

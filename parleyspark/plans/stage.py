@@ -64,3 +64,9 @@ def _clean() -> None:
         except Exception:  # the session may have ended
             pass
     _written.clear()
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan over all cores, where it has fewer than half as many files; larger inputs stay where they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if len(scan.inputFiles()) * 2 <= cores else scan
