@@ -159,6 +159,14 @@ class Query:
         """Occurrences of each unit in the tokens of a text."""
         return [len(self._places(u, words)) for u in self.units]
 
+    def ranked(self, words: list[str], counts: list[int]) -> list[int]:
+        """The occurrences that count for the rank: of members of NEAR only those close to the others."""
+        out = list(counts)
+        for near in self.near:
+            for u, places in zip(near[0], self._close(near, words)):
+                out[u] = len(places)
+        return out
+
     @staticmethod
     def _places(u: Unit, words: list[str]) -> list[int]:
         n = len(u.words)
@@ -177,28 +185,43 @@ class Query:
                 out.append(i)
         return out
 
-    def _close(self, near: tuple, words: list[str]) -> bool:
+    def _close(self, near: tuple, words: list[str]) -> list[set[int]]:
+        """The places of each member that lie close enough to places of all others; empty sets where there are none.
+
+        A sweep: all members stand at a place; those too far behind the foremost move on; when none is, the places count
+        together, and the member whose next place comes first moves on.
+        """
         members, distance = near
         places = [self._places(self.units[u], words) for u in members]
+        close: list[set[int]] = [set() for _ in members]
         if not all(places):
-            return False
-        # some choice of places, one for each member, with at most ``distance`` tokens between its ends
-        events = sorted((p, k, p + len(self.units[members[k]].words) - 1) for k, ps in enumerate(places) for p in ps)
-        latest: dict[int, tuple[int, int]] = {}
-        for p, k, end in events:
-            latest[k] = (p, end)
-            if len(latest) == len(members):
-                first_end = min(e for _, e in latest.values())
-                if p - first_end - 1 <= distance:
-                    return True
-        return False
+            return close
+        at = [0] * len(members)
+        width = [len(self.units[u].words) for u in members]
+        while True:
+            front = max(p[i] for p, i in zip(places, at))
+            behind = [k for k, (p, i) in enumerate(zip(places, at)) if p[i] < front - width[k] - distance]
+            for k in behind:
+                while at[k] < len(places[k]) and places[k][at[k]] < front - width[k] - distance:
+                    at[k] += 1
+                if at[k] == len(places[k]):
+                    return close
+            if behind:
+                continue
+            for k, i in enumerate(at):
+                close[k].add(places[k][i])
+            nxt = [p[i + 1] if i + 1 < len(p) else len(words) for p, i in zip(places, at)]
+            k = nxt.index(min(nxt))
+            at[k] += 1
+            if at[k] == len(places[k]):
+                return close
 
     def matches(self, words: list[str], counts: list[int]) -> bool:
         def run(t) -> bool:
             if t[0] == "unit":
                 return counts[t[1]] > 0
             if t[0] == "near":
-                return self._close(self.near[t[1]], words)
+                return any(self._close(self.near[t[1]], words))
             if t[0] == "and":
                 return run(t[1]) and run(t[2])
             if t[0] == "or":
@@ -215,16 +238,16 @@ def score(hits: DataFrame, query: str, id_col: str, text_col: str, stemmed: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, counts, ok = [], [], []
+            length, counts, there, ok = [], [], [], []
             for t in b.column(1).to_pylist():
                 ws = tokens(t, stemmed)
                 c = q.counts(ws)
-                length.append(len(ws)), counts.append(c), ok.append(q.matches(ws, c))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(ok)], names=["id", "dl", "tf", "ok"])
+                length.append(len(ws)), counts.append(q.ranked(ws, c)), there.append([x > 0 for x in c]), ok.append(q.matches(ws, c))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(there, pa.list_(pa.bool_())), pa.array(ok)], names=["id", "dl", "tf", "there", "ok"])
 
-    t = Stage(hits.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id string, dl bigint, tf array<bigint>, ok boolean")).df
+    t = Stage(hits.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id string, dl bigint, tf array<bigint>, there array<boolean>, ok boolean")).df
     # one row
-    s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"n{i}") for i in range(units)]).first()
+    s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("there")[i]).alias(f"n{i}") for i in range(units)]).first()
     n, avgdl = s["n"], s["avgdl"] or 1.0
     rank = F.lit(0.0)
     for i in sorted(set(range(units)) - q.absent):
