@@ -148,7 +148,10 @@ def usable(rows: DataFrame, models: dict[str, int] = MODELS) -> DataFrame:
     last = rows.where("uuid is not null").groupBy(pack_key(F.col("uuid")).alias("key")).agg(version).select("key", "last.model", "last.v")
     length = F.create_map(*[F.lit(x) for kv in models.items() for x in kv])[F.col("model")]
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return last.where((F.size("v") == length) & ~bad & F.exists("v", lambda x: x != 0)).select("key", "model", F.col("v").cast("array<float>").alias("v"))
+    peak = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    # only numbers that a FLOAT can't hold are scaled; directions stay
+    scaled = F.when((peak > 1e30) | (peak < 1e-30), F.transform("v", lambda x: x / peak)).otherwise(F.col("v"))
+    return last.where((F.size("v") == length) & ~bad & F.exists("v", lambda x: x != 0)).select("key", "model", scaled.cast("array<float>").alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
