@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from parleyspark.functions.keys import pack_key, unpack_key
 from parleyspark.plans.stage import Stage
 
-#: Rows that still wander are broadcast only below this number of rows of at most about 100 bytes each (path-free mode).
-BROADCAST_ROWS = 40_000
+#: Rows that still wander are broadcast only while their measured size, with 60 bytes a row for the rest, is at most this.
+BROADCAST_BYTES = 4_000_000
 
 
 def _parents(rows: DataFrame, id_col: str, parent_col: str, flag: str | None) -> DataFrame:
@@ -48,15 +48,19 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False)
     # ``finished`` holds the written tables of which each has the final rows of one round; ``open_`` the rows still moving.
     open_ = state
     known = state.df
+    packed = nodes.schema["id"].dataType.simpleString() in ("binary", "string")
+    width = F.lit(60) + (F.octet_length("id") + F.octet_length("ptr") if packed else F.lit(16))
+    if with_path:
+        width = width + F.aggregate("path", F.lit(0), lambda n, x: n + 16 + (F.octet_length(x) if packed else F.lit(8)))
     while True:
         moving = open_.df.where("not done")
-        now = moving.count()
+        now, size = moving.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
         if not now or now == left:
             break
         left = now
         # what a pointer leads to: one row for each id, in its latest state
         look = known.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("depth").alias("t_depth"), F.col("done").alias("t_done"), F.col("ok").alias("t_ok"), *([F.col("path").alias("t_path")] if with_path else []))
-        small = now <= BROADCAST_ROWS and not with_path
+        small = size <= BROADCAST_BYTES
         moved = look.join(F.broadcast(moving) if small else moving, F.col("ptr") == F.col("t_id")).select(
             "id", F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_done").alias("done"), (F.col("ok") & F.col("t_ok")).alias("ok"), *kept,
             *([F.concat("t_path", F.slice("path", 2, 2**30)).alias("path")] if with_path else []),
