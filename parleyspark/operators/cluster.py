@@ -201,3 +201,22 @@ def categorize(a, k: int | None = None, top: int = 64) -> DataFrame:
     got = k_means(x, columns, k) if k else auto_k(x, columns, list(range(5, 16)))[1]
     got = Stage(got.select("uuid", "cluster").join(t, "uuid").select("cluster", "uuid", "title", "tools")).df
     return got.select("uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster")
+
+
+def community(n: DataFrame, which: int) -> DataFrame:
+    """The members of a community, the most connected first when shown."""
+    return n.where(F.col("community_id") == which).select("id", "label", "node_type", "entity_type", "degree")
+
+
+def categorize_vectors(a, vectors: DataFrame, k: int = 8, model: str = "embed-lite-64", length: int = 64) -> DataFrame:
+    """(uuid, cluster, label) by given vectors of conversations, with the tool flags at a tenth of their weight."""
+    good = vectors.where((F.col("model") == model) & (F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    v = good.groupBy("uuid").agg(F.max_by("embedding", F.col("created_at").try_cast("timestamp")).alias("v"))
+    t = Stage(conversation_texts(a)).df
+    flags = tool_flags(t)
+    names = [c for c in flags.columns if c != "uuid"]
+    x = v.join(flags, "uuid").select("uuid", *[F.col("v")[i].alias(f"v{i}") for i in range(length)], *[(F.col(c) * 0.1).alias(c) for c in names])
+    x = Stage(x, dictionary=False).df
+    got = k_means(x, [c for c in x.columns if c != "uuid"], k).select("uuid", "cluster")
+    got = Stage(got.join(t, "uuid").select("cluster", "uuid", "title", "tools")).df
+    return got.select("uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster")

@@ -62,3 +62,21 @@ def layout(n: DataFrame, e: DataFrame, max_nodes: int = 200, rounds: int = 200,
         length = np.maximum(np.sqrt((move**2).sum(1)), 1e-9)
         p += move / length[:, None] * np.minimum(length, 0.1 * (1 - r / rounds))[:, None]
     return n.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "x": p[:, 0], "y": p[:, 1]}), "id string, x double, y double")
+
+
+def filter_nodes(n: DataFrame, types: list[str] | None = None, community: int | None = None, min_degree: int = 0, max_nodes: int | None = None) -> DataFrame:
+    """Nodes of some types, of a community, of a degree; the most connected of them."""
+    t = n.where(F.col("degree") >= min_degree)
+    if types:
+        t = t.where(F.coalesce("entity_type", "node_type").isin(types))
+    if community is not None:
+        t = t.where(F.col("community_id") == community)
+    return t.orderBy(F.desc("degree"), "id").limit(max_nodes) if max_nodes else t
+
+
+def filter_view(n: DataFrame, e: DataFrame, hidden: list[str], min_degree: int, min_weight: float, text: str = "") -> tuple[DataFrame, DataFrame]:
+    """What stays of a picture: nodes by type, degree and label, and edges between them by weight."""
+    t = n.where(~F.coalesce("entity_type", "node_type").isin(hidden) & (F.col("degree") >= min_degree) & F.lower("label").contains(text.lower()))
+    ids = t.select("id")
+    inner = e.where(F.col("weight") >= min_weight).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    return t, inner

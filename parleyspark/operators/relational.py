@@ -240,3 +240,18 @@ def projects(a: Archive) -> DataFrame:
 def conversation_url(c: Column, base: str = "https://example.org") -> Column:
     """Sessions live under /code/, all else under /chat/."""
     return F.when(c.startswith("session_"), F.concat(F.lit(f"{base}/code/"), c)).otherwise(F.concat(F.lit(f"{base}/chat/"), c))
+
+
+def random_sample(a: Archive, n: int = 100, seed: str = "7") -> DataFrame:
+    """n messages at random, the same for the same seed: the first by a hash of uuid and seed."""
+    return a.messages.select("uuid", "conversation_uuid", "sender", "text").orderBy(F.md5(F.concat("uuid", F.lit(seed))), "uuid").limit(n)
+
+
+def without_profile(conversations: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The work-list of an incremental run: conversations that have no profile yet."""
+    return conversations.join(profiles.select(F.col("conversation_uuid").alias("uuid")), "uuid", "left_anti")
+
+
+def optional(df: DataFrame, column: str, kind: str = "string") -> Column:
+    """A column that older tables may lack, NULL where they do."""
+    return F.col(column) if column in df.columns else F.lit(None).cast(kind)

@@ -28,6 +28,9 @@ QUERIES = {
     "attachments": _q(rel.attachments),
     "artifacts": _q(rel.artifacts),
     "file_manifest": _q(rel.file_manifest),
+    "manifest_counts": _q(lambda a: rel.file_manifest(a).groupBy("category", "folder").agg(F.count("*").alias("n_files"))),
+    "random_sample": _q(rel.random_sample),
+    "profile_worklist": _q(lambda a: rel.without_profile(a.conversations, a.conversations.where("uuid < '8'").select(F.col("uuid").alias("conversation_uuid"))).select("uuid")),
     "search_tool": _q(lambda a: rel.search_tool(a, "bash")),
     "search_tool_grouped": _q(lambda a: rel.search_tool_grouped(a, "bash")),
     "search_by_entity": _q(lambda a: rel.search_entity(a, "api", "topic").drop("created")),
@@ -77,6 +80,15 @@ _PROFILES = (
     "  FROM structure LEFT JOIN scored USING (conversation_uuid) LEFT JOIN lg USING (conversation_uuid))"
 )
 _ATT = """att AS (SELECT *, from_json(CASE WHEN json_valid(attachments) THEN attachments ELSE '[]' END, '[{"file_name":"VARCHAR","file_type":"VARCHAR","file_size":"BIGINT","extracted_content":"VARCHAR"}]') AS xs FROM m WHERE attachments IS NOT NULL AND attachments NOT IN ('', '[]'))"""
+_FILE_ROWS = [
+    "u AS (SELECT conversation_uuid, uuid, sender, created, substring(created_at, 1, 10) AS date, unnest(xs).file_name AS file_name FROM att)",
+    "f AS (SELECT * FROM u WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conversation_uuid, file_name ORDER BY created NULLS FIRST, uuid) = 1)",
+]
+_FILES = (
+    "SELECT conversation_uuid, file_name, CASE WHEN sender = 'assistant' THEN 'generated' WHEN lower(string_split(file_name, '.')[-1]) IN ('pdf', 'doc', 'docx', 'txt', 'md', 'xlsx', 'csv', 'json', 'xml') THEN 'sources' ELSE 'photos' END AS category,"
+    " CASE WHEN lower(file_name) LIKE 'page\\_%' ESCAPE '\\' THEN 'v01' WHEN lower(file_name) LIKE 'v2\\_%' ESCAPE '\\' THEN 'v02' WHEN lower(file_name) LIKE 'v3\\_%' ESCAPE '\\' THEN 'v03' WHEN lower(file_name) LIKE 'v4\\_%' ESCAPE '\\' THEN 'v04' ELSE 'v05-latest' END AS folder,"
+    " date, row_number() OVER (PARTITION BY conversation_uuid, date ORDER BY created NULLS FIRST, uuid, file_name) AS sequence FROM f"
+)
 _HITS = """top AS (SELECT conversation_uuid, string_agg(hit, ',' ORDER BY r) AS hits, max(n) AS hit_count FROM (
   SELECT *, row_number() OVER (PARTITION BY conversation_uuid ORDER BY created DESC NULLS LAST, hit) AS r, count(*) OVER (PARTITION BY conversation_uuid) AS n FROM h) WHERE r <= 3 GROUP BY 1)"""
 
@@ -106,12 +118,11 @@ SQL = {
     "attachment_search": _with("x AS (SELECT *, row_number() OVER (PARTITION BY conversation_uuid ORDER BY created NULLS FIRST, uuid) AS r FROM m WHERE attachments NOT IN ('', '[]') AND contains(lower(attachments), 'session'))") + "SELECT uuid, conversation_uuid, created_at FROM x WHERE r <= 3",
     "attachments": _with(_ATT, "u AS (SELECT uuid, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM att)") + "SELECT uuid AS message_uuid, i + 1 AS place, x.file_name, x.file_type, x.file_size, substring(x.extracted_content, 1, 2000) AS content FROM u WHERE x.extracted_content <> ''",
     "artifacts": _with() + "SELECT id, message_uuid, coalesce(nullif(tool_input ->> '$.title', ''), 'Untitled') AS title, substring(tool_input ->> '$.content', 1, 3000) AS content FROM b WHERE block_type = 'tool_use' AND tool_name = 'artifacts' AND json_valid(tool_input) AND tool_input ->> '$.command' = 'create' AND tool_input ->> '$.content' <> ''",
-    "file_manifest": _with(
-        _ATT, "u AS (SELECT conversation_uuid, uuid, sender, created, substring(created_at, 1, 10) AS date, unnest(xs).file_name AS file_name FROM att)", "f AS (SELECT * FROM u WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conversation_uuid, file_name ORDER BY created NULLS FIRST, uuid) = 1)"
-    )
-    + "SELECT conversation_uuid, file_name, CASE WHEN sender = 'assistant' THEN 'generated' WHEN lower(string_split(file_name, '.')[-1]) IN ('pdf', 'doc', 'docx', 'txt', 'md', 'xlsx', 'csv', 'json', 'xml') THEN 'sources' ELSE 'photos' END AS category,"
-    " CASE WHEN lower(file_name) LIKE 'page\\_%' ESCAPE '\\' THEN 'v01' WHEN lower(file_name) LIKE 'v2\\_%' ESCAPE '\\' THEN 'v02' WHEN lower(file_name) LIKE 'v3\\_%' ESCAPE '\\' THEN 'v03' WHEN lower(file_name) LIKE 'v4\\_%' ESCAPE '\\' THEN 'v04' ELSE 'v05-latest' END AS folder,"
-    " date, row_number() OVER (PARTITION BY conversation_uuid, date ORDER BY created NULLS FIRST, uuid, file_name) AS sequence FROM f",
+    "file_manifest": _with(_ATT, *_FILE_ROWS)
+    + _FILES,
+    "manifest_counts": _with(_ATT, *_FILE_ROWS, f"x AS ({_FILES})") + "SELECT category, folder, count(*) AS n_files FROM x GROUP BY 1, 2",
+    "random_sample": _with() + "SELECT uuid, conversation_uuid, sender, text FROM m ORDER BY md5(uuid || '7'), uuid LIMIT 100",
+    "profile_worklist": _with() + "SELECT uuid FROM c WHERE uuid >= '8'",
     "search_tool": _with() + "SELECT b.id, b.message_uuid, b.conversation_uuid, c.name, b.block_type FROM b JOIN c ON c.uuid = b.conversation_uuid WHERE tool_name = 'bash' AND block_type IN ('tool_use', 'tool_result') AND message_uuid IN (SELECT uuid FROM m)",
     "search_tool_grouped": _with("h AS (SELECT b.conversation_uuid, b.id::VARCHAR AS hit, m.created FROM b JOIN c ON c.uuid = b.conversation_uuid JOIN m ON m.uuid = b.message_uuid WHERE tool_name = 'bash' AND block_type IN ('tool_use', 'tool_result'))", _HITS) + "SELECT * FROM top",
     "search_by_entity": _with() + "SELECT e.entity, e.type, e.message_uuid, e.conversation_uuid, c.name, m.sender, m.created_at FROM e JOIN m ON m.uuid = e.message_uuid JOIN c ON c.uuid = e.conversation_uuid WHERE entity = 'api' AND type = 'topic'",

@@ -118,6 +118,12 @@ QUERIES = {
     "force_layout": _graph(lambda a, n, e: ex.layout(ex.select_nodes(n), e)),
     "rendered_messages": _q(render.sections),
     "rendered_tools": _q(render.tool_sections),
+    "community_members": _graph(lambda a, n, e: cl.community(n, 3), community=True),
+    "export_filtered_nodes": _graph(lambda a, n, e: ex.filter_nodes(n, ["topic", "tool"], 3, 2).select("id", "degree"), community=True),
+    "viewer_nodes": _graph(lambda a, n, e: ex.filter_view(n, e, ["uuid", "url"], 2, 2.0, "a")[0].select("id", "degree")),
+    "viewer_edges": _graph(lambda a, n, e: ex.filter_view(n, e, ["uuid", "url"], 2, 2.0, "a")[1].select("source_id", "target_id", "relation", "weight")),
+    "categorize_vectors": _q(lambda a: cl.categorize_vectors(a, a.raw("conversation_embeddings"))),
+    "most_diverse_tools": _q(lambda a: g.tool_metadata(a).where("tool_count > 0").orderBy(F.desc("tool_count"), "conversation_uuid").limit(10)),
     "upsert_latest": _q(_upserted),
     "upsert_ignore": _q(_ignored),
     "accumulating_upsert": _q(_accumulated),
@@ -183,6 +189,7 @@ def _has(parts: list[str]) -> str:
 
 
 _FLAGS = ", ".join(f"{_has(v)} AS tool_{k}" for k, v in TOOL_CATEGORIES.items())
+_VIEW = "vn AS (SELECT * FROM nd WHERE coalesce(entity_type, node_type) NOT IN ('uuid', 'url') AND degree >= 2 AND contains(lower(label), 'a'))"
 _ORDER = "direction DESC, weight DESC, id, relation"
 
 SQL = {
@@ -252,6 +259,11 @@ SQL = {
     "rendered_tools": _with()
     + "SELECT id, message_uuid, CASE WHEN block_type = 'tool_use' THEN '[tool_use:' || coalesce(tool_name, '') || '] ' || CASE WHEN length(coalesce(tool_input, '')) > 300 THEN substring(tool_input, 1, 300) || '…' ELSE coalesce(tool_input, '') END"
     " ELSE '[tool_result] ' || CASE WHEN length(coalesce(text_content, '')) > 600 THEN substring(text_content, 1, 600) || '…' ELSE coalesce(text_content, '') END END AS line FROM b WHERE block_type IN ('tool_use', 'tool_result')",
+    "community_members": _with(_NODES) + "SELECT id, label, node_type, entity_type, degree FROM nd WHERE community_id = 3",
+    "export_filtered_nodes": _with(_NODES) + "SELECT id, degree FROM nd WHERE community_id = 3 AND degree >= 2 AND coalesce(entity_type, node_type) IN ('topic', 'tool')",
+    "viewer_nodes": _with(_NODES, _VIEW) + "SELECT id, degree FROM vn",
+    "viewer_edges": _with(_NODES, _VIEW) + "SELECT source_id, target_id, relation, weight FROM ge WHERE weight >= 2 AND source_id IN (SELECT id FROM vn) AND target_id IN (SELECT id FROM vn)",
+    "most_diverse_tools": _with(f"t AS (SELECT conversation_uuid, count(*) AS tool_count, list_sort(list(DISTINCT tool_name)) AS names FROM b WHERE {_TOOL} GROUP BY 1)") + "SELECT conversation_uuid, tool_count, len(names) AS distinct_tools, to_json(names)::VARCHAR AS tool_names FROM t WHERE conversation_uuid IN (SELECT uuid FROM c) ORDER BY tool_count DESC, conversation_uuid LIMIT 10",
     "upsert_latest": _with() + "SELECT uuid, name || CASE WHEN uuid < '8' THEN ' (new)' ELSE '' END AS name, fetched_at FROM p",
     "upsert_ignore": _with() + "SELECT uuid, name, fetched_at FROM p UNION ALL SELECT upper(uuid), name, fetched_at FROM projects WHERE upper(uuid) <> uuid",
     "accumulating_upsert": _with() + "SELECT entity, count(*) AS weight FROM e WHERE type IS NOT NULL GROUP BY 1",

@@ -122,3 +122,50 @@ def readout(events: DataFrame) -> DataFrame:
     kinds = events.groupBy(F.lit("type").alias("kind"), F.col("type").alias("value")).agg(F.count("*").alias("n"))
     tools = events.select(F.explode(F.try_variant_get("content", "$", "array<variant>")).alias("b")).where(_s("b", "$.type") == "tool_use").groupBy(F.lit("tool").alias("kind"), _s("b", "$.name").alias("value")).agg(F.count("*").alias("n"))
     return kinds.unionByName(tools)
+
+
+def find_sessions(spark: SparkSession, path: str, name: str = "") -> DataFrame:
+    """(session, project, file) of the logs below a folder whose name begins with ``name``; ``session_`` before it is ignored."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path).select(F.col("path").alias("file"))
+    t = t.select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("session"), F.regexp_extract("file", r"([^/]+)/[^/]+\.jsonl$", 1).alias("folder"), "file")
+    project = F.regexp_replace(F.regexp_replace("folder", "--", "/"), "^-", "/")
+    return t.where(F.col("session").startswith(name.removeprefix("session_"))).select("session", project.alias("project"), "file")
+
+
+def linear_sessions(entries: DataFrame, tools: bool = False, thinking: bool = False, limit: int | None = None) -> DataFrame:
+    """(session, place, uuid, role, text): each session from its first root on to the latest child; all entries in their
+    order where that covers less than half of more than two. Tool calls and thoughts stand in the text if asked for."""
+    from parleyspark.functions.keys import pack_key
+    from parleyspark.operators.hierarchy import point_at_roots
+    from parleyspark.plans.stage import Stage
+
+    def shown(b: Column) -> Column:
+        kind = _s(b, "$.type")
+        out = F.when(kind == "text", _s(b, "$.text"))
+        if thinking:
+            out = out.when(kind == "thinking", _s(b, "$.thinking"))
+        if tools:
+            out = out.when(kind == "tool_use", F.concat(F.lit("[tool_use:"), F.coalesce(_s(b, "$.name"), F.lit("")), F.lit("]")))
+        return out
+
+    parts = F.array_join(F.filter(F.transform(F.try_variant_get("content", "$", "array<variant>"), shown), lambda x: x.isNotNull() & (x != "")), "\n\n")
+    text = F.coalesce(F.when(F.schema_of_variant("content").startswith("STRING"), _s("content", "$")), parts, F.lit(""))
+    e = entries.where("uuid is not null").select("session", "line", "uuid", "parent_uuid", F.col("type").alias("role"), text.alias("text"))
+    e = Stage(e.withColumn("id", pack_key(F.concat_ws("/", "session", "uuid"))).withColumn("up", F.when(F.col("parent_uuid").isNotNull(), pack_key(F.concat_ws("/", "session", "parent_uuid")))).dropDuplicates(["id"])).df
+    best = e.where("up is not null").groupBy("up").agg(F.max(F.struct("line", "id")).alias("b")).select(F.col("b.id").alias("id"), F.lit(True).alias("best"))
+    walked = point_at_roots(e.join(best, "id", "left").select("id", F.col("up").alias("parent"), (F.col("up").isNull() | F.col("best").eqNullSafe(True)).alias("ok")))
+    first = e.where("up is null").groupBy("session").agg(F.min(F.struct("line", "id")).alias("f")).select("session", F.col("f.id").alias("start"))
+    t = e.join(walked, "id").join(first, "session", "left").withColumn("on", F.coalesce(F.col("ok") & (F.col("root") == F.col("start")), F.lit(False)))
+    share = t.groupBy("session").agg(F.count_if("on").alias("n_on"), F.count("*").alias("n"))
+    t = t.join(share.select("session", ((F.col("n") <= 2) | (2 * F.col("n_on") >= F.col("n"))).alias("tree")), "session").where("on or not tree")
+    order = F.when(F.col("tree"), F.col("depth")).otherwise(F.col("line"))
+    t = t.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(order, "line")))
+    return (t.where(F.col("place") <= limit) if limit else t).select("session", "place", "uuid", "role", "text")
+
+
+def session_summary(entries: DataFrame) -> DataFrame:
+    """(session, n_prompts, first_reply, last_reply): prompts of people, not those made by machines, and the answers at both ends."""
+    e = entries.withColumn("text", content_text(F.col("content"), F.col("type")))
+    real = (F.col("type") == "user") & (F.trim("text") != "") & ~F.col("text").contains("<task-notification>") & ~F.col("text").startswith("Tool loaded")
+    said = (F.col("type") == "assistant") & (F.col("text") != "")
+    return e.groupBy("session").agg(F.count_if(real).alias("n_prompts"), F.min_by("text", F.when(said, F.col("line"))).alias("first_reply"), F.max_by("text", F.when(said, F.col("line"))).alias("last_reply"))

@@ -85,3 +85,20 @@ def test_communities_and_paths(spark):
 def test_silhouette(spark):
     df = spark.createDataFrame([(0, 0.0), (0, 0.1), (1, 9.0), (1, 9.1)], "cluster int, x double")
     assert silhouette(df, ["x"]) > 0.97
+
+
+def test_linear_sessions(spark, tmp_path):
+    (tmp_path / "-w--x").mkdir()
+    def line(u, p, kind, content, **more):
+        return json.dumps({"type": kind, "uuid": u, "parentUuid": p, "message": {"content": content}, **more})
+
+    rows = [line("1", None, "user", "ask"), line("2", "1", "assistant", [{"type": "thinking", "thinking": "t"}, {"type": "text", "text": "old"}]), line("3", "1", "assistant", [{"type": "text", "text": "new"}, {"type": "tool_use", "name": "bash"}]), line("4", "3", "user", "<task-notification> x")]
+    (tmp_path / "-w--x" / "abc.jsonl").write_text("\n".join(rows))
+    (tmp_path / "-w--x" / "abd.jsonl").write_text("\n".join([line("1", None, "user", "a"), line("2", "gone", "user", "b"), line("3", "2", "assistant", "c"), line("4", "4", "user", "d"), line("5", "3", "user", "e")]))
+    e = exports.read_sessions(spark, str(tmp_path))
+    got = {s: [(r["uuid"], r["text"]) for r in exports.linear_sessions(e, tools=True).where(f"session = '{s}'").orderBy("place").collect()] for s in ("abc", "abd")}
+    assert got["abc"] == [("1", "ask"), ("3", "new\n\n[tool_use:bash]"), ("4", "<task-notification> x")]
+    assert [u for u, _ in got["abd"]] == ["1", "2", "3", "4", "5"]
+    s = {r["session"]: tuple(r)[1:] for r in exports.session_summary(e).collect()}
+    assert s["abc"] == (1, "old", "new") and s["abd"][0] == 4
+    assert [(r["session"], r["project"]) for r in exports.find_sessions(spark, str(tmp_path), "session_abc").collect()] == [("abc", "/w/x")]
