@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parleyspark.llm.crf import _GAP, Crf
-from parleyspark.llm.pii_table import TYPES, labelled
+from parleyspark.llm.pii_table import GIVEN, TYPES, labelled
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 #: Characters tagged together in a worker.
@@ -33,6 +33,9 @@ _AT = re.compile(r"\s*(?:@|[\[(]\s*at\s*[\])]|\bat\b)\s*", re.I)
 _DOMAIN = re.compile(r"[\w-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])]|\bdot\b)\s*[\w-]+)+", re.I)
 _LOCAL = re.compile(r"[\w+%-][\w.+%-]*$")
 _WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-])*")
+_PARTICLES = {"von", "van", "der", "de", "la", "du", "della", "del", "di"}
+#: Without capitals, a name is one only with a known given name.
+_GIVEN = {x.lower() for x in GIVEN}
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
@@ -57,7 +60,16 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
             start += title.end()
         while start < end and not text[start].isalpha():
             start += 1
-        names = [w for w in _WORDS.findall(text[start:end]) if w[0].isupper() and w[-1] != "."]
+        # a name begins where its word does
+        while start and (text[start - 1].isalpha() or (text[start - 1] in "-'’" and text[max(0, start - 2) : start - 1].isalpha())):
+            start -= 1
+        words = [(m[0], m.start()) for m in _WORDS.finditer(text, start, end) if m[0][-1] != "." and m[0] not in _PARTICLES]
+        names = [w for w, _ in words if w[0].isupper()]
+        if names and not words[0][0][0].isupper():
+            # an introducing word before a name in capitals
+            start = next(at for w, at in words if w[0].isupper())
+        elif not names and any(w in _GIVEN for w, _ in words):
+            names = words
         return (start, end) if len(names) > 1 and text[end : end + 1] != "@" and not any(c.isdigit() for c in value) else None
     # numbers within a longer run of characters, or within a uuid, are no values of their own
     for m in _UUID.finditer(text, max(0, start - 36), end + 36):

@@ -50,6 +50,7 @@ CARRIERS = [
     "Dirección: {address}, <zip> <town>", "Envíalo a {address}. <sentence>", "Vivo en {address} <sentence>", "{address}, <town>", "{address}\n<zip> <town>",
     "Frag bitte {name} danach.", "Ich heiße {name}, falls nötig.", "Ansprechpartnerin ist {name} im Büro.", "Laut Herrn {name} im Büro.", "Frau {name} ist abgesprochen.", "Das sagt Dr. {name}.", "Je m'appelle {name} si besoin.", "Demande à {name} avant ce soir.", "signé par {name}, merci.", "M. {name}, merci.", "Mme {name} arrive.", "avec {name} hier",
     "Me llamo {name} , por favor.", "Pregunta a {name} en la oficina.", "Habla con {name} , por favor.", "la Sra. {name} lo revisa.", "Don {name} llegó.", "responsable: {name}, por favor.", "el Sr. {name} firmó", "<sentence> {name} <sentence>",
+    "<idlabel> {id} ref <uuid>", "Here: <idlabel> {id}. ref <uuid>", "Here: <idlabel> #{id}\nhttps://<word>.example/<word>", "Text {phone}\n<uuid>", "Appelle-moi au {phone}. ref <uuid>", "We live at {address}\n<uuid>", "cc {name} on the reply.\n<uuid>", "cc {name} and I own this.", "<sentence> cc {name} about it. <sentence>", "Ms. {name} and I own this.", "<sentence> / <word> Move <n2> Road Map cards",
     "Form says <idlabel> {id} <sentence>", "Form says <idlabel>: {id}. <sentence>", "Form says <idlabel> #{id}", "<idlabel> {id}", "<idlabel> {id}; <sentence>", "Here: <idlabel> {id}; <sentence>", "<idlabel> {id} <sentence>",
     "\nBest,\n{name}\n{address}\n☎ {phone}\n <sentence>", "\n--\n{name}\n{address}\n☎ {phone}\n <sentence>", "\nViele Grüße\n{name}\n{address}\nM: {phone}\n <sentence>", "\nCordialement,\n{name}\n{address}\n{phone}\n <sentence>", "\n--\n{name}\n{address}, <town>\nT {phone}\n <sentence>",
     "\nSaludos,\n{name}\n{address}\n{phone}\n <sentence>", "\nViele Grüße\n{name}\n{address}\n\nhttps://<word>.example", "\nBest,\n{name}\n{phone}\n <sentence>", "{name}\n{address}\n{phone}\n", "Mit Frau {name} abgesprochen.", "Mit Herrn {name} abgesprochen.", "Selon Mme {name} avant ce soir.", "Selon M. {name}, oui.", "Según Don {name} , por favor.",
@@ -63,6 +64,8 @@ PLAIN_LINES = [
     "The job ran as deploy@build-<n2> at <ip>:<n4>.", "Use `user@host` as a literal, and <n3>-<n3> as the id range.", "Pin react@<ver> and @types/<word>.", "ref <uuid>", "See https://<word>.example/<word>/<slug> ref https://<word>.test/<word>?id=<hex>", "git clone git@host:<word>/<word>.git", "ssh root@<word> -p <n4>",
     "Invoice <n6> of <year>-<n2>-<n2> is due on <n2>/<n2>/<year>.", "At <n2>:<n2>:<n2> on <n2> March <year> it stopped.", "Trace <uuid> ended.", "<sentence>\n<uuid> ", "<uuid>", "See <uuid> and legacy. [at] ref https://<word>.example/<word>", "sha <hex><hex>, ticket ABC-<n4>, port <n4>", "Ask Emil about it.", "Marta said so.", "Dear Hugo, thanks.", "Clara and Noor agreed.", "Best,\nGreta\n", "Frag Jonas oder Leonie.", "Hola Mateo, gracias.", "Merci Camille !",
     "The Hague and New York are far.", "Monday Morning is the name of the list.", "Docker Compose and Next Month are titles.", "#<slug> *api* [json] -> cli / regex cf, spark.", "```py\nrun('<slug>', <n2>)\n```", "```js\nconst Total = <n4>;\n```", '`{"name": "<slug>", "tries": <n1>}`', '{"id": <n6>, "title": "Big Plan", "ok": true}', "id,name,count\n<n4>,<slug>,<n2>\n",
+    "My name is not important here.", "Please ask someone else about it.", "Please ask about it.", "This was assigned to nobody yet, as far as I know.", "This was assigned to another team.", "I talked to some people about it.", "The draft was written by hand yesterday.", "cc everyone here on the reply.", "Frag bitte noch einmal danach.",
+    "Ich heiße das gut so.", "Demande à voir avant ce soir.", "Me llamo a engaño, por favor.", "Pregunta a todo el mundo en la oficina.", "Habla con otro equipo , por favor.", "signé par tous, merci.", "Laut diesem Bericht im Büro.", "Mit ganz anderen Worten abgesprochen.",
     "<sentence> <sentence>", "<sentence> <sentence> <sentence>", "<sentence>\n\n<sentence>", "Same for api. <sentence>", "<sentence> https://<word>.example/<slug>", "retry <n1> of <n2>, <n4> ms, <n2>% done", "Range <n4>-<n4>, pages <n2>-<n3>, ISBN later.", "192.168.<n2>.<n3> and 10.0.<n2>.<n2> answer.", "v<ver> replaces v<ver>.", "<n4> West is a tune.", "Chapter <n2> Hill is short.",
     "Take 3 Maple syrups and 2 Oak boards.", "We tried 12 Orchard apples.", "Room <n3> on Level <n1>.", "Terminal <n1> Gate <n2>", "Windows <n2> and Python <n1>", "Ich habe <n2> Dateien im Ordner, <n3> Minuten im Übergabeplan.", "Für <slug> bräuchten wir <n4> Zeilen und der Entwurf im Nachtlauf.", "Vermutlich fehlt <slug> schon seit <n4> Minuten im Testordner. Danach wartet alles.",
     "Bitte lass das Archiv geöffnet und schiebe <slug> später in den Wochenbericht.", "Après <n3> fichiers, <slug> répète encore.", "On a essayé <slug> sur <n2> pages, sans toucher le brouillon.", "Probé <slug> con <n3> filas y la búsqueda aún se cayó.", "¿Puedes mirar por qué <slug> se cayó?", "Zwischen <slug> und <slug> fehlt das Archiv, das erklärt die <n3> Dateien.",
@@ -104,6 +107,10 @@ class Filler:
         return (r.choice(["von ", "van der ", "de la ", "de ", "van ", "du ", "della "]) if r.random() < 0.1 else "") + name
 
     def name(self) -> str:
+        name = self._name()
+        return name.lower() if self.r.random() < 0.07 else name
+
+    def _name(self) -> str:
         r = self.r
         g = r.choice(GIVEN) if r.random() < 0.8 else r.choice(string.ascii_uppercase) + r.choice(["ella", "oren", "imir", "aline", "ko", "una", "edra", "ish"])
         if r.random() < 0.12:
