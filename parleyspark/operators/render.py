@@ -23,7 +23,7 @@ def sections(a) -> DataFrame:
     tag = F.when(F.lower(F.trim("sender")).isin("human", "user"), "human").otherwise("assistant")
     return t.select(
         "conversation_uuid", "place", F.concat(F.lit("### **"), who, F.lit("** — "), F.coalesce("created_at", F.lit("")), F.lit("\n\n"), text, F.lit("\n")).alias("markdown"),
-        F.concat(F.lit("<"), tag, F.lit(">"), escape(text), F.lit("</"), tag, F.lit(">")).alias("xml"), F.to_json(F.struct("sender", "text", "created_at")).alias("json"),
+        F.concat(F.lit("<"), tag, F.lit(">"), escape(text), F.lit("</"), tag, F.lit(">")).alias("xml"), F.to_json(F.struct("sender", "text", "created_at"), {"ignoreNullFields": "false"}).alias("json"),
     )
 
 

@@ -13,6 +13,7 @@ from parleyspark.operators import relational as rel
 from parleyspark.operators import render, search, upsert
 from parleyspark.plans.archive_queries import _PROFILES, _q, _with
 from parleyspark.plans.stage import Stage
+from parleyspark.plans.text_queries import _CHRON, _LAST, _MAIN, _N, _rec
 
 SEARCH = "session OR archive NOT preview"
 
@@ -256,6 +257,10 @@ SQL = {
     "export_widths": _with(_NODES) + "SELECT source_id, target_id, relation, round(greatest(0.5, least(4.0, sqrt(weight))), 6)::DOUBLE AS width FROM ge",
     "export_linked_conversations": _with("x AS (SELECT DISTINCT e.entity, e.conversation_uuid, c.updated FROM e JOIN c ON c.uuid = e.conversation_uuid)", "r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY updated DESC NULLS LAST, conversation_uuid) AS r FROM x)")
     + "SELECT entity, count(*) AS conv_count, string_agg(conversation_uuid, ',' ORDER BY r) FILTER (WHERE r <= 20) AS conversations FROM r GROUP BY 1",
+    "rendered_messages": _rec(_N, _LAST, _MAIN, f"b2 AS (SELECT conv AS conversation_uuid, place, id AS message_uuid FROM main UNION ALL {_CHRON} WHERE conv NOT IN (SELECT conv FROM root))")
+    + "SELECT b2.conversation_uuid, place, '### **' || upper(substring(trim(sender, ' '), 1, 1)) || lower(substring(trim(sender, ' '), 2)) || '** — ' || coalesce(created_at, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) AS markdown,"
+    " '<' || t || '>' || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || t || '>' AS xml, json_object('sender', sender, 'text', text, 'created_at', created_at)::VARCHAR AS json"
+    " FROM b2 JOIN (SELECT *, CASE WHEN lower(trim(sender, ' ')) IN ('human', 'user') THEN 'human' ELSE 'assistant' END AS t FROM m) x ON x.uuid = b2.message_uuid",
     "rendered_tools": _with()
     + "SELECT id, message_uuid, CASE WHEN block_type = 'tool_use' THEN '[tool_use:' || coalesce(tool_name, '') || '] ' || CASE WHEN length(coalesce(tool_input, '')) > 300 THEN substring(tool_input, 1, 300) || '…' ELSE coalesce(tool_input, '') END"
     " ELSE '[tool_result] ' || CASE WHEN length(coalesce(text_content, '')) > 600 THEN substring(text_content, 1, 600) || '…' ELSE coalesce(text_content, '') END END AS line FROM b WHERE block_type IN ('tool_use', 'tool_result')",
