@@ -29,6 +29,7 @@ MASKS = ("110101100111", "111011001011", "101110110101")
 #: Characters of items in one pass over the corpus; more items are taken in blocks. About 12 bytes of closure a character.
 BLOCK_CHARS = 2_000_000
 
+_WEIGHT = min(m.count("1") for m in MASKS)
 _WORDS = re.compile(r"[^\W_]+")
 _ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1 for k in range(SPAN)], np.uint64)
@@ -85,6 +86,11 @@ class Items:
             return []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+        # a window that could be hit holds as many known words as a mask has positions; most documents have none
+        known = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(ids >= 0, out=known[1:])
+        if (known[SPAN:] - known[:-SPAN]).max() < _WEIGHT:
+            return []
         diagonals = set()
         for mask, (codes, item, pos) in zip(MASKS, self.tables, strict=True):
             at, h = _hashes(ids, mask)
@@ -100,9 +106,8 @@ class Items:
             other = self.ids[i]
             lo, hi = max(0, d), min(len(ids), d + len(other))
             same = ids[lo:hi] == other[lo - d : hi - d]
-            other_at = np.flatnonzero(~same)
-            gaps = np.diff(other_at, prepend=-1, append=len(same)) - 1
-            run = int(gaps.max())
+            at = np.flatnonzero(~same)
+            run = len(same) if not len(at) else int(max(at[0], len(same) - 1 - at[-1], (at[1:] - at[:-1]).max() - 1 if len(at) > 1 else 0))
             # best segment with +1 for an equal word and -2 for another one
             s = np.zeros(len(same) + 1, np.int64)
             np.cumsum(np.where(same, 1, -2), out=s[1:])
