@@ -52,6 +52,7 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False)
     width = F.lit(60) + (F.octet_length("id") + F.octet_length("ptr") if packed else F.lit(16))
     if with_path:
         width = width + F.aggregate("path", F.lit(0), lambda n, x: n + 16 + (F.octet_length(x) if packed else F.lit(8)))
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
     while True:
         moving = open_.df.where("not done")
         now, size = moving.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
@@ -65,7 +66,8 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False)
             "id", F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_done").alias("done"), (F.col("ok") & F.col("t_ok")).alias("ok"), *kept,
             *([F.concat("t_path", F.slice("path", 2, 2**30)).alias("path")] if with_path else []),
         )
-        step = Stage(moved)
+        # a broadcast join keeps the partitions of all tables so far; their few rows need no more tasks and files than cores
+        step = Stage(moved.coalesce(cores) if small else moved)
         finished.append(step)
         open_ = step
         # rows that moved replace their former state: those of earlier tables count only where they were done
