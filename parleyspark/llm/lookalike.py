@@ -112,9 +112,10 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     form = canonical_text(F.col(text))
     t = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("raw"), form.alias("form"))
-    t = t.where(F.length(F.regexp_replace("form", r"[\s\p{Z}]", "")) > 0)
-    t = t.select("id", F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("raw")).alias("exact"))
-    t = Stage(t).df
+    # blank texts get no hash and go after the write: a filter before it would be pushed down and run the Python function twice
+    shown = F.length(F.regexp_replace("form", r"[\s\p{Z}]", "")) > 0
+    t = t.select("id", F.when(shown, F.unhex(F.md5("form"))).alias("look"), F.unhex(F.md5("raw")).alias("exact"))
+    t = Stage(t).df.where("look is not null")
     first = t.groupBy("look", "exact").agg(F.min("id").alias("first"))
     many = first.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     first = Stage(first.join(many, "look", "left_semi")).df
