@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from math import isqrt
 from operator import or_
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,19 +92,32 @@ def features(a, n: DataFrame, times: DataFrame) -> DataFrame:
     return t.join(most).select("id", F.round(F.col("degree") / F.greatest("md", F.lit(1)), 9).alias("degree"), flag("topic").alias("is_topic"), flag("url").alias("is_url"), flag("uuid").alias("is_uuid"), tool.alias("tool_assoc"), F.round(seen, 9).alias("first_seen"), F.round(F.coalesce("reach", F.lit(0)) / F.greatest("mr", F.lit(1)), 9).alias("reach"))
 
 
-def k_means(rows: DataFrame, columns: list[str], k: int, seed: int = 7) -> DataFrame:
+def _with_vector(rows: DataFrame, columns: list[str] | str) -> DataFrame:
+    """``rows`` with the ML vector ``__f`` of some numeric columns, or of one vector column."""
+    return rows.withColumn("__f", F.col(columns) if isinstance(columns, str) else array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
+
+
+def _fit(x: DataFrame, k: int, seed: int):
+    return KMeans(k=k, maxIter=100, tol=0.0, seed=seed, featuresCol="__f", predictionCol="cluster").fit(x)
+
+
+def k_means(rows: DataFrame, columns: list[str] | str, k: int, seed: int = 7) -> DataFrame:
     """``rows`` with ``cluster``: Lloyd's algorithm, at most 100 rounds, from k-means|| with a seed."""
-    x = rows.withColumn("__f", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
-    model = KMeans(k=k, maxIter=100, tol=0.0, seed=seed, featuresCol="__f", predictionCol="cluster").fit(x)
-    return model.transform(x).drop("__f")
+    x = _with_vector(rows, columns)
+    return _fit(x, k, seed).transform(x).drop("__f")
 
 
-def silhouette(rows: DataFrame, columns: list[str], sample: int = 500) -> float:
-    """Mean silhouette (Euclidean) of the first ``sample`` rows by hash among each other; the sample is the operator's bound."""
+def _sample(x: DataFrame, sample: int) -> DataFrame:
+    """The first rows with a vector ``__f``, by the hash of its numbers."""
+    return x.orderBy(F.xxhash64(vector_to_array("__f"))).limit(sample)
+
+
+def _score(x: DataFrame) -> float:
+    """Mean silhouette (Euclidean) of (cluster, __f), a sample, on the driver."""
     import numpy as np
 
-    pdf = rows.select("cluster", *columns).orderBy(F.xxhash64(*columns)).limit(sample).toPandas()
-    x, c = pdf[columns].to_numpy(float), pdf["cluster"].to_numpy()
+    rows = x.select("cluster", "__f").collect()
+    c, x = np.array([r["cluster"] for r in rows]), np.array([r["__f"].toArray() for r in rows])
     kinds = np.unique(c)
     if len(kinds) < 2:
         return 0.0
@@ -119,15 +134,27 @@ def silhouette(rows: DataFrame, columns: list[str], sample: int = 500) -> float:
     return float(np.mean(out))
 
 
-def auto_k(rows: DataFrame, columns: list[str], ks: list[int], seed: int = 7) -> tuple[int, DataFrame]:
-    """The k of the best silhouette and its clusters."""
+def silhouette(rows: DataFrame, columns: list[str] | str, sample: int = 500) -> float:
+    """Mean silhouette (Euclidean) of the first ``sample`` rows by hash among each other; the sample is the operator's bound."""
+    return _score(_sample(_with_vector(rows, columns), sample))
+
+
+def graph_ks(n: int) -> range:
+    """The numbers of clusters that are tried for ``n`` entity nodes."""
+    return range(2, min(20, isqrt(n)) + 1)
+
+
+def auto_k(rows: DataFrame, columns: list[str] | str, ks: Iterable[int], seed: int = 7, sample: int = 500) -> tuple[int, DataFrame]:
+    """The k of the best silhouette and its clusters; every k of ``ks`` is fitted to all rows, the silhouettes share one sample."""
+    x = Stage(_with_vector(rows, columns)).df
+    some = Stage(_sample(x.select("__f"), sample)).df
     best = None
     for k in ks:
-        got = Stage(k_means(rows, columns, k, seed)).df
-        s = silhouette(got, columns)
+        model = _fit(x, k, seed)
+        s = _score(model.transform(some))
         if best is None or s > best[0]:
-            best = (s, k, got)
-    return best[1], best[2]
+            best = (s, k, model)
+    return best[1], best[2].transform(x).drop("__f")
 
 
 # -- categories -------------------------------------------------------------------------------------------------------------

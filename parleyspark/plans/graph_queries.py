@@ -39,7 +39,10 @@ def _members(a):
 def _k_means_communities(a, n, e):
     x = Stage(cl.features(a, n, g.entity_times(a))).df
     columns = [c for c in x.columns if c != "id"]
-    k, got = cl.auto_k(x, columns, [2, 4, 6, 8])
+    n = x.count()
+    if n < 4:  # no k is tried: one community, as in the reference
+        return x.select("id", F.lit(0).alias("cluster"), F.lit(0).alias("k"))
+    k, got = cl.auto_k(x, columns, cl.graph_ks(n))
     return got.select("id", "cluster").withColumn("k", F.lit(k))
 
 
