@@ -9,6 +9,7 @@ from operator import or_
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from parleyspark.plans.stage import Stage
 
 ROUNDS, MOVED = 25, 0.01
 SPLIT_OVER, SPLIT_SHARE = 200, 0.05
+#: The numbers of categories that are tried.
+CATEGORY_KS = range(5, 16)
 
 
 def label_propagation(ids: DataFrame, e: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -214,18 +217,26 @@ def cluster_labels(members: DataFrame) -> DataFrame:
     return t.select("cluster", label.alias("label"), F.coalesce(F.array_join("terms", ","), F.lit("")).alias("top_terms"))
 
 
-def categorize(a, k: int | None = None, top: int = 64) -> DataFrame:
-    """(uuid, cluster, label): TF-IDF of title, first question and topics with the tool flags, k-means, labels."""
-    t = Stage(conversation_texts(a)).df
+def text_features(t: DataFrame, top: int = 500) -> DataFrame:
+    """(uuid, v) of conversation_texts(): one sparse vector of TF-IDF of title, first question and topics, then the tool flags."""
     terms = words(F.concat_ws(" ", "title", "first_human", "topics"))
-    v = tf_idf(t.select("uuid", terms.alias("terms")), "uuid", "terms", top)
-    vocabulary = [r[0] for r in v.select("term").distinct().orderBy("term").collect()]  # at most ``top`` terms
-    wide = v.groupBy("uuid").pivot("term", vocabulary).agg(F.first("weight"))
-    wide = wide.select("uuid", *[F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).alias(f"t{i}") for i, w in enumerate(vocabulary)])
+    v = Stage(tf_idf(t.select("uuid", terms.alias("terms")), "uuid", "terms", top)).df
+    vocabulary = v.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # at most ``top`` terms
+    vocabulary = Stage(vocabulary).df
+    n = vocabulary.count()
     flags = tool_flags(t)
-    x = Stage(flags.join(wide, "uuid", "left").fillna(0.0)).df
-    columns = [c for c in x.columns if c != "uuid"]
-    got = k_means(x, columns, k) if k else auto_k(x, columns, list(range(5, 16)))[1]
+    names = [c for c in flags.columns if c != "uuid"]
+    size = n + len(names)
+    cells = v.join(F.broadcast(vocabulary), "term").groupBy("uuid").agg(F.array_sort(F.collect_list(F.struct("i", F.col("weight").alias("w")))).alias("c"))
+    vector = F.udf(lambda i, w, f: Vectors.sparse(size, [*(i or []), *range(n, size)], [*(w or []), *f]), VectorUDT())
+    return flags.join(cells, "uuid", "left").select("uuid", vector(F.col("c.i"), F.col("c.w"), F.array(*[F.col(c).cast("double") for c in names])).alias("v"))
+
+
+def categorize(a, k: int | None = None, top: int = 500) -> DataFrame:
+    """(uuid, cluster, label): TF-IDF of title, first question and topics with the tool flags, k-means, labels."""
+    t = Stage(conversation_texts(a)).df
+    x = Stage(text_features(t, top)).df
+    got = k_means(x, "v", k) if k else auto_k(x, "v", CATEGORY_KS)[1]
     got = Stage(got.select("uuid", "cluster").join(t, "uuid").select("cluster", "uuid", "title", "tools")).df
     return got.select("uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster")
 

@@ -17,3 +17,14 @@ def test_every_k_is_tried_for_the_graph(spark, monkeypatch):
     few = spark.createDataFrame(rows[:3], "id string, x double")
     monkeypatch.setattr(cl, "features", lambda a, n, t: few)
     assert [(r["cluster"], r["k"]) for r in gq._k_means_communities(None, None, None).collect()] == [(0, 0)] * 3
+
+
+def test_rare_terms_count(spark, monkeypatch):
+    # 70 terms of three conversations each, and one of two: with 64 terms the last ones had no text at all
+    rows = [(f"c{i:03}", f"word{i // 3:03}", 1, "", "", "") for i in range(210)] + [("x", "zebra", 1, "", "", ""), ("y", "zebra", 1, "", "", "")]
+    t = spark.createDataFrame(rows, "uuid string, title string, msg_count bigint, first_human string, topics string, tools string")
+    v = {r["uuid"]: r["v"] for r in cl.text_features(t).collect()}
+    assert len(v) == 212 and all(sum(x.toArray()[:71]) == 1.0 for x in v.values()) and v["x"] == v["y"] != v["c000"]
+    monkeypatch.setattr(cl, "conversation_texts", lambda a: t)
+    got = {r["uuid"]: r["label"] for r in cl.categorize(None).collect()}
+    assert set(got) == set(v) and got["x"] == got["y"]
