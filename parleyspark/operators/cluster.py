@@ -21,6 +21,8 @@ ROUNDS, MOVED = 25, 0.01
 SPLIT_OVER, SPLIT_SHARE = 200, 0.05
 #: The numbers of categories that are tried.
 CATEGORY_KS = range(5, 16)
+#: The models of vectors of conversations, with the length of their vectors.
+MODELS = {"embed-lite-64": 64, "embed-mini-32": 32}
 
 
 def label_propagation(ids: DataFrame, e: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -246,15 +248,26 @@ def community(n: DataFrame, which: int) -> DataFrame:
     return n.where(F.col("community_id") == which).select("id", "label", "node_type", "entity_type", "degree")
 
 
-def categorize_vectors(a, vectors: DataFrame, k: int = 8, model: str = "embed-lite-64", length: int = 64) -> DataFrame:
-    """(uuid, cluster, label) by given vectors of conversations, with the tool flags at a tenth of their weight."""
-    good = vectors.where((F.col("model") == model) & (F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    v = good.groupBy("uuid").agg(F.max_by("embedding", F.col("created_at").try_cast("timestamp")).alias("v"))
+def categorize_vectors(a, vectors: DataFrame, models: dict[str, int] = MODELS, k: int | None = None) -> DataFrame:
+    """(model, uuid, cluster, label) by given vectors of conversations, with the tool flags at a tenth of their weight.
+
+    Vectors of different models can't be compared: each model (with the length of its vectors) has clusters of its own.
+    """
     t = Stage(conversation_texts(a)).df
     flags = tool_flags(t)
     names = [c for c in flags.columns if c != "uuid"]
-    x = v.join(flags, "uuid").select("uuid", *[F.col("v")[i].alias(f"v{i}") for i in range(length)], *[(F.col(c) * 0.1).alias(c) for c in names])
-    x = Stage(x, dictionary=False).df
-    got = k_means(x, [c for c in x.columns if c != "uuid"], k).select("uuid", "cluster")
-    got = Stage(got.join(t, "uuid").select("cluster", "uuid", "title", "tools")).df
-    return got.select("uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster")
+    out = []
+    for model, length in models.items():
+        good = vectors.where((F.col("model") == model) & (F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+        v = good.groupBy("uuid").agg(F.max_by("embedding", F.col("created_at").try_cast("timestamp")).alias("v"))
+        x = v.join(flags, "uuid").select("uuid", *[F.col("v")[i].alias(f"v{i}") for i in range(length)], *[(F.col(c) * 0.1).alias(c) for c in names])
+        x = Stage(x, dictionary=False).df
+        if not x.take(1):
+            continue
+        columns = [c for c in x.columns if c != "uuid"]
+        got = (k_means(x, columns, k) if k else auto_k(x, columns, CATEGORY_KS)[1]).select("uuid", "cluster")
+        got = Stage(got.join(t, "uuid").select("cluster", "uuid", "title", "tools")).df
+        out.append(got.select(F.lit(model).alias("model"), "uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster"))
+    if not out:
+        return t.select(F.lit("").alias("model"), "uuid", F.lit(0).alias("cluster"), F.lit("").alias("label")).where("false")
+    return reduce(DataFrame.unionByName, out)

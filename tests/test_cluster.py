@@ -28,3 +28,15 @@ def test_rare_terms_count(spark, monkeypatch):
     monkeypatch.setattr(cl, "conversation_texts", lambda a: t)
     got = {r["uuid"]: r["label"] for r in cl.categorize(None).collect()}
     assert set(got) == set(v) and got["x"] == got["y"]
+
+
+def test_vectors_of_every_model(spark, monkeypatch):
+    rows = [(f"c{i:02}", f"title {i % 6}", 1, "", "", "") for i in range(36)]
+    t = spark.createDataFrame(rows, "uuid string, title string, msg_count bigint, first_human string, topics string, tools string")
+    monkeypatch.setattr(cl, "conversation_texts", lambda a: t)
+    vectors = [(f"c{i:02}", m, [float(j == i % 6) + i / 100_000 for j in range(n)], "2025-01-01") for i in range(36) for m, n in cl.MODELS.items() if i < 24 or n == 32]
+    df = spark.createDataFrame(vectors, "uuid string, model string, embedding array<double>, created_at string")
+    got = cl.categorize_vectors(None, df).collect()
+    assert sorted((r["model"], r["uuid"]) for r in got) == sorted((m, u) for u, m, _, _ in vectors)
+    for m in cl.MODELS:  # six heaps, and none of them is cut
+        assert len({r["cluster"] for r in got if r["model"] == m}) == len({(r["cluster"], int(r["uuid"][1:]) % 6) for r in got if r["model"] == m}) == 6
