@@ -14,6 +14,7 @@ document or an item give repeated results only if their keys differ; empty table
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleyspark.llm.lookalike import canonical
+from parleyspark.llm.lookalike import CYRILLIC, GREEK, canonical
 
 SPAN = 12
 #: 1: the word counts, 0: it may differ.
@@ -31,6 +32,10 @@ BLOCK_CHARS = 2_000_000
 
 _WEIGHT = min(m.count("1") for m in MASKS)
 _WORDS = re.compile(r"[^\W_]+")
+#: Small letters without a Latin twin whose capitals have one, each with that twin in small. Ν/ν, Υ/υ and Ӏ/ӏ have a twin in either case, and keep them.
+_TWINS = CYRILLIC | GREEK
+_SMALL = str.maketrans({c.casefold(): t.casefold() for c, t in _TWINS.items() if c.casefold() not in _TWINS} | {"κ": "k", "к": "k"})
+_GREEK_OR_CYRILLIC = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 _ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1 for k in range(SPAN)], np.uint64)
 
@@ -41,7 +46,10 @@ def words(text: str | None) -> list:
         return []
     if text.isascii():
         return text.encode().translate(_ASCII).split()
-    return [w.encode() for w in _WORDS.findall(canonical(text).casefold())]
+    form = canonical(text).casefold()
+    if _GREEK_OR_CYRILLIC.search(form):
+        form = unicodedata.normalize("NFC", unicodedata.normalize("NFD", form).translate(_SMALL))
+    return [w.encode() for w in _WORDS.findall(form)]
 
 
 def _hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
