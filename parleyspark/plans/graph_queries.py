@@ -105,6 +105,7 @@ QUERIES = {
     "neighbors": _graph(lambda a, n, e: g.neighbours(n, e, "api")),
     "bfs_subgraph": _graph(lambda a, n, e: g.subgraph(n, e, "storybook", 2)[0].select("id", "hop", "degree")),
     "bfs_subgraph_edges": _graph(lambda a, n, e: g.subgraph(n, e, "storybook", 1)[1].select("source_id", "target_id", "relation", "weight")),
+    "bfs_subgraph_depth2_edges": _graph(lambda a, n, e: g.subgraph(n, e, "storybook", 2)[1].select("source_id", "target_id", "relation", "weight")),
     "shortest_path": _graph(lambda a, n, e: g.hop_distances(n, e, "tool:bash").select("id", "hops", F.array_join("path", " > ").alias("path"))),
     "label_propagation": _graph(lambda a, n, e: cl.cluster_graph(n, e)),
     "graph_communities": _graph(_communities),
