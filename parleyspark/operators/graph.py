@@ -6,6 +6,8 @@ each source, target and relation, their weight the number of times they came up.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,17 +167,19 @@ def subgraph(n: DataFrame, e: DataFrame, keyword: str, depth: int = 2, seeds: in
     return n.join(seen, "id"), inner
 
 
-def hop_distances(n: DataFrame, e: DataFrame, source: str, limit: int = 50) -> DataFrame:
-    """(id, hops, path): a shortest path from the source to every node it reaches, the least by ids of equally short ones."""
+def hop_distances(n: DataFrame, e: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """(id, hops, path): a shortest path from the source to every node it reaches (within ``limit`` hops, if given), the least by ids of equally short ones."""
     s = Stage(symmetric(e).where("id != other").select("id", "other").distinct()).df
     seen = frontier = Stage(n.where(F.col("id") == source).select("id", F.lit(0).cast("bigint").alias("hops"), F.array("id").alias("path"))).df
-    for hop in range(1, limit + 1):
+    for hop in count(1) if limit is None else range(1, limit + 1):
         f = frontier.select("id", "path")
         if not f.take(1):
             break
         nxt = s.join(f, "id").groupBy("other").agg(F.min("path").alias("path")).select(F.col("other").alias("id"), F.lit(hop).cast("bigint").alias("hops"), F.concat("path", F.array("other")).alias("path"))
         frontier = Stage(nxt.join(seen.select("id"), "id", "left_anti")).df
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:  # else the plan grows with the hops
+            seen = Stage(seen).df
     return seen
 
 

@@ -4,7 +4,7 @@ import random
 
 from conftest import DATA
 
-from parleyspark.operators.graph import subgraph
+from parleyspark.operators.graph import hop_distances, shortest_path, subgraph
 from parleyspark.plans import catalogue
 
 EDGES = "source_id string, target_id string, relation string, weight double"
@@ -26,3 +26,11 @@ def test_edges_within_two_hops(spark, oracle):
     nodes = {r["id"] for r in q["bfs_subgraph"](spark, DATA).collect()}
     want = {(r[0], r[1], r[2]) for r in q["graph_edges"](spark, DATA).select("source_id", "target_id", "relation").collect() if r[0] in nodes and r[1] in nodes}
     assert {(r[0], r[1], r[2]) for r in q["bfs_subgraph_depth2_edges"](spark, DATA).collect()} == want
+
+
+def test_a_chain_of_more_than_fifty_hops(spark):
+    ids = [f"n{i:02}" for i in range(54)]
+    n = spark.createDataFrame([(x,) for x in ids], "id string")
+    e = spark.createDataFrame([(a, b, "co_occurs", 1.0) for a, b in zip(ids, ids[1:])], EDGES)
+    assert [tuple(r) for r in shortest_path(n, e, "n00", "n53").collect()] == [(ids, 53)]
+    assert hop_distances(n, e, "n00", 2).count() == 3
