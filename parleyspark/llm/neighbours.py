@@ -1,20 +1,25 @@
 """The most similar vectors of every vector, by learned partitions.
 
-On a bounded sample: a graph of nearest neighbours, cut into balanced parts of few crossing links by recursive bisection
-and swaps; then a small network that predicts, from a vector, in which parts its neighbours lie. The network then routes
-all rows: each row is stored in its most probable part and searches its most probable ones up to a probability of MASS, where its
-candidates are reranked by exact cosine. Every row is indexed and every row searches.
-
-Parts of any size are split into blocks of at most BLOCK rows, and blocks meet the queries of their part block by block,
-so that no task holds an unbounded part, however many equal vectors there are; the best k of each meeting are merged.
+A node of the index holds the rows of one part. On a bounded sample of its rows: a graph of nearest neighbours, cut into
+balanced parts of few crossing links by recursive bisection and swaps; then a small network that predicts, from a vector,
+in which of the parts its neighbours lie. The network routes all rows: each is stored in its most probable part and searches
+every part whose probability reaches a bound. That bound is measured: with it, held-out rows of the sample find RECALL of
+their nearest ones. A node has at most FAN parts; parts of more than LEAF_MAX rows are nodes themselves, so that the number
+of parts grows with the collection: FAN times as many rows make one more level, and the rows of a part stay as few. Candidates
+are reranked by exact cosine. Every row is indexed and every row searches.
+
+Neighbouring parts of one node travel together in cells of about CELL rows; in a cell a row is compared with the parts it
+searches only. Cells of any size are split into blocks of at most BLOCK rows, and blocks meet the queries of their cell block
+by block, so that no task holds an unbounded part, however many equal vectors there are; the best k of each meeting are merged.
 
 Defined cases: of the rows of one key the latest counts, whatever its model; it takes part only if its vector has the
 model's length, finite numbers and is not all zero; ties of similarity go to the smaller key; fewer than k others give
-fewer pairs; an empty table gives an empty result.
+fewer pairs; an empty table gives an empty result; fewer than 2 * LEAF vectors of a model are a single part, all compared.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +31,16 @@ from parleyspark.functions.keys import instant, pack_key, unpack_key
 from parleyspark.plans.stage import Stage
 
 K = 5
-#: Rows of a model that the partitions and the network are fitted on, at most.
-SAMPLE = 16_000
-#: Sampled rows in a part; there are at most SAMPLE / PART_ROWS parts.
-PART_ROWS = 500
-#: The parts that a vector searches are its most probable ones, until no more than 1 - MASS of the probability is left.
-MASS = 0.999
+#: Rows of a node that its parts and its network are fitted on, about; more levels make more nodes, not larger samples.
+SAMPLE, INNER_SAMPLE = 16_000, 6_000
+#: Parts of a node, at most (a row's parts within a cell are the bits of one BIGINT); rows of a part, at least, and at most before it becomes a node.
+FAN, LEAF, LEAF_MAX = 64, 250, 2_000
+#: Share of their nearest vectors that held-out rows of a sample must find.
+RECALL = 0.99
+#: Rows that travel together, about.
+CELL = 2_500
 #: Stored rows, and searching rows, that meet in one task.
-BLOCK = 4_000
+BLOCK = 8_000
 #: The models and the lengths of their vectors.
 MODELS = {"embed-lite-64": 64, "embed-mini-32": 32}
 
@@ -126,20 +133,57 @@ class Router:
         return Router([v.astype(np.float32) for v in w])
 
 
-def fit_router(x: np.ndarray, k: int = 10) -> Router:
-    """Partitions and router of a sample of unit vectors (n, d); a single part for few rows."""
-    n = len(x)
-    parts = 1
-    while parts * 2 * PART_ROWS <= n:
-        parts *= 2
+def fit_node(x: np.ndarray, own: np.ndarray, weight: np.ndarray, parts: int, recall: float, k: int = 10, seed: int = 7) -> tuple[Router, float] | None:
+    """Router and bound of probability of a node, from a sample of unit vectors that enter it: ``own`` marks those stored there, ``weight`` is the
+    probability with which each got here. None if the node isn't split."""
+    rng = np.random.default_rng(seed)
+    stored = np.flatnonzero(own)
+    while parts > 1 and parts * 2 * k > len(stored):
+        parts //= 2
     if parts == 1:
-        return Router([np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)])
-    graph = neighbour_graph(x, min(k, n - 1))
-    part = balanced_parts(x, graph, parts)
-    target = np.zeros((n, parts))
-    np.add.at(target, (np.arange(n), part), 1.0)
-    np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), part[graph.ravel()]), 1.0)
-    return Router.fit(x, target / target.sum(1, keepdims=True))
+        return None
+    test = rng.random(len(x)) < 0.1
+    learn = np.flatnonzero(own & ~test)
+    others = np.flatnonzero(~own & ~test)
+    graph = neighbour_graph(x[learn], k)
+    part = balanced_parts(x[learn].astype(np.float64), graph, parts)
+    rows = np.r_[learn, others]
+    links = np.r_[graph, _nearest(x[others], x[learn], k)]
+    target = np.zeros((len(rows), parts))
+    target[np.arange(len(learn)), part] = 1.0
+    np.add.at(target, (np.repeat(np.arange(len(rows)), k), part[links.ravel()]), 1.0)
+    router = Router.fit(x[rows], target / target.sum(1, keepdims=True))
+    held = np.flatnonzero(test)
+    if not len(held):
+        return router, 0.0
+    # the probability of the parts that hold the nearest ones of rows the network hasn't seen
+    home = router.probabilities(x[learn]).argmax(1)
+    near = _nearest(x[held], x[learn], min(K, len(learn)))
+    got = (router.probabilities(x[held]) * weight[held, None])[np.arange(len(held))[:, None], home[near]].ravel()
+    w = np.repeat(weight[held], near.shape[1])
+    order = np.argsort(got, kind="stable")
+    lost = np.cumsum(w[order])
+    return router, float(got[order[np.searchsorted(lost, (1 - recall) * lost[-1])]])
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of x for each row of q."""
+    out = np.empty((len(q), k), np.int64)
+    for i in range(0, len(q), 256):
+        out[i : i + 256] = np.argpartition(-(q[i : i + 256].astype(np.float32) @ x.T.astype(np.float32)), k - 1, axis=1)[:, :k]
+    return out
+
+
+def plan(n: int) -> list[int]:
+    """Parts of the nodes of each level, for n rows of a model."""
+    fans, size = [], n
+    while size > LEAF_MAX or (not fans and size >= 2 * LEAF):
+        fan = 1
+        while fan < FAN and size // (fan * 2) >= LEAF:
+            fan *= 2
+        fans.append(fan)
+        size = -(-size // fan)
+    return fans
 
 
 def usable(rows: DataFrame, models: dict[str, int] = MODELS) -> DataFrame:
@@ -163,77 +207,221 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
-    """The k best stored rows (left) of each searching row (right) of one meeting."""
+def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k best stored rows (left) of each searching row (right) of one meeting, among the parts that it searches."""
     names = ["q", "b", "sim"]
+    kinds = [pa.binary(), pa.binary(), pa.float64()]
     if not left.num_rows or not right.num_rows:
-        return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.float64())], names=names)
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+    dim = len(left["v"][0])
     keys = np.array(left["key"].to_pylist(), dtype=object)
     order = np.argsort(keys, kind="stable")
-    keys, x = keys[order], _matrix(left["v"], dim)[order]
-    q_keys, y = np.array(right["q_key"].to_pylist(), dtype=object), _matrix(right["q_v"], dim)
+    keys, x, leaf = keys[order], _matrix(left["v"], dim)[order], left["leaf"].to_numpy()[order]
+    q_keys, y, masks = np.array(right["q_key"].to_pylist(), dtype=object), _matrix(right["q_v"], dim), right["leaves"].to_numpy()
     place = {key: i for i, key in enumerate(keys)}
-    m = min(k + 1, len(keys))
-    qs, bs, sims = [], [], []
-    for i in range(0, len(y), 500):
-        s = y[i : i + 500] @ x.T
-        # stable: of equal similarities the smaller key, as the rows are in the order of their keys
-        top = np.argsort(-s, axis=1, kind="stable")[:, :m] if len(keys) <= 4 * m else _top(s, m)
-        for row, t in enumerate(top):
-            own = place.get(q_keys[i + row], -1)
-            t = t[t != own][:k]
-            qs.extend([q_keys[i + row]] * len(t)), bs.extend(keys[t]), sims.extend(s[row, t].tolist())
-    return pa.table([pa.array(qs, pa.binary()), pa.array(bs, pa.binary()), pa.array(sims, pa.float64())], names=names)
-
-
-def _top(s: np.ndarray, m: int) -> np.ndarray:
-    """Columns of the m largest values of each row, largest first, of equal ones the first."""
-    least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-    out = np.empty((len(s), m), np.int64)
-    for r in range(len(s)):
-        c = np.flatnonzero(s[r] >= least[r])
-        out[r] = c[np.argsort(-s[r, c], kind="stable")[:m]]
-    return out
+    own = np.array([place.get(key, -1) for key in q_keys])
+    rows, stored, sims = [], [], []
+    for part in np.unique(leaf):
+        at = np.flatnonzero(leaf == part)
+        asked = np.flatnonzero(masks >> part & 1)
+        m = min(k, len(at))
+        for i in range(0, len(asked), 512):
+            q = asked[i : i + 512]
+            s = np.round(y[q] @ x[at].T, 11)
+            mine = np.searchsorted(at, own[q])
+            hit = np.flatnonzero((own[q] >= 0) & (at[np.minimum(mine, len(at) - 1)] == own[q]))
+            s[hit, mine[hit]] = -9
+            # of equal similarities the smaller key, as the rows are in the order of their keys
+            top = np.argpartition(np.arange(len(at)) * 1e-15 - s, m - 1, axis=1)[:, :m]
+            rows.append(np.repeat(q, m)), stored.append(at[top].ravel()), sims.append(np.take_along_axis(s, top, 1).ravel())
+    if not rows:
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+    rows, stored, sims = np.concatenate(rows), np.concatenate(stored), np.concatenate(sims)
+    order = np.lexsort((stored, -sims, rows))
+    rows, stored, sims = rows[order], stored[order], sims[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    good = (rank < k) & (sims > -9)
+    return pa.table([pa.array(q_keys[rows[good]], pa.binary()), pa.array(keys[stored[good]], pa.binary()), pa.array(sims[good])], names=names)
+
+
+_PROBES = "array<struct<part:bigint,leaves:bigint,p:float>>"
+
+
+def _route(x: np.ndarray, p_before: np.ndarray, parent: int, fit: tuple[Router, float] | None, cells: int) -> tuple[np.ndarray, ...]:
+    """Most probable child of each row; and the children it searches, most probable first, as (counts, part, leaves, p) of flat arrays. In the last level (``cells`` > 0)
+    the children of one cell are one entry, its bits the children; the cell of a child is its low bits, which were its first bisections."""
+    n = len(x)
+    if fit is None:
+        p = np.ones((n, 1), np.float32)
+        use = np.ones((n, 1), bool)
+    else:
+        p = fit[0].probabilities(x.astype(np.float32))
+        use = p * p_before[:, None] >= fit[1]
+    home = p.argmax(1)
+    use[np.arange(n), home] = True
+    if not cells:
+        row, child = np.nonzero(use)
+        return home, np.bincount(row, minlength=n), parent * FAN + child, np.zeros(len(row), np.int64), p[row, child] * p_before[row]
+    bits = np.zeros((n, cells), np.int64)
+    for c in range(p.shape[1]):
+        bits[:, c % cells] |= use[:, c].astype(np.int64) << c
+    row, cell = np.nonzero(bits)
+    return home, np.bincount(row, minlength=n), parent * FAN + cell, bits[row, cell], np.ones(len(row))
+
+
+def _probes(counts, part, leaves, p) -> pa.Array:
+    entries = pa.StructArray.from_arrays([pa.array(part.astype(np.int64)), pa.array(leaves.astype(np.int64)), pa.array(p.astype(np.float32))], names=["part", "leaves", "p"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), entries)
+
+
+class _Level:
+    """One level of the index: for each model its parts, whether it is the last, and the cells of a node."""
+
+    def __init__(self, fans: dict[str, list[int]], sizes: dict[str, int], depth: int):
+        self.fan = {m: f[depth] if depth < len(f) else 1 for m, f in fans.items()}
+        self.last = {m: depth >= len(f) - 1 for m, f in fans.items()}
+        self.cells = {}
+        for m, f in fans.items():
+            rows, cells = sizes[m], 1
+            for fan in f[:depth]:
+                rows //= fan
+            while cells < self.fan[m] and rows // (cells * 2) >= CELL:
+                cells *= 2
+            self.cells[m] = cells if self.last[m] else 0
+        self.recall = {m: RECALL ** (1 / max(1, len(f))) for m, f in fans.items()}
+
+
+def _fits(asking: DataFrame, level: _Level, limit: int) -> DataFrame:
+    """(model, part, fit BINARY): the routers of the nodes of a level, each from a sample of the rows that enter it."""
+    enter = asking.groupBy("model", "part").agg(F.count("*").alias("n"))
+    drawn = asking.join(enter, ["model", "part"]).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < F.lit(limit << 20) / F.col("n")).select("model", "part", "own", "p", "v", "key")
+
+    def fit(t: pa.Table) -> pa.Table:
+        # the order of the rows must not depend on the shuffle
+        t = t.sort_by("key")
+        model = t["model"][0].as_py()
+        x = _matrix(t["v"], len(t["v"][0])).astype(np.float32)
+        got = fit_node(x, t["own"].to_numpy().astype(bool), t["p"].to_numpy().astype(np.float64), level.fan[model], level.recall[model])
+        return pa.table([pa.array([model]), t["part"].slice(0, 1).combine_chunks(), pa.array([pickle.dumps(got)], pa.binary())], names=["model", "part", "fit"])
+
+    return drawn.groupBy("model", "part").applyInArrow(fit, "model string, part bigint, fit binary")
+
+
+_ENTRY = pa.list_(pa.struct([("part", pa.int64()), ("leaves", pa.int64()), ("p", pa.float32())]))
+_NOTHING = pa.schema([("key", pa.binary()), ("model", pa.string()), ("v", pa.list_(pa.float32())), ("own", pa.bool_()), ("home", pa.int64()), ("leaf", pa.int32()), ("probes", _ENTRY)]).empty_table()
+_ROUTED = f"key binary, model string, v array<float>, own boolean, home bigint, leaf int, probes {_PROBES}"
+
+
+def _routed(model: str, part: int, key, v, own: np.ndarray, p: np.ndarray, fit, level: _Level) -> pa.Table:
+    cells = level.cells[model]
+    home, counts, child, leaves, p_child = _route(_matrix(v, len(v[0])), p, part, fit, cells)
+    place = part * FAN + (home % cells if cells else home)
+    columns = [key, pa.array([model] * len(home)), v, pa.array(own), pa.array(place.astype(np.int64)), pa.array(home.astype(np.int32)), _probes(counts, child, leaves, p_child)]
+    return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["key", "model", "v", "own", "home", "leaf", "probes"])
+
+
+def _first_level(rows: DataFrame, fits: dict[str, tuple | None], level: _Level) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = np.array(b.column(1).to_pylist(), dtype=object)
+            for model in sorted(set(names)):
+                t = pa.Table.from_batches([b]).filter(pa.array(names == model))
+                n = t.num_rows
+                yield from _routed(model, 0, t["key"], t["v"], np.ones(n, bool), np.ones(n), fits[model], level).to_batches()
+
+    return rows.select("key", "model", "v").mapInArrow(run, _ROUTED)
+
+
+def _next_level(asking: DataFrame, fits: DataFrame, level: _Level) -> DataFrame:
+    """The entering rows of each node, block by block, meet the node's router."""
+    blocks = asking.groupBy("model", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    node = ["model", "part", "block"]
+    routers = fits.join(blocks, ["model", "part"]).select("model", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "fit")
+    rows = asking.join(blocks, ["model", "part"]).select("model", "part", F.pmod(F.xxhash64("key"), "n").cast("int").alias("block"), "key", "v", "own", "p")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows:
+            return _NOTHING
+        fit = pickle.loads(b["fit"][0].as_py()) if b.num_rows else None
+        return _routed(a["model"][0].as_py(), a["part"][0].as_py(), a["key"], a["v"], a["own"].to_numpy().astype(bool), a["p"].to_numpy().astype(np.float64), fit, level)
+
+    routers = routers.select(*[F.col(c).alias(f"r_{c}") for c in node], "fit")
+    return rows.groupBy(*node).cogroup(routers.groupBy(*[f"r_{c}" for c in node])).applyInArrow(run, _ROUTED)
+
+
+def _asking(routed: DataFrame) -> DataFrame:
+    """A row for each part that a row enters."""
+    one = routed.select("key", "model", "v", "own", "home", F.explode("probes").alias("e"))
+    return one.select("key", "model", "v", (F.col("own") & (F.col("e.part") == F.col("home"))).alias("own"), F.col("e.part").alias("part"), F.col("e.leaves").alias("leaves"), F.col("e.p").alias("p"))
+
+
+def index(v: DataFrame, models: dict[str, int]) -> DataFrame:
+    """Every row with its place (``home``, ``leaf``; of the rows marked ``own``) and the cells and parts that it searches."""
+    sizes = {m: 0 for m in models} | {r["model"]: r["n"] for r in v.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    fans = {m: plan(n) for m, n in sizes.items()}
+    level = _Level(fans, sizes, 0)
+    top = v.where(F.col("model").isin([m for m, f in fans.items() if f])).select("key", "model", "v", F.lit(True).alias("own"), F.lit(0).cast("bigint").alias("part"), F.lit(1.0).cast("float").alias("p"))
+    # one router a model
+    fits = {m: None for m in models} | {r["model"]: pickle.loads(r["fit"]) for r in _fits(top, level, SAMPLE).collect()}
+    out, routed = None, Stage(_first_level(v, fits, level), dictionary=False).df
+    depth = 1
+    while any(len(f) > depth for f in fans.values()):
+        deeper = F.col("model").isin([m for m, f in fans.items() if len(f) > depth])
+        done = routed.where(~deeper)
+        out = done if out is None else out.unionByName(done)
+        asking = Stage(_asking(routed.where(deeper)), dictionary=False).df
+        level = _Level(fans, sizes, depth)
+        routed = Stage(_next_level(asking, _fits(asking, level, INNER_SAMPLE), level), dictionary=False).df
+        depth += 1
+    return routed if out is None else out.unionByName(routed)
+
+
+def _crowds(v: DataFrame, k: int) -> DataFrame:
+    """(model, h1, h2, rep, edge) of the vectors that more than k + 1 rows share: their least key and the one k places on."""
+    many = v.groupBy("model", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n")
+    rank = F.row_number().over(Window.partitionBy("model", "h1", "h2").orderBy("key"))
+    first = v.select("model", "h1", "h2", "key").join(many, ["model", "h1", "h2"]).withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    return first.groupBy("model", "h1", "h2").agg(F.min("key").alias("rep"), F.max("key").alias("edge"))
 
 
-def _one_model(v: DataFrame, dim: int, k: int) -> DataFrame:
-    sample = v.select("v", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
-    router = fit_router(_matrix(sample["v"], dim))
-    parts = router.weights[2].shape[1]
+def most_similar(rows: DataFrame, k: int = K, models: dict[str, int] = MODELS) -> DataFrame:
+    """(uuid, other, model, rank, similarity): the k most similar others of every vector.
+
+    Of equal vectors only the k + 1 rows of the least keys can be among anyone's k nearest: the others aren't put into the
+    index, and take their results from the first. A third of all rows in one vector thus costs one pass, not all its pairs.
+    """
+    v = Stage(usable(rows, models).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(9), "v")}), dictionary=False).df
+    crowds = Stage(_crowds(v, k)).df
+    met = _search(Stage(v.join(crowds, ["model", "h1", "h2"], "left").where("edge is null or key <= edge").select("key", "model", "v"), dictionary=False).df, k, models)
+    met = Stage(met).df
+    late = v.select("model", "h1", "h2", "key").join(crowds, ["model", "h1", "h2"]).where("key > edge").select("key", "rep", "model")
+    lists = met.join(crowds.select(F.col("rep").alias("q")), "q", "left_semi").groupBy(F.col("q").alias("rep")).agg(F.collect_list(F.struct((-F.col("sim")).alias("less"), "b")).alias("found"))
+    # at most k entries and the row itself
+    found = F.slice(F.array_sort(F.concat("found", F.array(F.struct(F.lit(-1.0).alias("less"), F.col("rep").alias("b"))))), 1, k)
+    more = late.join(lists, "rep").select(F.col("key").alias("q"), "model", F.posexplode(found).alias("i", "e")).select("model", "q", F.col("e.b").alias("b"), (-F.col("e")["less"]).alias("sim"), (F.col("i") + 1).alias("rank"))
+    out = met.unionByName(more)
+    return out.select(unpack_key(F.col("q")).alias("uuid"), unpack_key(F.col("b")).alias("other"), "model", "rank", F.col("sim").alias("similarity"))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p = router.probabilities(_matrix(b.column(1), dim).astype(np.float32))
-            order = np.argsort(-p, axis=1)
-            sorted_ = np.take_along_axis(p, order, 1)
-            use = np.cumsum(sorted_, axis=1) - sorted_ < MASS
-            n = use.sum(1)
-            probes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(order[use].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(order[:, 0].astype(np.int32)), probes], names=["key", "v", "home", "probes"])
-
-    routed = Stage(v.select("key", "v").mapInArrow(route, "key binary, v array<float>, home int, probes array<int>"), dictionary=False).df
-    # sizes of the parts: at most SAMPLE / PART_ROWS rows
-    stored = routed.groupBy(F.col("home").alias("part")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_b"))
-    asked = routed.select(F.explode("probes").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_q"))
-    grid = F.broadcast(Stage(stored.join(asked, "part")).df)
-    assert parts <= SAMPLE
-    cell = ["part", "b_block", "q_block"]
+
+def _search(v: DataFrame, k: int, models: dict[str, int]) -> DataFrame:
+    """(model, q, b, sim, rank)"""
+    routed = index(v, models)
+    stored = routed.where("own").groupBy("model", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_b"))
+    asked = routed.select("model", F.explode("probes.part").alias("cell")).groupBy("model", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_q"))
+    # a row for each cell, of CELL rows: small, but growing with the data; Spark broadcasts it only below its own bound
+    grid = Stage(stored.join(asked, ["model", "cell"])).df
+    meeting = ["model", "cell", "b_block", "q_block"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = routed.select(F.col("home").alias("part"), "key", "v").join(grid, "part").select("part", F.pmod(F.xxhash64("key"), "n_b").cast("int").alias("b_block"), spread("n_q").alias("q_block"), "key", "v")
-    asking = routed.select(F.explode("probes").alias("part"), F.col("key").alias("q_key"), F.col("v").alias("q_v")).join(grid, "part")
-    asking = asking.select(F.col("part").alias("q_part"), spread("n_b").alias("b_block_2"), F.pmod(F.xxhash64("q_key"), "n_q").cast("int").alias("q_block_2"), "q_key", "q_v")
-    met = base.groupBy(*cell).cogroup(asking.groupBy("q_part", "b_block_2", "q_block_2")).applyInArrow(lambda a, b: _best(a, b, dim, k), "q binary, b binary, sim double")
+    base = routed.where("own").select("model", F.col("home").alias("cell"), "leaf", "key", "v").join(grid, ["model", "cell"])
+    base = base.select("model", "cell", F.pmod(F.xxhash64("key"), "n_b").cast("int").alias("b_block"), spread("n_q").alias("q_block"), "leaf", "key", "v")
+    asking = _asking(routed).select("model", F.col("part").alias("cell"), "leaves", F.col("key").alias("q_key"), F.col("v").alias("q_v")).join(grid, ["model", "cell"])
+    asking = asking.select("model", "cell", spread("n_b").alias("b_block"), F.pmod(F.xxhash64("q_key"), "n_q").cast("int").alias("q_block"), "leaves", "q_key", "q_v")
+    met = base.groupBy(*meeting).cogroup(asking.select(*[F.col(c).alias(f"q_{c}") for c in meeting], "leaves", "q_key", "q_v").groupBy(*[f"q_{c}" for c in meeting])).applyInArrow(lambda a, b: _met(a, b, k), "model string, q binary, b binary, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "b"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def most_similar(rows: DataFrame, k: int = K, models: dict[str, int] = MODELS) -> DataFrame:
-    """(uuid, other, model, rank, similarity): the k most similar others of every vector."""
-    v = Stage(usable(rows, models), dictionary=False).df
-    out = None
-    for model, dim in models.items():
-        one = _one_model(v.where(F.col("model") == model), dim, k).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    return out.select(unpack_key(F.col("q")).alias("uuid"), unpack_key(F.col("b")).alias("other"), "model", "rank", F.col("sim").alias("similarity"))
+def _met(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
+    t = _best(a, b, k)
+    model = a["model"][0].as_py() if a.num_rows else None
+    return t.add_column(0, "model", pa.array([model] * t.num_rows, pa.string()))
