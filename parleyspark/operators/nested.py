@@ -1,7 +1,7 @@
 """Deeply nested JSON records to flat tables, with Merkle identities of all subtrees.
 
-Every object, list and scalar gets an identity hashed bottom-up over its canonical form (members by key, numbers in one
-spelling), so that equal subtrees have equal identities wherever they stand. Identical ones are stored once; every
+Every object, list and scalar gets an identity hashed bottom-up over its canonical form (members by key, numbers of any
+length in one decimal spelling), so that equal subtrees have equal identities wherever they stand. Identical ones are stored once; every
 occurrence is kept as a bridge row with its parent and its ordinal.
 
 Defined cases: NULL, blank or invalid JSON (NaN and Infinity included), a value that isn't an object and an object whose
@@ -39,13 +39,49 @@ def _constant(name: str) -> None:
     raise ValueError(name)
 
 
+_DECIMAL = re.compile(r"(-?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?")
+#: Longer integers stay text: the interpreter doesn't convert them.
+_INTEGER_DIGITS = 4_000
+
+
+class Exact(float):
+    """A number that no float equals; ``text`` is its one spelling."""
+
+    text: str
+
+
+def spelling(text: str) -> str:
+    """The one spelling of a decimal number, whatever its length: equal numbers get equal texts, different ones don't."""
+    sign, whole, part, power = _DECIMAL.fullmatch(text).groups()
+    digits = (whole + part).lstrip("0")
+    if not digits:
+        return "0"
+    kept = digits.rstrip("0")
+    # the value is kept * 10 ** e
+    e = int(power or 0) - len(part) + len(digits) - len(kept)
+    if 0 <= e and len(kept) + e <= 21:
+        return sign + kept + "0" * e
+    if e < 0 and len(kept) + e > 0:
+        return f"{sign}{kept[:e]}.{kept[e:]}"
+    if e < 0 and len(kept) + e > -6:
+        return f"{sign}0.{'0' * -(len(kept) + e)}{kept}"
+    more = f".{kept[1:]}" if len(kept) > 1 else ""
+    return f"{sign}{kept[0]}{more}e{e + len(kept) - 1:+d}"
+
+
 def _number(text: str) -> int | float:
     x = float(text)
-    return int(x) if x.is_integer() and abs(x) < 2**53 else x
+    if x.is_integer() and abs(x) < 2**53 and len(text) < 18:
+        return int(x)
+    one = spelling(text)
+    if x in (float("inf"), float("-inf")) or spelling(repr(x)) != one:
+        x = Exact(x)
+        x.text = one
+    return x
 
 
 def _integer(text: str) -> int | float:
-    return int(text) if len(text) < 400 else _number(text)
+    return int(text) if len(text) < _INTEGER_DIGITS else _number(text)
 
 
 _DECODER = json.JSONDecoder(parse_constant=_constant, parse_float=_number, parse_int=_integer)
@@ -152,7 +188,7 @@ def _scalar(value) -> tuple[str, str]:
         return "string", _clean(value)
     if isinstance(value, bool):
         return "boolean", "true" if value else "false"
-    return "number", repr(value)
+    return "number", value.text if isinstance(value, Exact) else spelling(repr(value))
 
 
 def identities(root) -> tuple[dict[int, bytes], list]:

@@ -1,11 +1,12 @@
 import json
 from collections import defaultdict
 from datetime import datetime
+from decimal import Decimal
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parleyspark.operators.nested import NestedTables, _decode_deep, decode, identities, leaves, shred_one
+from parleyspark.operators.nested import NestedTables, _decode_deep, decode, identities, leaves, shred_one, spelling
 
 SCHEMA = "record_id bigint, exported_at timestamp, payload string, blocks string, nodes int"
 values = st.recursive(st.none() | st.booleans() | st.integers(-(2**60), 2**60) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=5), x, max_size=4), max_leaves=25)
@@ -33,9 +34,10 @@ def test_objects_and_links_give_the_payload_back(members):
             return {x["member"]: build(x) for x in below}
         if n["kind"] == "array":
             return [build(x) for x in below]
-        return {"null": lambda v: None, "string": str, "boolean": lambda v: v == "true", "number": json.loads}[n["kind"]](n["value"])
+        return {"null": lambda v: None, "string": str, "boolean": lambda v: v == "true", "number": Decimal}[n["kind"]](n["value"])
 
-    assert build(nodes[0]) == payload
+    # numbers are compared as the decimals that the text holds
+    assert build(nodes[0]) == json.loads(json.dumps(payload), parse_float=Decimal, parse_int=Decimal)
 
 
 def test_identity_ignores_order_of_members_and_spelling_of_numbers():
@@ -45,6 +47,20 @@ def test_identity_ignores_order_of_members_and_spelling_of_numbers():
     assert identities(a)[0][id(a)] != identities(c)[0][id(c)]
 
 
+def test_numbers_of_any_length_keep_their_value():
+    def identity(text):
+        x = decode(f"[{text}]")
+        return identities(x)[0][id(x)]
+
+    long = "7" * 400
+    assert identity(long + "1") != identity(long + "2") and identity("9" * 5000 + "1") != identity("9" * 5000 + "2")
+    assert identity("1e400") != identity("1e401") and identity("-1e400") != identity("1e400") and identity("1E400") == identity("10.0e399") == identity("1" + "0" * 400)
+    assert identity("1e20") == identity("100000000000000000000") == identity("100000000000000000000.0") and identity("0.1") == identity("1e-1") == identity("0.1000")
+    assert identity("0.1") != identity("0.1000000000000000000001") and identity("-0.0") == identity("0") and identity("9007199254740993") != identity("9007199254740993.5")
+    node = lambda t: shred_one('{"uuid": "u", "n": ' + t + "}", True)["nodes"][-1]["value"]
+    assert node(long) == spelling(long) == long[0] + "." + long[1:] + "e+399" and node("12.50") == "12.5" and node("1e5") == "100000" and node("0.00012") == "0.00012"
+
+
 def test_bad_payloads():
     for bad in (None, "", "  ", "{", "[]", "null", '"x"', '{"uuid": null}', '{"uuid": ""}', '{"uuid": 5}', '{"uuid": "a", "x": NaN}', '{"uuid": "a"} x'):
         assert shred_one(bad, False) is None
