@@ -1,11 +1,13 @@
 """Evaluation items that leak into a corpus, by spaced-seed hashing.
 
-A seed is a mask over a window of SPAN words that ignores some positions. Windows of the items are hashed under each mask
-once; each document is read once, its windows are hashed under the same masks and looked up. A hit fixes a diagonal (the
-document's position less the item's); along it the two are compared word by word, which gives the longest exact run and
-the best overlap that tolerates substitutions. A run of SPAN equal words is hit under every mask, so none is missed.
+A seed is a mask over a window of SPAN words that ignores some positions. The windows of the items are hashed under each mask
+into a table of seeds. The corpus is read once, whatever the number of items: the windows of each document are hashed under
+the same masks, and those that a Bloom filter of the seeds can't rule out stay, with the hashed words of their document. These
+meet the seeds in a join on the hash. Each pair of a document and an item that share a seed is verified on its words: the
+longest exact run, and along every diagonal that a shared seed lies on the best overlap that tolerates substitutions. A run
+of SPAN equal words is hit under every mask, so none is missed.
 
-Words are runs of letters and digits, without case, in the consistent form of ``lookalike``.
+Words are runs of letters and digits, without case, in the consistent form of ``lookalike``; they are compared by 64-bit hashes.
 
 Defined cases: null and blank texts hold no words; items of fewer than SPAN words can't be found; repeated rows of a
 document or an item give repeated results only if their keys differ; empty tables give empty results.
@@ -19,23 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parleyspark.llm.lookalike import CYRILLIC, GREEK, canonical
+from parleyspark.plans.stage import Stage
 
 SPAN = 12
 #: 1: the word counts, 0: it may differ.
 MASKS = ("110101100111", "111011001011", "101110110101")
-#: Characters of items in one pass over the corpus; more items are taken in blocks. About 12 bytes of closure a character.
-BLOCK_CHARS = 2_000_000
+#: Bits of the filter, at most: 16 MB. It has 64 bits a seed up to two million seeds; with more it lets more pass, and the join rules them out.
+FILTER_BITS = 1 << 27
+_PROBES = 3
+#: Hashes of words kept in a worker.
+_KEPT_WORDS = 500_000
+#: Words of documents hashed together in a worker.
+_BATCH_WORDS = 1_000_000
 
-_WEIGHT = min(m.count("1") for m in MASKS)
 _WORDS = re.compile(r"[^\W_]+")
 #: Small letters without a Latin twin whose capitals have one, each with that twin in small. Ν/ν, Υ/υ and Ӏ/ӏ have a twin in either case, and keep them.
 _TWINS = CYRILLIC | GREEK
 _SMALL = str.maketrans({c.casefold(): t.casefold() for c, t in _TWINS.items() if c.casefold() not in _TWINS} | {"κ": "k", "к": "k"})
-_GREEK_OR_CYRILLIC = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+_GREEK_OR_CYRILLIC = re.compile("[Ͱ-ԯἀ-῿]")
 _ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1 for k in range(SPAN)], np.uint64)
 
@@ -52,102 +60,200 @@ def words(text: str | None) -> list:
     return [w.encode() for w in _WORDS.findall(form)]
 
 
-def _hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the windows all of whose masked words are known, and their hashes."""
-    n = len(ids) - SPAN + 1
+class Words:
+    """64-bit hashes of words, the usual ones remembered."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def codes(self, text: str | None) -> np.ndarray:
+        known, ws = self.known, words(text)
+        if len(known) > _KEPT_WORDS:
+            known.clear()
+        for w in ws:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+
+
+def window_hashes(codes: np.ndarray, mask_no: int) -> np.ndarray:
+    """The hash of each window of SPAN codes under a mask; masks don't share hashes."""
+    n = max(0, len(codes) - SPAN + 1)
+    h = np.full(n, mask_no + 1, np.uint64)
+    for k in range(SPAN):
+        if MASKS[mask_no][k] == "1":
+            h += codes[k : k + n] * _FACTORS[k]
+            h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """(item_id, h): the distinct hashed windows of each item; and its words, in the row where h is NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = Words()
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = hashing.codes(t.as_py())
+                if len(codes) < SPAN:
+                    continue
+                h = np.unique(np.concatenate([window_hashes(codes, m) for m in range(len(MASKS))])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], names=["item_id", "h", "item_words"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.array([codes.view(np.int64)], pa.list_(pa.int64()))], names=["item_id", "h", "item_words"])
+
+    return items.mapInArrow(run, "item_id bigint, h bigint, item_words array<bigint>")
+
+
+def _filter_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 17, 34)[:_PROBES]]
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """Bloom filter of the seeds, 64 bits a word: filled in the JVM, of at most FILTER_BITS / 64 rows on the driver."""
+    n, bits = seeds.count(), 1 << 16
+    while bits < min(FILTER_BITS, 64 * n):
+        bits *= 2
+    places = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(bits - 1) for s in (0, 17, 34)[:_PROBES]]))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = seeds.select(places.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["word"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(codes: np.ndarray, of: np.ndarray, bloom: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the windows that pass; windows that reach over the end of a document don't count."""
+    n = len(codes) - SPAN + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    offsets = [k for k in range(SPAN) if mask[k] == "1"]
-    known = ids >= 0
-    ok = known[offsets[0] : offsets[0] + n].copy()
-    for k in offsets[1:]:
-        ok &= known[k : k + n]
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for k in offsets:
-        h += (ids[at + k].astype(np.uint64) + np.uint64(1)) * _FACTORS[k]
-        h ^= h >> np.uint64(29)
-    return at, h
-
-
-class Items:
-    """The hashed windows of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.keys = [k for k, _ in rows]
-        self.vocabulary: dict[bytes, int] = {}
-        self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], np.int64) for _, t in rows]
-        self.tables = []
-        for mask in MASKS:
-            item, pos, code = [], [], []
-            for i, ids in enumerate(self.ids):
-                at, h = _hashes(ids, mask)
-                item.append(np.full(len(at), i)), pos.append(at), code.append(h)
-            item, pos, code = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (item, pos, code))
-            order = np.argsort(code, kind="stable")
-            self.tables.append((code[order].astype(np.uint64), item[order], pos[order]))
-
-    def overlaps(self, text: str | None) -> list[tuple]:
-        """(item key, longest exact run, words of the best tolerant overlap, of these equal, its first word) of one document."""
-        ws = words(text)
-        if len(ws) < SPAN:
-            return []
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-        # a window that could be hit holds as many known words as a mask has positions; most documents have none
-        known = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum(ids >= 0, out=known[1:])
-        if (known[SPAN:] - known[:-SPAN]).max() < _WEIGHT:
-            return []
-        diagonals = set()
-        for mask, (codes, item, pos) in zip(MASKS, self.tables, strict=True):
-            at, h = _hashes(ids, mask)
-            lo = np.searchsorted(codes, h, "left")
-            hit = np.flatnonzero((lo < len(codes)) & (codes[np.minimum(lo, len(codes) - 1)] == h)) if len(codes) else []
-            if not len(hit):
+    whole = of[:n] == of[SPAN - 1 :]
+    docs, hashes = [], []
+    for m in range(len(MASKS)):
+        h = window_hashes(codes, m)
+        at = np.flatnonzero(whole)
+        for place in range(_PROBES):
+            p = _filter_places(h[at], len(bloom) * 64)[place]
+            at = at[(bloom[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        docs.append(of[at]), hashes.append(h[at])
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def _candidates(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
+    """(doc_id, doc_words, hits): documents with a window that passes the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing, bits = Words(), shared.value
+        keys, held, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            codes, of = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            doc, h = _passing(codes, of, bits)
+            for d in np.unique(doc).tolist():
+                hits = np.unique(h[doc == d]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[d]], pa.int64()), pa.array([held[d].view(np.int64)], pa.list_(pa.int64())), pa.array([hits], pa.list_(pa.int64()))], names=["doc_id", "doc_words", "hits"])
+
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = hashing.codes(t.as_py())
+                if len(codes) >= SPAN:
+                    keys.append(k), held.append(codes)
+                    size += len(codes)
+                if size >= _BATCH_WORDS:
+                    yield from flush()
+                    keys, held, size = [], [], 0
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(run, "doc_id bigint, doc_words array<bigint>, hits array<bigint>")
+
+
+def _progressions(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Sorted positions as (first, step, number): what repeats has few of them."""
+    out, i = [], 0
+    gaps = np.diff(at)
+    while i < len(at):
+        if i == len(at) - 1:
+            out.append((int(at[i]), 1, 1))
+            break
+        stop = np.flatnonzero(gaps[i:] != gaps[i])
+        n = int(stop[0]) + 1 if len(stop) else len(at) - i
+        out.append((int(at[i]), int(gaps[i]), n))
+        i += n
+    return out
+
+
+def _diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The distinct diagonals (place in the document less place in the item) on which a seed is shared."""
+    found = []
+    for m in range(len(MASKS)):
+        a, b = window_hashes(doc, m), window_hashes(item, m)
+        if not len(a) or not len(b):
+            continue
+        a_order, b_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        common = np.intersect1d(a, b)
+        bounds = [np.searchsorted(x, common, side) for x in (a[a_order], b[b_order]) for side in ("left", "right")]
+        for lo, hi, lo2, hi2 in zip(*bounds, strict=True):
+            if hi - lo == hi2 - lo2 == 1:
+                found.append(np.array([a_order[lo] - b_order[lo2]]))
                 continue
-            hi = np.searchsorted(codes, h[hit], "right")
-            for p, a, b in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                diagonals.update((i, p - q) for i, q in zip(item[a:b].tolist(), pos[a:b].tolist(), strict=True))
-        best: dict[int, tuple] = {}
-        for i, d in diagonals:
-            other = self.ids[i]
-            lo, hi = max(0, d), min(len(ids), d + len(other))
-            same = ids[lo:hi] == other[lo - d : hi - d]
-            at = np.flatnonzero(~same)
-            run = len(same) if not len(at) else int(max(at[0], len(same) - 1 - at[-1], (at[1:] - at[:-1]).max() - 1 if len(at) > 1 else 0))
-            # best segment with +1 for an equal word and -2 for another one
-            s = np.zeros(len(same) + 1, np.int64)
-            np.cumsum(np.where(same, 1, -2), out=s[1:])
-            low = np.minimum.accumulate(s)
-            end = int(np.argmax(s - low))
-            begin = int(np.flatnonzero(s[: end + 1] == low[end])[-1])
-            got = (run, end - begin, int(same[begin:end].sum()), lo + begin)
-            old = best.get(i)
-            best[i] = got if old is None else (max(run, old[0]), *max((got[1:], old[1:]), key=lambda x: (x[1], x[0], -x[2])))
-        return [(self.keys[i], *x) for i, x in best.items()]
+            # a step that both share gives one progression of diagonals, not all pairs of places
+            for p, step, n in _progressions(a_order[lo:hi]):
+                for q, step2, n2 in _progressions(b_order[lo2:hi2]):
+                    if n == 1 or n2 == 1 or step == step2:
+                        s = step if n2 == 1 else step2
+                        found.append(p - q + s * np.arange(1 - n2, n))
+                    else:
+                        found.append((p + step * np.arange(n)[:, None] - q - step2 * np.arange(n2)[None]).ravel())
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def overlap(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(longest exact run, words of the best tolerant overlap, of these equal, its first word) of two arrays of codes that share a seed."""
+    best, longest = None, 0
+    for d in _diagonals(doc, item).tolist():
+        lo, hi = max(0, d), min(len(doc), d + len(item))
+        same = doc[lo:hi] == item[lo - d : hi - d]
+        at = np.flatnonzero(~same)
+        run = len(same) if not len(at) else int(max(at[0], len(same) - 1 - at[-1], (at[1:] - at[:-1]).max() - 1 if len(at) > 1 else 0))
+        # best segment with +1 for an equal word and -2 for another one
+        s = np.zeros(len(same) + 1, np.int64)
+        np.cumsum(np.where(same, 1, -2), out=s[1:])
+        low = np.minimum.accumulate(s)
+        end = int(np.argmax(s - low))
+        begin = int(np.flatnonzero(s[: end + 1] == low[end])[-1])
+        got = (int(same[begin:end].sum()), end - begin, -(lo + begin))
+        longest = max(longest, run)
+        best = got if best is None else max(best, got)
+    return None if best is None else (longest, best[1], best[0], -best[2])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        doc, item = b.column(2), b.column(3)
+        for i in range(b.num_rows):
+            got = overlap(*(c[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (doc, item)))
+            # None: no window is equal, only its hash
+            if got is not None:
+                rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), *got))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "exact_words", "overlap_words", "equal_words", "first_word"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, exact_words, overlap_words, equal_words, first_word) for each document and item that share a seed hit.
+    """(doc_id, item_id, exact_words, overlap_words, equal_words, first_word) for each document and item that share a seed.
 
-    The documents are read and looked up where they are, without a shuffle; the items go to the tasks in blocks of at
-    most about BLOCK_CHARS characters, so that any number of them can be searched for, one pass over the corpus a block.
+    Neither texts nor the hashes of windows that no item has are shuffled: only the documents that pass the filter, as
+    hashes of their words, and their few hits. Seeds, hits and pairs meet in joins on written tables, which AQE splits where one is hot.
     """
     chosen = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null")
-    blocks = max(1, -(-(chosen.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK_CHARS))
+    hashed = Stage(_seeds(chosen)).df
+    seeds = hashed.where("h is not null").select("h", "item_id").distinct()
     corpus = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    out = None
-    for block in range(blocks):
-        rows = [(r.k, r.t) for r in chosen.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).collect()]
-        search = Items(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in search.overlaps(t.as_py())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "exact_words", "overlap_words", "equal_words", "first_word"])
-
-        part = corpus.mapInArrow(run, "doc_id bigint, item_id bigint, exact_words bigint, overlap_words bigint, equal_words bigint, first_word bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = Stage(_candidates(corpus, _filter(seeds))).df
+    pairs = Stage(found.select("doc_id", F.explode("hits").alias("h")).join(seeds, "h").select("doc_id", "item_id").distinct()).df
+    # a repeated key: each of its texts is verified
+    rows = pairs.join(found.select("doc_id", "doc_words"), "doc_id").join(hashed.where("h is null").select("item_id", "item_words"), "item_id")
+    return rows.select("doc_id", "item_id", "doc_words", "item_words").mapInArrow(_verified, "doc_id bigint, item_id bigint, exact_words bigint, overlap_words bigint, equal_words bigint, first_word bigint")

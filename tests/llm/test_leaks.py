@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from parleyspark.llm import leaks as lk
 
@@ -40,20 +43,43 @@ def test_exact_runs_against_brute_force(spark):
 
 def test_substitutions_and_forms():
     text = "Nobody at Mifmara noticed that the seventh clerk had stored forty uneven letters beneath the narrow staircase since last spring"
-    s = lk.Items([(1, text), (2, "too short to be found")])
+    hashing = lk.Words()
+    item = hashing.codes(text)
     changed = text.replace("seventh", "third").replace("narrow", "wide")
-    (k, run, overlap, equal, first), = s.overlaps("before that " + changed)
-    assert k == 1 and run < 12 and overlap >= 18 and equal == overlap - 2 and first == 2
+    run, overlap, equal, first = lk.overlap(hashing.codes("before that " + changed), item)
+    assert run < 12 and overlap >= 18 and equal == overlap - 2 and first == 2
     look = text.replace("o", "о").replace("a", "ａ").replace("stored", "sto­red")
-    assert s.overlaps(look.upper())[0][1] == len(text.split())
-    assert s.overlaps(None) == s.overlaps("") == s.overlaps("a b c") == []
+    assert lk.overlap(hashing.codes(look.upper()), item)[0] == len(text.split())
+    for nothing in (None, "", "a b c"):
+        assert lk.overlap(hashing.codes(nothing), item) is None
+
+
+def test_overlaps_against_all_diagonals():
+    rnd = np.random.default_rng(5)
+    for _ in range(60):
+        doc, item = rnd.integers(0, rnd.integers(1, 4), rnd.integers(12, 60)), rnd.integers(0, 2, rnd.integers(12, 40))
+        want = set()
+        for m, mask in enumerate(lk.MASKS):
+            on = [k for k in range(12) if mask[k] == "1"]
+            want |= {p - q for p in range(len(doc) - 11) for q in range(len(item) - 11) if all(doc[p + k] == item[q + k] for k in on)}
+        assert set(lk._diagonals(doc.astype(np.uint64), item.astype(np.uint64)).tolist()) == want
+
+
+def test_repeated_words_stay_cheap():
+    hashing = lk.Words()
+    began = time.time()
+    assert lk.overlap(hashing.codes("again " * 4000), hashing.codes("again " * 1000))[0] == 1000
+    assert lk.overlap(hashing.codes("now and then " * 2000), hashing.codes("now and then " * 300))[0] == 900
+    assert time.time() - began < 2
 
 
 def test_blocks_and_ends(spark, monkeypatch):
     rows = [(i, " ".join(f"x{i}y{k}" for k in range(14)), "s") for i in range(12)] + [(99, None, "s"), (None, "a " * 14, "s")]
-    docs = [(i, rows[i][1] + " tail", "") for i in range(12)] + [(50, None, ""), (51, "", ""), (None, rows[0][1], ""), (52, "z " * 200_000 + rows[3][1], "")]
+    docs = [(i, rows[i][1] + " tail", "") for i in range(12)] + [(50, None, ""), (51, "", ""), (None, rows[0][1], ""), (52, "z " * 200_000 + rows[3][1], ""), (53, "x3y0 " * 14, "")]
     a, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(rows, ITEMS)
     whole = {tuple(r) for r in lk.leaks(a, b).collect()}
-    monkeypatch.setattr(lk, "BLOCK_CHARS", 400)
+    # a filter that lets nearly everything pass changes nothing
+    monkeypatch.setattr(lk, "FILTER_BITS", 64)
+    monkeypatch.setattr(lk, "_BATCH_WORDS", 30)
     assert {tuple(r) for r in lk.leaks(a, b).collect()} == whole and len(whole) == 13
     assert lk.leaks(a, b.where("false")).count() == lk.leaks(a.where("false"), b).count() == 0
