@@ -81,6 +81,13 @@ _PAIRS = """d AS (SELECT DISTINCT entity, message_uuid FROM t), n1 AS (SELECT en
 ab AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n_ab FROM d a JOIN d b ON a.message_uuid = b.message_uuid AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 3),
 p AS (SELECT ab.*, x.n AS n_a, y.n AS n_b, total.n AS n_all FROM ab JOIN n1 x ON x.entity = entity_a JOIN n1 y ON y.entity = entity_b, total WHERE n_ab * total.n >= 3 * x.n * y.n)"""
 
+_FROM, _TO = "".join(lookalike.CYRILLIC | lookalike.GREEK), "".join((lookalike.CYRILLIC | lookalike.GREEK).values())
+_WIDE, _PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_SMALL_FROM, _SMALL_TO = "".join(map(chr, leaks._SMALL)), "".join(leaks._SMALL.values())
+#: The words of a text: look-alike letters as one, small ones as the capitals' twins, whatever can't be seen left out.
+_WORD_LIST = f"""list_transform(regexp_extract_all(lower(nfc_normalize(translate(translate(regexp_replace(text, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_WIDE.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'), '{_FROM}', '{_TO}'))), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: translate(x, '{_SMALL_FROM}', '{_SMALL_TO}'))"""
+_WINDOWS = "SELECT {key}, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL))"
+
 QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
 SQL = {
     "p3_found": r"""WITH RECURSIVE m AS (
@@ -104,4 +111,6 @@ SELECT conv AS conversation_uuid, turn, id AS message_uuid, role FROM judged WHE
   round(ln((n_ab + 0.5) * (n_all - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))), 6) AS log_odds FROM p""",
     "p7_found": f"WITH {_TERMS}, {_COUNTS} SELECT entity, type, {_MARK} AS mark FROM c, total WHERE {_MARK} IS NOT NULL",
     "p7_terms": f"WITH {_TERMS}, {_COUNTS} SELECT entity, type, n_rows, n_records, {_MARK} AS mark FROM c, total",
+    "p9_found": f"""WITH d AS ({_WINDOWS.format(key="doc_id", words=_WORD_LIST, table="documents")}), e AS ({_WINDOWS.format(key="item_id", words=_WORD_LIST, table="eval_items")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (x)""",
 }
