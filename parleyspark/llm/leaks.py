@@ -36,8 +36,10 @@ FILTER_BITS = 1 << 27
 _PROBES = 3
 #: Hashes of words kept in a worker.
 _KEPT_WORDS = 500_000
-#: Words of documents hashed together in a worker.
+#: Words of documents hashed together in a worker, and words compared together.
 _BATCH_WORDS = 1_000_000
+#: Words of all items that go to the workers whole (8 bytes each); with more of them, items are joined to their pairs.
+SHARED_WORDS = 4_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
 #: Small letters without a Latin twin whose capitals have one, each with that twin in small. Ν/ν, Υ/υ and Ӏ/ӏ have a twin in either case, and keep them.
@@ -88,21 +90,52 @@ def window_hashes(codes: np.ndarray, mask_no: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _progressions(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Sorted positions as (first, step, number): what repeats has few of them."""
+    out, i = [], 0
+    gaps = np.diff(at)
+    while i < len(at):
+        if i == len(at) - 1:
+            out.append((int(at[i]), 1, 1))
+            break
+        stop = np.flatnonzero(gaps[i:] != gaps[i])
+        n = int(stop[0]) + 1 if len(stop) else len(at) - i
+        out.append((int(at[i]), int(gaps[i]), n))
+        i += n
+    return out
+
+
+def _places(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, first place, step, number) of hashes that stand at ascending places."""
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], at[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    size = np.diff(np.r_[starts, len(h)])
+    single = starts[size == 1]
+    many = [(h[i], *p) for i, n in zip(starts[size > 1], size[size > 1], strict=True) for p in _progressions(at[i : i + n])]
+    one = np.ones(len(single), np.int64)
+    return np.r_[h[single], np.array([x[0] for x in many], np.uint64)].view(np.int64), *(np.r_[a, np.array([x[k] for x in many], np.int64)].astype(np.int32) for k, a in ((1, at[single]), (2, one), (3, one)))
+
+
 def _seeds(items: DataFrame) -> DataFrame:
-    """(item_id, h): the distinct hashed windows of each item; and its words, in the row where h is NULL."""
+    """(item_id, h, at, step, n, length): the hashed windows of each item and where they stand; and its words, in the row where h is NULL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Words()
+        names = ["item_id", "h", "at", "step", "n", "length", "item_words"]
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = hashing.codes(t.as_py())
                 if len(codes) < SPAN:
                     continue
-                h = np.unique(np.concatenate([window_hashes(codes, m) for m in range(len(MASKS))])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], names=["item_id", "h", "item_words"])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.array([codes.view(np.int64)], pa.list_(pa.int64()))], names=["item_id", "h", "item_words"])
+                for m in range(len(MASKS)):
+                    h = window_hashes(codes, m)
+                    columns = _places(h, np.arange(len(h)))
+                    n = len(columns[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), *map(pa.array, columns), pa.array([len(codes)] * n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.int32())] * 3, pa.array([len(codes)], pa.int32()), pa.array([codes.view(np.int64)], pa.list_(pa.int64()))], names=names)
 
-    return items.mapInArrow(run, "item_id bigint, h bigint, item_words array<bigint>")
+    return items.mapInArrow(run, "item_id bigint, h bigint, at int, step int, n int, length int, item_words array<bigint>")
 
 
 def _filter_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -111,6 +144,7 @@ def _filter_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def _filter(seeds: DataFrame) -> np.ndarray:
     """Bloom filter of the seeds, 64 bits a word: filled in the JVM, of at most FILTER_BITS / 64 rows on the driver."""
+    # seeds that stand at several places count as often
     n, bits = seeds.count(), 1 << 16
     while bits < min(FILTER_BITS, 64 * n):
         bits *= 2
@@ -123,20 +157,25 @@ def _filter(seeds: DataFrame) -> np.ndarray:
 
 
 def _passing(codes: np.ndarray, of: np.ndarray, bloom: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the windows that pass; windows that reach over the end of a document don't count."""
+    """(place, hash) of the windows that pass; windows that reach over the end of a document don't count. Masks have no hash in common."""
     n = len(codes) - SPAN + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     whole = of[:n] == of[SPAN - 1 :]
-    docs, hashes = [], []
+    places, hashes = [], []
     for m in range(len(MASKS)):
         h = window_hashes(codes, m)
         at = np.flatnonzero(whole)
         for place in range(_PROBES):
             p = _filter_places(h[at], len(bloom) * 64)[place]
             at = at[(bloom[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)]
-        docs.append(of[at]), hashes.append(h[at])
-    return np.concatenate(docs), np.concatenate(hashes)
+        places.append(at), hashes.append(h[at])
+    places, hashes = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(places, kind="stable")
+    return places[order], hashes[order]
+
+
+_HITS = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("step", pa.int32()), ("n", pa.int32())]))
 
 
 def _candidates(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
@@ -148,11 +187,14 @@ def _candidates(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
         keys, held, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            codes, of = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
-            doc, h = _passing(codes, of, bits)
+            lengths = np.array([len(x) for x in held])
+            codes, of, begins = np.concatenate(held), np.repeat(np.arange(len(held)), lengths), np.cumsum(lengths) - lengths
+            at, h = _passing(codes, of, bits)
+            doc = of[at]
             for d in np.unique(doc).tolist():
-                hits = np.unique(h[doc == d]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[d]], pa.int64()), pa.array([held[d].view(np.int64)], pa.list_(pa.int64())), pa.array([hits], pa.list_(pa.int64()))], names=["doc_id", "doc_words", "hits"])
+                lo, hi = np.searchsorted(doc, [d, d + 1])
+                hits = pa.StructArray.from_arrays([pa.array(x) for x in _places(h[lo:hi], at[lo:hi] - begins[d])], names=["h", "at", "step", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[d]], pa.int64()), pa.array([held[d].view(np.int64)], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(hits)], pa.int32()), hits)], names=["doc_id", "doc_words", "hits"])
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -166,94 +208,125 @@ def _candidates(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "doc_id bigint, doc_words array<bigint>, hits array<bigint>")
-
-
-def _progressions(at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Sorted positions as (first, step, number): what repeats has few of them."""
-    out, i = [], 0
-    gaps = np.diff(at)
-    while i < len(at):
-        if i == len(at) - 1:
-            out.append((int(at[i]), 1, 1))
-            break
-        stop = np.flatnonzero(gaps[i:] != gaps[i])
-        n = int(stop[0]) + 1 if len(stop) else len(at) - i
-        out.append((int(at[i]), int(gaps[i]), n))
-        i += n
-    return out
+    return docs.mapInArrow(run, "doc_id bigint, doc_words array<bigint>, hits array<struct<h:bigint,at:int,step:int,n:int>>")
+
+
+def diagonals(meetings: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, diagonal), distinct and sorted: a diagonal is a place in the document less one in the item. ``meetings`` are rows (at, step, n) of a document
+    and of an item that share a hash, ``of`` the pair of each. A step that both have gives one progression of diagonals, not all pairs of places."""
+    single = (meetings[:, 2] == 1) & (meetings[:, 5] == 1)
+    pairs, found = [of[single]], [meetings[single, 0] - meetings[single, 3]]
+    for i in np.flatnonzero(~single).tolist():
+        p, step, n, q, step2, n2 = meetings[i].tolist()
+        if n == 1 or n2 == 1 or step == step2:
+            d = p - q + (step if n2 == 1 else step2) * np.arange(1 - n2, n)
+        else:
+            d = (p + step * np.arange(n)[:, None] - q - step2 * np.arange(n2)[None]).ravel()
+        pairs.append(np.full(len(d), of[i])), found.append(d)
+    both = np.unique(np.stack([np.concatenate(pairs), np.concatenate(found)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def overlaps(doc: np.ndarray, doc_at: np.ndarray, doc_n: np.ndarray, item: np.ndarray, item_at: np.ndarray, item_n: np.ndarray, pair: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each pair (longest exact run, words of the best tolerant overlap, of these equal, its first word). Words lie in flat arrays, a pair's from ``_at`` on, ``_n`` of them;
+    (``pair``, ``on``) are its diagonals, in order. The best overlap is the segment of a diagonal with the largest sum of +1 for an equal word and -2 for another one."""
+    lo = np.maximum(0, on)
+    n = np.minimum(doc_n[pair], on + item_n[pair]) - lo
+    starts = np.cumsum(n) - n
+    # one more place before each diagonal, for the sum of no words
+    seg = np.repeat(np.arange(len(n)), n + 1)
+    k = np.arange(len(seg)) - np.repeat(starts + np.arange(len(n)), n + 1) - 1
+    inside = k >= 0
+    i = (doc_at[pair] + lo)[seg] + k
+    j = (item_at[pair] + lo - on)[seg] + k
+    same = np.zeros(len(seg), bool)
+    same[inside] = doc[i[inside]] == item[j[inside]]
+    begins = starts + np.arange(len(n))
+    # runs: places since the last unequal one, which a diagonal's first place always is
+    place = np.arange(len(seg))
+    run = np.maximum.reduceat(place - np.maximum.accumulate(np.where(same, -1, place)), begins)
+    s = np.cumsum(np.where(same, 1, np.where(inside, -2, 0)))
+    s -= np.repeat(s[begins], n + 1)
+    # a minimum up to here within the diagonal: each diagonal is lowered below all before it
+    drop = seg * (3 * (int(n.max()) + 1))
+    low = np.minimum.accumulate(s - drop) + drop
+    score = s - low
+    best = np.maximum.reduceat(score, begins)
+    at_best = np.flatnonzero(score == best[seg])
+    end = at_best[np.searchsorted(seg[at_best], np.arange(len(n)))]
+    begin = np.maximum.accumulate(np.where(s == low, place, -1))[end]
+    equal = np.cumsum(same)
+    equal = equal[end] - equal[begin]
+    words, first = end - begin, lo + begin - begins
+    # the best diagonal of each pair: most equal words, then the longest, then the first
+    order = np.lexsort((first, -words, -equal, pair))
+    head = order[np.r_[True, pair[order][1:] != pair[order][:-1]]]
+    return np.maximum.reduceat(run, np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])), words[head], equal[head], first[head]
+
+
+_RESULT = ["doc_id", "item_id", "exact_words", "overlap_words", "equal_words", "first_word"]
+
+
+def _verifier(known: dict[int, np.ndarray] | None):
+    """Verifies rows (doc_id, item_id, from, doc_words, met[, item_words]); the words of items that ``known`` doesn't give stand in the row."""
+
+    def flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = c.value_lengths().to_numpy().astype(np.int64)
+        return c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(n) - n, n
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        doc = flat(b.column(3))
+        if known is None:
+            item = flat(b.column(5))
+        else:
+            ids, no = np.unique(b.column(1).to_numpy(), return_inverse=True)
+            held = [known[i] for i in ids.tolist()]
+            n = np.array([len(x) for x in held])
+            item = np.concatenate(held), (np.cumsum(n) - n)[no], n[no]
+        met = b.column(4)
+        of = np.repeat(np.arange(b.num_rows), met.value_lengths().to_numpy())
+        rows = np.stack([c.to_numpy() for c in met.flatten().flatten()], axis=1).astype(np.int64)
+        shift = b.column(2).to_numpy().astype(np.int64)
+        rows[:, 0] -= shift[of]
+        exact, words, equal, first = overlaps(*doc, *item, *diagonals(rows, of))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.astype(np.int64)) for x in (exact, words, equal, first + shift))], names=_RESULT)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, at = np.cumsum(b.column(3).value_lengths().to_numpy().astype(np.int64)), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BATCH_WORDS, "right")))
+                yield part(b.slice(at, to - at))
+                at = to
 
-def _diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """The distinct diagonals (place in the document less place in the item) on which a seed is shared."""
-    found = []
-    for m in range(len(MASKS)):
-        a, b = window_hashes(doc, m), window_hashes(item, m)
-        if not len(a) or not len(b):
-            continue
-        a_order, b_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        common = np.intersect1d(a, b)
-        bounds = [np.searchsorted(x, common, side) for x in (a[a_order], b[b_order]) for side in ("left", "right")]
-        for lo, hi, lo2, hi2 in zip(*bounds, strict=True):
-            if hi - lo == hi2 - lo2 == 1:
-                found.append(np.array([a_order[lo] - b_order[lo2]]))
-                continue
-            # a step that both share gives one progression of diagonals, not all pairs of places
-            for p, step, n in _progressions(a_order[lo:hi]):
-                for q, step2, n2 in _progressions(b_order[lo2:hi2]):
-                    if n == 1 or n2 == 1 or step == step2:
-                        s = step if n2 == 1 else step2
-                        found.append(p - q + s * np.arange(1 - n2, n))
-                    else:
-                        found.append((p + step * np.arange(n)[:, None] - q - step2 * np.arange(n2)[None]).ravel())
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-
-def overlap(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(longest exact run, words of the best tolerant overlap, of these equal, its first word) of two arrays of codes that share a seed."""
-    best, longest = None, 0
-    for d in _diagonals(doc, item).tolist():
-        lo, hi = max(0, d), min(len(doc), d + len(item))
-        same = doc[lo:hi] == item[lo - d : hi - d]
-        at = np.flatnonzero(~same)
-        run = len(same) if not len(at) else int(max(at[0], len(same) - 1 - at[-1], (at[1:] - at[:-1]).max() - 1 if len(at) > 1 else 0))
-        # best segment with +1 for an equal word and -2 for another one
-        s = np.zeros(len(same) + 1, np.int64)
-        np.cumsum(np.where(same, 1, -2), out=s[1:])
-        low = np.minimum.accumulate(s)
-        end = int(np.argmax(s - low))
-        begin = int(np.flatnonzero(s[: end + 1] == low[end])[-1])
-        got = (int(same[begin:end].sum()), end - begin, -(lo + begin))
-        longest = max(longest, run)
-        best = got if best is None else max(best, got)
-    return None if best is None else (longest, best[1], best[0], -best[2])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        doc, item = b.column(2), b.column(3)
-        for i in range(b.num_rows):
-            got = overlap(*(c[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (doc, item)))
-            # None: no window is equal, only its hash
-            if got is not None:
-                rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), *got))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "exact_words", "overlap_words", "equal_words", "first_word"])
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, exact_words, overlap_words, equal_words, first_word) for each document and item that share a seed.
 
     Neither texts nor the hashes of windows that no item has are shuffled: only the documents that pass the filter, as
-    hashes of their words, and their few hits. Seeds, hits and pairs meet in joins on written tables, which AQE splits where one is hot.
+    hashes of their words, and their few hits. Seeds, hits and pairs meet in joins on written tables, which AQE splits where
+    one is hot. Of a document only the words along its diagonals go to the verification of a pair.
     """
     chosen = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null")
     hashed = Stage(_seeds(chosen)).df
-    seeds = hashed.where("h is not null").select("h", "item_id").distinct()
+    seeds = hashed.where("h is not null").select("h", "item_id", F.col("at").alias("at2"), F.col("step").alias("step2"), F.col("n").alias("n2"), "length")
+    whole = hashed.where("h is null").select("item_id", "item_words", F.col("length").alias("n_words"))
     corpus = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    found = Stage(_candidates(corpus, _filter(seeds))).df
-    pairs = Stage(found.select("doc_id", F.explode("hits").alias("h")).join(seeds, "h").select("doc_id", "item_id").distinct()).df
-    # a repeated key: each of its texts is verified
-    rows = pairs.join(found.select("doc_id", "doc_words"), "doc_id").join(hashed.where("h is null").select("item_id", "item_words"), "item_id")
-    return rows.select("doc_id", "item_id", "doc_words", "item_words").mapInArrow(_verified, "doc_id bigint, item_id bigint, exact_words bigint, overlap_words bigint, equal_words bigint, first_word bigint")
+    # a number for each row: a repeated key is verified text by text
+    found = Stage(_candidates(corpus, _filter(seeds)).withColumn("no", F.monotonically_increasing_id())).df
+    alone = (F.col("n") == 1) & (F.col("n2") == 1)
+    place = lambda c, otherwise: F.when(alone, otherwise).otherwise(F.col(c))
+    met = F.struct(F.when(alone, F.col("at") - F.col("at2")).otherwise(F.col("at")).alias("at"), *[place(c, F.lit(x)).alias(c) for c, x in (("step", 1), ("n", 1), ("at2", 0), ("step2", 1), ("n2", 1))])
+    least, most = F.col("at") - F.col("at2") - F.col("step2") * (F.col("n2") - 1), F.col("at") + F.col("step") * (F.col("n") - 1) - F.col("at2")
+    hits = found.select("no", F.inline("hits")).join(seeds, "h").groupBy("no", "item_id").agg(F.collect_set(met).alias("met"), F.greatest(F.min(least), F.lit(0)).alias("from"), F.max(most + F.col("length")).alias("to"))
+    rows = hits.join(found.select("no", "doc_id", "doc_words"), "no")
+    rows = rows.select("doc_id", "item_id", "from", F.slice("doc_words", F.col("from") + 1, F.least("to", F.size("doc_words")) - F.col("from")).alias("doc_words"), "met")
+    if (whole.agg(F.sum("n_words")).first()[0] or 0) <= SHARED_WORDS:
+        known = {r["item_id"]: np.array(r["item_words"], np.int64).view(np.uint64) for r in whole.toLocalIterator()} if whole.groupBy("item_id").count().where("count > 1").isEmpty() else None
+    else:
+        known = None
+    if known is None:
+        rows = rows.join(whole.select("item_id", "item_words"), "item_id").select("doc_id", "item_id", "from", "doc_words", "met", "item_words")
+    return rows.mapInArrow(_verifier(known), ", ".join(f"{c} bigint" for c in _RESULT))
