@@ -80,14 +80,17 @@ def conversation_messages(a: Archive, conversation: str) -> DataFrame:
 def first_messages(a: Archive, n: int = 60, chars: int = 280) -> DataFrame:
     """The first n messages of each conversation, white space collapsed, texts cut."""
     w = Window.partitionBy("conversation_uuid").orderBy(F.asc_nulls_first("created"), "uuid")
-    t = a.messages.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    return t.select("conversation_uuid", "place", "uuid", "sender", F.substring(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), 1, chars).alias("text"))
+    cut = F.substring(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), 1, chars).alias("text")
+    t = a.messages_with("conversation_uuid", "created", "sender", cut).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return t.select("conversation_uuid", "place", "uuid", "sender", "text")
 
 
 def topic_scan(a: Archive, topics: list[str] = TOPICS) -> DataFrame:
     """(topic, n_messages): messages whose text holds the topic, ASCII case ignored; one pass, topics without any included."""
     text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = a.messages.withColumn("t", text).agg(*[F.count_if(F.col("t").contains(x.lower())).alias(f"c{i}") for i, x in enumerate(topics)])
+    # the topics of a text are found where it is read
+    held = F.transform(F.array(*map(F.lit, [x.lower() for x in topics])), lambda x: F.contains(text, x)).alias("held")
+    counts = a.messages_with(held).agg(*[F.count_if(F.col("held")[i]).alias(f"c{i}") for i in range(len(topics))])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("topic"), F.col(f"c{i}").alias("n_messages")) for i, x in enumerate(topics)])).alias("x")).select("x.*")
 
 
@@ -154,18 +157,37 @@ def search_tool(a: Archive, tool: str) -> DataFrame:
     return t.join(m, "message_uuid", "left_semi").join(c, "conversation_uuid").select("id", "message_uuid", "conversation_uuid", "name", "block_type")
 
 
-def search_tool_grouped(a: Archive, tool: str, snippets: int = 3) -> DataFrame:
-    hits = search_tool(a, tool).join(a.messages.select(F.col("uuid").alias("message_uuid"), "created"), "message_uuid")
-    return grouped(hits.select("conversation_uuid", F.col("id").cast("string").alias("hit"), "created"), snippets)
+def search_tool_grouped(a: Archive, tool: str, snippets: int = 3, limit: int | None = None) -> DataFrame:
+    """Conversations with calls or results of a tool; newest snippets first, their text is the block's."""
+    m = a.messages_with("sender", "created_at", "created").withColumnRenamed("uuid", "message_uuid")
+    text = a.block_versions().select("id", F.substring("text_content", 1, 200).alias("text")).dropDuplicates(["id"])
+    hits = search_tool(a, tool).select("id", "message_uuid", "conversation_uuid").join(m, "message_uuid").join(text, "id")
+    return grouped(a, hits.withColumnRenamed("id", "hit"), [F.desc_nulls_last("created"), "hit"], snippets, limit)
 
 
-def grouped(hits: DataFrame, snippets: int) -> DataFrame:
-    """(conversation_uuid, hit_count, hits): the newest hits of each conversation, joined by ','. The ranks limit before the shuffle."""
-    w = Window.partitionBy("conversation_uuid").orderBy(F.desc_nulls_last("created"), "hit")
-    top = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= snippets)
-    top = top.groupBy("conversation_uuid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "hit"))), lambda x: x["hit"]), ",").alias("hits"))
+def grouped(a: Archive, hits: DataFrame, order: list, snippets: int, limit: int | None = None) -> DataFrame:
+    """(conversation_uuid, name, project_uuid, project_name, created_at, hit_count, top_snippets) of hits (conversation_uuid, hit, sender, text, created_at, ...).
+
+    The snippets are the first hits of each conversation in the given order, (sender, text, created_at). Ranks limit before
+    the shuffle, so that a conversation with any number of hits is no burden. Conversations that aren't there give no row; with
+    ``limit`` those of most hits come, in order. Tables without projects, or conversations without one, give NULL.
+    """
+    top = hits.withColumn("r", F.row_number().over(Window.partitionBy("conversation_uuid").orderBy(*order))).where(F.col("r") <= snippets)
+    top = top.groupBy("conversation_uuid").agg(F.array_sort(F.collect_list(F.struct("r", "sender", "text", "created_at"))).alias("top"))
     n = hits.groupBy("conversation_uuid").agg(F.count("*").alias("hit_count"))
-    return n.join(top, "conversation_uuid")
+    c = with_project(a, a.conversations.withColumnRenamed("uuid", "conversation_uuid")).select("conversation_uuid", "name", "project_uuid", "project_name", "created_at")
+    out = n.join(top, "conversation_uuid").join(c, "conversation_uuid")
+    out = out.select("conversation_uuid", "name", "project_uuid", "project_name", "created_at", "hit_count", F.transform("top", lambda x: F.struct(x["sender"], x["text"], x["created_at"])).alias("top_snippets"))
+    return out.orderBy(F.desc("hit_count"), "conversation_uuid").limit(limit) if limit else out
+
+
+def with_project(a: Archive, conversations: DataFrame) -> DataFrame:
+    """Conversations with project_uuid and project_name, NULL where the archive has no such column or no such table."""
+    t = conversations.withColumn("project_uuid", optional(conversations, "project_uuid"))
+    if not a.has("projects"):
+        return t.withColumn("project_name", F.lit(None).cast("string"))
+    p = a.projects.select(F.col("uuid").alias("project_uuid"), F.col("name").alias("project_name"))
+    return t.join(p, "project_uuid", "left")
 
 
 def search_entity(a: Archive, entity: str, kind: str | None = None) -> DataFrame:
@@ -177,8 +199,11 @@ def search_entity(a: Archive, entity: str, kind: str | None = None) -> DataFrame
     return t.join(m, "message_uuid").join(c, "conversation_uuid").select("entity", "type", "message_uuid", "conversation_uuid", "name", "sender", "created_at", "created")
 
 
-def search_entity_grouped(a: Archive, entity: str, kind: str | None = None, snippets: int = 3) -> DataFrame:
-    return grouped(search_entity(a, entity, kind).select("conversation_uuid", F.col("message_uuid").alias("hit"), "created"), snippets)
+def search_entity_grouped(a: Archive, entity: str, kind: str | None = None, snippets: int = 3, limit: int | None = None) -> DataFrame:
+    """Conversations with messages that mention the entity; newest snippets first."""
+    m = a.messages_with(F.substring("text", 1, 200).alias("text")).withColumnRenamed("uuid", "message_uuid")
+    hits = search_entity(a, entity, kind).join(m, "message_uuid").withColumnRenamed("message_uuid", "hit")
+    return grouped(a, hits, [F.desc_nulls_last("created"), "hit"], snippets, limit)
 
 
 def message_totals(a: Archive) -> DataFrame:
@@ -244,7 +269,10 @@ def conversation_url(c: Column, base: str = "https://example.org") -> Column:
 
 def random_sample(a: Archive, n: int = 100, seed: str = "7") -> DataFrame:
     """n messages at random, the same for the same seed: the first by a hash of uuid and seed."""
-    return a.messages.select("uuid", "conversation_uuid", "sender", "text").orderBy(F.md5(F.concat("uuid", F.lit(seed))), "uuid").limit(n)
+    chosen = a.raw("messages").where("uuid is not null").select("uuid").distinct().orderBy(F.md5(F.concat("uuid", F.lit(seed))), "uuid").limit(n)
+    # the versions of the chosen ones only
+    v = a.message_versions().join(chosen, "uuid", "left_semi")
+    return a.last_versions(v).select("uuid", "conversation_uuid", "sender", "text")
 
 
 def without_profile(conversations: DataFrame, profiles: DataFrame) -> DataFrame:

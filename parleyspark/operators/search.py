@@ -1,8 +1,9 @@
-"""Full-text search with BM25: a query language, and one pass over the texts for each query.
+"""Full-text search with BM25: a query language, one pass over the texts for a single query, an index for many.
 
-The texts are read once, where they are: an Arrow function tokenises, folds and stems them and gives each text's length
-and the number of occurrences of each unit of the query. What is shuffled are these few numbers of the texts that match;
-corpus statistics are a one-row aggregate. `postings` gives the same tokens as a table for those who query often.
+For a single query the stored texts are read once, where they are: an Arrow function tokenises, folds and stems them and
+gives each text's length, the number of occurrences of each unit of the query and, of a match, a snippet. What is shuffled
+are these few numbers, never texts; corpus statistics are a one-row aggregate. `Index` tokenises once, and answers
+a query from the places of its terms.
 
 Query language: terms, "phrases", prefix*, ^first, NEAR(a b, n), AND, OR, NOT, parentheses. Terms side by side mean AND
 and bind tightest, then NOT, AND, OR. Tokens are runs of letters and digits, folded and stemmed; no stop words.
@@ -16,10 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleyspark.functions.porter import fold, stem
+from parleyspark.operators.relational import grouped
 from parleyspark.plans.stage import Stage, spread
 
 K1, B = 1.2, 0.75
@@ -231,64 +234,148 @@ class Query:
         return run(self.tree)
 
 
-def score(hits: DataFrame, query: str, id_col: str, text_col: str, stemmed: bool = True) -> DataFrame:
-    """(id, rank) of the rows whose text matches; the lower the rank, the better. Rows with a null text count as empty."""
-    q = Query(query, stemmed)
-    units = len(q.units)
+def _counted(rows: DataFrame, q: Query, text_col: str, snippet: int) -> DataFrame:
+    """The rows with their text replaced by its length (dl), the counts of the query's units (tf, there), whether it matches (ok), and
+    of those that do the first ``snippet`` characters."""
+    kept = [c for c in rows.columns if c != text_col]
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, counts, there, ok = [], [], [], []
-            for t in b.column(1).to_pylist():
-                ws = tokens(t, stemmed)
+            length, counts, there, ok, cut = [], [], [], [], []
+            for t in b.column(at).to_pylist():
+                ws = tokens(t, q.stemmed)
                 c = q.counts(ws)
-                length.append(len(ws)), counts.append(q.ranked(ws, c)), there.append([x > 0 for x in c]), ok.append(q.matches(ws, c))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(there, pa.list_(pa.bool_())), pa.array(ok)], names=["id", "dl", "tf", "there", "ok"])
+                fits = q.matches(ws, c)
+                length.append(len(ws)), counts.append(q.ranked(ws, c)), there.append([x > 0 for x in c]), ok.append(fits), cut.append(t[:snippet] if fits and t else None)
+            made = [pa.array(length, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(there, pa.list_(pa.bool_())), pa.array(ok, pa.bool_()), pa.array(cut, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(x for i, x in enumerate(b.columns) if i != at), *made], names=[*kept, "dl", "tf", "there", "ok", "snippet"])
 
-    t = Stage(hits.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id string, dl bigint, tf array<bigint>, there array<boolean>, ok boolean")).df
-    # one row
-    s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("there")[i]).alias(f"n{i}") for i in range(units)]).first()
-    n, avgdl = s["n"], s["avgdl"] or 1.0
+    made = T._parse_datatype_string("dl bigint, tf array<bigint>, there array<boolean>, ok boolean, snippet string").fields
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in kept] + made))
+
+
+def _ranked(t: DataFrame, q: Query, n: int, avgdl: float | None, there: list[int]) -> DataFrame:
+    """The matching rows of _counted() with ``rank``: n texts, of so many words on average, ``there[i]`` of them with unit i."""
     rank = F.lit(0.0)
-    for i in sorted(set(range(units)) - q.absent):
-        idf = math.log((n - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5))
+    for i in sorted(set(range(len(q.units))) - q.absent):
+        idf = math.log((n - there[i] + 0.5) / (there[i] + 0.5))
         idf = idf if idf > 0 else 1e-6
         tf = F.col("tf")[i].cast("double")
-        rank = rank - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return t.where("ok").select("id", rank.alias("rank"))
+        rank = rank - F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    return t.where("ok").withColumn("rank", rank).drop("dl", "tf", "there", "ok")
+
+
+def score(hits: DataFrame, query: str, id_col: str, text_col: str, stemmed: bool = True, snippet: int = 0, latest=None) -> DataFrame:
+    """The rows whose text matches, with ``rank`` (the lower, the better), ``id`` and ``snippet``, and without the text. A null text counts as empty.
+
+    ``latest`` takes what is read of all stored versions to the last one of each; it meets numbers and snippets, never texts.
+    """
+    q = Query(query, stemmed)
+    t = _counted(hits, q, text_col, snippet)
+    t = Stage(latest(t) if latest else t).df
+    # one row
+    s = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("there")[i]).alias(f"n{i}") for i in range(len(q.units))]).first()
+    out = _ranked(t, q, s["n"], s["avgdl"], [s[f"n{i}"] for i in range(len(q.units))])
+    return out.withColumn("id", F.col(id_col).cast("string"))
+
+
+SNIPPET = 200
+
+
+def _messages(a, query: str, stemmed: bool) -> DataFrame:
+    columns = ["conversation_uuid", "sender", "created_at", "created", "updated", "loaded_at", "updated_at", "text"]
+    s = score(spread(a.message_versions(), "uuid").select("uuid", *columns), query, "uuid", "text", stemmed, SNIPPET, a.last_versions)
+    return s.select(F.col("uuid").alias("message_uuid"), "conversation_uuid", "sender", "created_at", "rank", F.col("snippet").alias("text"))
 
 
 def search_messages(a, query: str, limit: int | None = None, stemmed: bool = True) -> DataFrame:
     """(message_uuid, conversation_uuid, name, sender, created_at, rank) of matching messages, best first when limited."""
-    m = Stage(a.messages.select("uuid", "conversation_uuid", "sender", "created_at", "text")).df
-    s = score(spread(m, "uuid"), query, "uuid", "text", stemmed)
     c = a.conversations.select(F.col("uuid").alias("conversation_uuid"), "name")
-    t = m.drop("text").join(s, F.col("uuid") == F.col("id")).join(c, "conversation_uuid").select(F.col("uuid").alias("message_uuid"), "conversation_uuid", "name", "sender", "created_at", "rank")
+    t = _messages(a, query, stemmed).drop("text").join(c, "conversation_uuid").select("message_uuid", "conversation_uuid", "name", "sender", "created_at", "rank")
     return t.orderBy("rank", "message_uuid").limit(limit) if limit else t
 
 
+def _blocks(a, query: str, stemmed: bool) -> DataFrame:
+    b = spread(a.block_versions(), "id").select("id", "message_uuid", "conversation_uuid", "block_type", "text_content")
+    return score(b, query, "id", "text_content", stemmed, SNIPPET, lambda t: t.dropDuplicates(["id"])).withColumn("id", F.col("id").cast("bigint"))
+
+
 def search_blocks(a, query: str, block_type: str | None = None, stemmed: bool = True) -> DataFrame:
     """(id, message_uuid, conversation_uuid, block_type, rank); statistics are those of all blocks, whatever the type asked for."""
-    b = Stage(a.blocks.select("id", "message_uuid", "conversation_uuid", "block_type", "text_content")).df
-    s = score(spread(b, "id"), query, "id", "text_content", stemmed).withColumnRenamed("id", "key")
-    t = b.drop("text_content").join(s, F.col("id").cast("string") == F.col("key")).drop("key")
+    t = _blocks(a, query, stemmed).drop("snippet")
     return t.where(F.col("block_type") == block_type) if block_type else t
 
 
-def group_hits(hits: DataFrame, id_col: str, snippets: int = 3) -> DataFrame:
-    """(conversation_uuid, hit_count, hits): the best hits of each conversation, joined by ','."""
-    w = Window.partitionBy("conversation_uuid").orderBy("rank", id_col)
-    top = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= snippets)
-    top = top.groupBy("conversation_uuid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(id_col).cast("string").alias("h")))), lambda x: x["h"]), ",").alias("hits"))
-    return hits.groupBy("conversation_uuid").agg(F.count("*").alias("hit_count")).join(top, "conversation_uuid")
+def search_messages_grouped(a, query: str, limit: int | None = None, stemmed: bool = True, snippets: int = 3) -> DataFrame:
+    """Conversations with matching messages, see ``relational.grouped``; best snippets first."""
+    return grouped(a, _messages(a, query, stemmed).withColumnRenamed("message_uuid", "hit"), [F.round("rank", 9), "hit"], snippets, limit)
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The inverted index as a table: (term, id, pos), and nothing for null or empty texts."""
+def search_blocks_grouped(a, query: str, block_type: str | None = None, limit: int | None = None, stemmed: bool = True, snippets: int = 3) -> DataFrame:
+    """Conversations with matching blocks (of one type); sender and time are those of the block's message."""
+    b = _blocks(a, query, stemmed)
+    b = b.where(F.col("block_type") == block_type) if block_type else b
+    m = a.messages_with("sender", "created_at").withColumnRenamed("uuid", "message_uuid")
+    hits = b.join(m, "message_uuid").select("conversation_uuid", F.col("id").alias("hit"), "rank", F.col("snippet").alias("text"), "sender", "created_at")
+    return grouped(a, hits, [F.round("rank", 9), "hit"], snippets, limit)
+
+
+def postings(rows: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> DataFrame:
+    """The inverted index as a table: (term, id, pos), and nothing for null or empty texts. Repeated ids count as often as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["id", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens(t, stemmed) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["id", "terms"])
 
     t = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id string, terms array<string>")
     return t.select("id", F.posexplode("terms").alias("pos", "term")).select("term", "id", F.col("pos").cast("bigint").alias("pos"))
+
+
+class Index:
+    """A stored inverted index: texts are tokenised once, and a query reads the places of its own terms only.
+
+    ``rows`` hold one row for each id. The postings are ordered by term, so that a query's filter on terms skips most of the files'
+    row groups; the words of a text that matter for a query are put back at their places, and judged as ``score`` judges whole texts.
+    """
+
+    def __init__(self, rows: DataFrame, id_col: str, text_col: str, stemmed: bool = True):
+        self.stemmed = stemmed
+        p = postings(rows, id_col, text_col, stemmed)
+        ordered = p.groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("places")).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        self._terms = Stage(ordered)
+        self.terms = self._terms.df
+        self._lengths = Stage(self.terms.groupBy("id").agg(F.sum(F.size("places")).alias("dl")))
+        self.lengths = self._lengths.df
+        # texts without a word count, too
+        self.n, self.avgdl = rows.count(), None
+        self.avgdl = (self.lengths.agg(F.sum("dl")).first()[0] or 0) / self.n if self.n else None
+
+    def score(self, query: str) -> DataFrame:
+        """(id, rank) of the matching texts. A query that texts without any of its terms could match isn't possible in this language."""
+        q = Query(query, self.stemmed)
+        wanted = F.lit(False)
+        for u in q.units:
+            for i, w in enumerate(u.words):
+                wanted |= F.col("term").startswith(w) if u.prefix and i == len(u.words) - 1 else F.col("term") == w
+        found = self.terms.where(wanted).groupBy("id").agg(F.collect_list(F.struct("term", "places")).alias("found")).join(self.lengths, "id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                counts, there, ok = [], [], []
+                for found, dl in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    ws = [""] * dl
+                    for f in found:
+                        for place in f["places"]:
+                            ws[place] = f["term"]
+                    c = q.counts(ws)
+                    counts.append(q.ranked(ws, c)), there.append([x > 0 for x in c]), ok.append(q.matches(ws, c))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.list_(pa.int64())), pa.array(there, pa.list_(pa.bool_())), pa.array(ok, pa.bool_())], names=["id", "dl", "tf", "there", "ok"])
+
+        t = Stage(found.select("id", "found", "dl").mapInArrow(run, "id string, dl bigint, tf array<bigint>, there array<boolean>, ok boolean")).df
+        s = t.agg(F.count("*").alias("n"), *[F.count_if(F.col("there")[i]).alias(f"n{i}") for i in range(len(q.units))]).first()
+        return _ranked(t, q, self.n, self.avgdl, [s[f"n{i}"] for i in range(len(q.units))])
+
+    def drop(self) -> None:
+        self._terms.drop()
+        self._lengths.drop()

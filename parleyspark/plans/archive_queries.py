@@ -32,9 +32,9 @@ QUERIES = {
     "random_sample": _q(rel.random_sample),
     "profile_worklist": _q(lambda a: rel.without_profile(a.conversations, a.conversations.where("uuid < '8'").select(F.col("uuid").alias("conversation_uuid"))).select("uuid")),
     "search_tool": _q(lambda a: rel.search_tool(a, "bash")),
-    "search_tool_grouped": _q(lambda a: rel.search_tool_grouped(a, "bash")),
+    "search_tool_grouped": _q(lambda a: snippet_rows(rel.search_tool_grouped(a, "bash"))),
     "search_by_entity": _q(lambda a: rel.search_entity(a, "api", "topic").drop("created")),
-    "search_by_entity_grouped": _q(lambda a: rel.search_entity_grouped(a, "API", "topic")),
+    "search_by_entity_grouped": _q(lambda a: snippet_rows(rel.search_entity_grouped(a, "API", "topic"))),
     "monthly_activity": _q(rel.monthly_activity),
     "top_conversations": _q(rel.top_conversations),
     "top_tools": _q(rel.top_tools),
@@ -89,8 +89,17 @@ _FILES = (
     " CASE WHEN lower(file_name) LIKE 'page\\_%' ESCAPE '\\' THEN 'v01' WHEN lower(file_name) LIKE 'v2\\_%' ESCAPE '\\' THEN 'v02' WHEN lower(file_name) LIKE 'v3\\_%' ESCAPE '\\' THEN 'v03' WHEN lower(file_name) LIKE 'v4\\_%' ESCAPE '\\' THEN 'v04' ELSE 'v05-latest' END AS folder,"
     " date, row_number() OVER (PARTITION BY conversation_uuid, date ORDER BY created NULLS FIRST, uuid, file_name) AS sequence FROM f"
 )
-_HITS = """top AS (SELECT conversation_uuid, string_agg(hit, ',' ORDER BY r) AS hits, max(n) AS hit_count FROM (
-  SELECT *, row_number() OVER (PARTITION BY conversation_uuid ORDER BY created DESC NULLS LAST, hit) AS r, count(*) OVER (PARTITION BY conversation_uuid) AS n FROM h) WHERE r <= 3 GROUP BY 1)"""
+def snippet_rows(t):
+    """A row for each snippet of grouped hits, numbered from 0."""
+    t = t.withColumnRenamed("created_at", "conversation_created_at").select("*", F.posexplode("top_snippets").alias("place", "snippet")).drop("top_snippets")
+    return t.select("*", "snippet.sender", "snippet.text", "snippet.created_at").drop("snippet")
+
+
+def _snippets(hits: str, order: str) -> str:
+    """Rows of h (conversation_uuid, hit, sender, text, created_at, ...) as snippet_rows() gives them."""
+    return f"""h AS ({hits}), top AS (SELECT h.*, row_number() OVER (PARTITION BY conversation_uuid ORDER BY {order}) AS r, count(*) OVER (PARTITION BY conversation_uuid) AS n FROM h)
+SELECT top.conversation_uuid, c.name, c.project_uuid, p.name AS project_name, c.created_at AS conversation_created_at, top.n AS hit_count, (top.r - 1)::INT AS place, top.sender, top.text, top.created_at
+FROM top JOIN c ON c.uuid = top.conversation_uuid LEFT JOIN p ON p.uuid = c.project_uuid WHERE r <= 3"""
 
 
 def _with(*parts: str) -> str:
@@ -124,9 +133,9 @@ SQL = {
     "random_sample": _with() + "SELECT uuid, conversation_uuid, sender, text FROM m ORDER BY md5(uuid || '7'), uuid LIMIT 100",
     "profile_worklist": _with() + "SELECT uuid FROM c WHERE uuid >= '8'",
     "search_tool": _with() + "SELECT b.id, b.message_uuid, b.conversation_uuid, c.name, b.block_type FROM b JOIN c ON c.uuid = b.conversation_uuid WHERE tool_name = 'bash' AND block_type IN ('tool_use', 'tool_result') AND message_uuid IN (SELECT uuid FROM m)",
-    "search_tool_grouped": _with("h AS (SELECT b.conversation_uuid, b.id::VARCHAR AS hit, m.created FROM b JOIN c ON c.uuid = b.conversation_uuid JOIN m ON m.uuid = b.message_uuid WHERE tool_name = 'bash' AND block_type IN ('tool_use', 'tool_result'))", _HITS) + "SELECT * FROM top",
+    "search_tool_grouped": _with(_snippets("SELECT b.conversation_uuid, b.id AS hit, m.created, m.sender, m.created_at, substring(b.text_content, 1, 200) AS text FROM b JOIN c ON c.uuid = b.conversation_uuid JOIN m ON m.uuid = b.message_uuid WHERE tool_name = 'bash' AND block_type IN ('tool_use', 'tool_result')", "created DESC NULLS LAST, hit")).rstrip(),
     "search_by_entity": _with() + "SELECT e.entity, e.type, e.message_uuid, e.conversation_uuid, c.name, m.sender, m.created_at FROM e JOIN m ON m.uuid = e.message_uuid JOIN c ON c.uuid = e.conversation_uuid WHERE entity = 'api' AND type = 'topic'",
-    "search_by_entity_grouped": _with("h AS (SELECT e.conversation_uuid, e.message_uuid AS hit, m.created FROM e JOIN m ON m.uuid = e.message_uuid JOIN c ON c.uuid = e.conversation_uuid WHERE entity = 'api' AND type = 'topic')", _HITS) + "SELECT * FROM top",
+    "search_by_entity_grouped": _with(_snippets("SELECT e.conversation_uuid, e.message_uuid AS hit, m.created, m.sender, m.created_at, substring(m.text, 1, 200) AS text FROM e JOIN m ON m.uuid = e.message_uuid JOIN c ON c.uuid = e.conversation_uuid WHERE entity = 'api' AND type = 'topic'", "created DESC NULLS LAST, hit")).rstrip(),
     "monthly_activity": _with() + "SELECT strftime(created AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_messages FROM m WHERE created IS NOT NULL GROUP BY 1",
     "top_conversations": _with() + "SELECT c.uuid, c.name, count(*) AS n_messages FROM m JOIN c ON c.uuid = m.conversation_uuid GROUP BY 1, 2 ORDER BY n_messages DESC, c.uuid LIMIT 10",
     "top_tools": _with() + "SELECT tool_name, count(*) AS n_calls FROM b WHERE block_type = 'tool_use' AND tool_name <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",

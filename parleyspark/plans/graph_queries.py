@@ -11,11 +11,12 @@ from parleyspark.operators import export as ex
 from parleyspark.operators import graph as g
 from parleyspark.operators import relational as rel
 from parleyspark.operators import render, search, upsert
-from parleyspark.plans.archive_queries import _PROFILES, _q, _with
+from parleyspark.plans.archive_queries import _PROFILES, _q, _snippets, _with, snippet_rows
 from parleyspark.plans.stage import Stage
 from parleyspark.plans.text_queries import _CHRON, _LAST, _MAIN, _N, _rec
 
 SEARCH = "session OR archive NOT preview"
+PHRASES = '("session log" OR archiv* OR NEAR(query review, 5)) NOT ^the'
 
 
 def _graph(f, community: bool = False):
@@ -82,10 +83,14 @@ def _accumulated(a):
 QUERIES = {
     "fts_messages": _q(lambda a: search.search_messages(a, SEARCH)),
     "fts_unstemmed": _q(lambda a: search.search_messages(a, SEARCH, stemmed=False).select("message_uuid", "conversation_uuid", "name", F.round("rank", 9).alias("rank"))),
-    "fts_grouped": _q(lambda a: search.group_hits(search.search_messages(a, SEARCH, stemmed=False).withColumn("rank", F.round("rank", 9)), "message_uuid")),
+    "fts_grouped": _q(lambda a: snippet_rows(search.search_messages_grouped(a, SEARCH, stemmed=False))),
+    "fts_thinking_grouped": _q(lambda a: snippet_rows(search.search_blocks_grouped(a, "archive", "thinking", stemmed=False))),
+    "fts_indexed": _q(lambda a: search.Index(a.messages.select("uuid", "text"), "uuid", "text", stemmed=False).score(SEARCH).select(F.col("id").alias("message_uuid"), F.round("rank", 9).alias("rank"))),
+    "fts_phrase_near_unstemmed": _q(lambda a: search.search_messages(a, PHRASES, stemmed=False).select("message_uuid")),
+    "postings_unstemmed": _q(lambda a: search.postings(a.messages, "uuid", "text", stemmed=False).groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("id").alias("n_texts"), F.sum("pos").alias("sum_of_places"))),
     "fts_thinking": _q(lambda a: search.search_blocks(a, "archive", "thinking", stemmed=False).withColumn("rank", F.round("rank", 9))),
-    "fts_content_grouped": _q(lambda a: search.group_hits(search.search_blocks(a, "archive", stemmed=False).withColumn("rank", F.round("rank", 9)), "id")),
-    "fts_phrase_near": _q(lambda a: search.search_messages(a, '("session log" OR archiv* OR NEAR(query review, 5)) NOT ^the')),
+    "fts_content_grouped": _q(lambda a: snippet_rows(search.search_blocks_grouped(a, "archive", stemmed=False))),
+    "fts_phrase_near": _q(lambda a: search.search_messages(a, PHRASES)),
     "postings": _q(lambda a: search.postings(a.messages, "uuid", "text").groupBy("term").agg(F.count("*").alias("n_places"), F.count_distinct("id").alias("n_texts"))),
     "tool_usage": _q(g.tool_usage),
     "graph_nodes": _q(g.nodes),
@@ -171,8 +176,11 @@ _FTS = f"hit AS (SELECT st.uuid AS message_uuid, st.conversation_uuid, c.name, {
 _BHIT = f"hit AS (SELECT st.id, message_uuid, conversation_uuid, block_type, {_rank(['archive'])} AS rank FROM st, stat WHERE {_tf('archive')} > 0)"
 
 
-def _group(key: str) -> str:
-    return f"SELECT conversation_uuid, max(n) AS hit_count, string_agg({key}::VARCHAR, ',' ORDER BY r) FILTER (WHERE r <= 3) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY conversation_uuid ORDER BY rank, {key}) AS r, count(*) OVER (PARTITION BY conversation_uuid) AS n FROM hit) GROUP BY 1"
+_MESSAGE_HITS = "SELECT hit.conversation_uuid, hit.message_uuid AS hit, hit.rank, m.sender, substring(m.text, 1, 200) AS text, m.created_at FROM hit JOIN m ON m.uuid = hit.message_uuid"
+_BLOCK_HITS = "SELECT hit.conversation_uuid, hit.id AS hit, hit.rank, m.sender, substring(b.text_content, 1, 200) AS text, m.created_at FROM hit JOIN b ON b.id = hit.id JOIN m ON m.uuid = hit.message_uuid"
+_AT = "list_filter(range(1, len(ts) + 1), lambda i: ts[i] = '{}')"
+_PHRASES = f"""(len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'session' AND ts[i + 1] = 'log')) > 0 OR len(list_filter(ts, lambda x: starts_with(x, 'archiv'))) > 0
+  OR len(list_filter({_AT.format("query")}, lambda q: len(list_filter({_AT.format("review")}, lambda r: abs(q - r) <= 6)) > 0)) > 0) AND coalesce(ts[1], '') <> 'the'"""
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
@@ -199,9 +207,13 @@ _ORDER = "direction DESC, weight DESC, id, relation"
 
 SQL = {
     "fts_unstemmed": _with(_TOKENS, _bm25(_TERMS), _FTS) + "SELECT * FROM hit",
-    "fts_grouped": _with(_TOKENS, _bm25(_TERMS), _FTS) + _group("message_uuid"),
+    "fts_grouped": _with(_TOKENS, _bm25(_TERMS), _FTS, _snippets(_MESSAGE_HITS, "rank, hit")).rstrip(),
     "fts_thinking": _with(_BTOKENS, _bm25(["archive"]), _BHIT) + "SELECT * FROM hit WHERE block_type = 'thinking'",
-    "fts_content_grouped": _with(_BTOKENS, _bm25(["archive"]), _BHIT) + _group("id"),
+    "fts_content_grouped": _with(_BTOKENS, _bm25(["archive"]), _BHIT, _snippets(_BLOCK_HITS, "rank, hit")).rstrip(),
+    "fts_thinking_grouped": _with(_BTOKENS, _bm25(["archive"]), _BHIT, _snippets(_BLOCK_HITS + " WHERE hit.block_type = 'thinking'", "rank, hit")).rstrip(),
+    "fts_indexed": _with(_TOKENS, _bm25(_TERMS), f"hit AS (SELECT st.uuid AS message_uuid, {_rank(_TERMS)} AS rank FROM st, stat WHERE {_tf('session')} > 0 OR ({_tf('archive')} > 0 AND {_tf('preview')} = 0))") + "SELECT * FROM hit",
+    "fts_phrase_near_unstemmed": _with(_TOKENS) + f"SELECT st.uuid AS message_uuid FROM st JOIN c ON c.uuid = st.conversation_uuid WHERE {_PHRASES}",
+    "postings_unstemmed": _with(_TOKENS) + "SELECT term, count(*) AS n_places, count(DISTINCT uuid) AS n_texts, sum(pos)::BIGINT AS sum_of_places FROM (SELECT uuid, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM st) GROUP BY 1",
     "tool_usage": _with() + f"SELECT conversation_uuid, tool_name, count(*) AS n_calls FROM b WHERE {_TOOL} GROUP BY 1, 2",
     "graph_nodes": _with(_NODES) + "SELECT * FROM gn",
     "graph_edges": _with(_NODES) + "SELECT * FROM ge",

@@ -67,6 +67,6 @@ def _clean() -> None:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A scan over all cores, where it has fewer than half as many files; larger inputs stay where they are."""
+    """A scan over all cores, where it has fewer than half as many files; larger inputs stay where they are. The list of files stays in the JVM."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if len(scan.inputFiles()) * 2 <= cores else scan
+    return scan.repartition(cores, key) if len(scan._jdf.inputFiles()) * 2 <= cores else scan

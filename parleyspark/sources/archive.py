@@ -18,6 +18,10 @@ def latest_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
+#: What orders the stored versions of a message, last first.
+VERSION = ["updated", "loaded_at", "created_at", "updated_at"]
+
+
 @dataclass
 class Archive:
     spark: SparkSession
@@ -26,6 +30,12 @@ class Archive:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
+    def has(self, name: str) -> bool:
+        """Whether the archive holds this table; older ones lack some."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{name}.parquet")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     @cached_property
     def conversations(self) -> DataFrame:
         t = self.raw("archive_conversations").where("uuid is not null")
@@ -39,12 +49,18 @@ class Archive:
 
     @staticmethod
     def last_versions(versions: DataFrame) -> DataFrame:
-        return latest_by(versions, ["uuid"], [F.desc_nulls_last("updated"), F.desc_nulls_last("loaded_at"), F.desc_nulls_last("created_at"), F.desc_nulls_last("updated_at")])
+        return latest_by(versions, ["uuid"], [F.desc_nulls_last(c) for c in VERSION])
 
     @cached_property
     def messages(self) -> DataFrame:
         return self.last_versions(self.message_versions())
 
+    def messages_with(self, *columns) -> DataFrame:
+        """(uuid, *columns) of the messages; the columns are made of the stored versions where they are read, so that texts needn't be shuffled."""
+        v = self.message_versions().select("uuid", F.struct(*columns).alias("__made"), *[F.col(c).alias(f"__{c}") for c in VERSION])
+        w = Window.partitionBy("uuid").orderBy(*[F.desc_nulls_last(f"__{c}") for c in VERSION])
+        return v.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select("uuid", "__made.*")
+
     def block_versions(self) -> DataFrame:
         return self.raw("content_blocks").where("id is not null")
 

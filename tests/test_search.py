@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 
 from parleyspark.functions.porter import stem
-from parleyspark.operators.search import Query, SearchError, score, tokens
+from parleyspark.operators.search import Index, Query, SearchError, score, tokens
 
 WORDS = "run running runs runner café cafe the foo_bar connection connected relational conditional hopping agreed happy sky node nodes deploy deployed rate ties dies v2 42".split()
 QUERIES = ["run", "running OR cafe", "the NOT run", "run happy", '"the sky"', "node*", "^run", "NEAR(run happy, 3)", "NEAR(run sky happy)", "foo_bar", "(run OR sky) AND node", "run NOT sky happy", "run NOT sky AND happy", "a + b", '"sky happy" OR ties', "dies", "v2 42", "^the OR sky*", '"happy node"*']
@@ -33,6 +33,16 @@ def test_hits_and_ranks(spark):
         assert ours.keys() == theirs.keys() and all(math.isclose(ours[k], theirs[k], abs_tol=1e-9) for k in ours)
 
 
+def test_index_gives_what_one_pass_gives(spark):
+    rnd = random.Random(4)
+    docs = [" ".join(rnd.choices(WORDS, k=rnd.randint(0, 18))) for _ in range(60)] + [None, "  "]
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "id string, t string")
+    index = Index(df, "id", "t")
+    for text in QUERIES:
+        ours, theirs = ({r["id"]: r["rank"] for r in x.collect()} for x in (index.score(text), score(df, text, "id", "t")))
+        assert ours.keys() == theirs.keys() and all(math.isclose(ours[k], theirs[k], abs_tol=1e-9) for k in ours), text
+
+
 @pytest.mark.parametrize("text", BAD)
 def test_syntax_errors(text):
     with pytest.raises(SearchError):
