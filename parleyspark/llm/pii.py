@@ -1,7 +1,7 @@
 """Personal data in free text: found by a conditional random field, replaced by typed placeholders.
 
 The tagger is trained once a process from the labelled table of ``pii_table`` and goes to the workers as a closure of
-bounded size (its weights); texts are tagged where they are, without a shuffle, in batches of about a million characters.
+bounded size (its weights, and the words of public tokenizers as a list of common words); texts are tagged where they are, without a shuffle, in batches of about a million characters.
 Exact checks on what it proposes follow: the shape that a value of its type must have, and the borders of the value.
 
 Defined cases: null and empty texts hold nothing and stay as they are; texts of any length are read whole; a repeated row
@@ -10,6 +10,7 @@ gives one result; other columns don't matter.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parleyspark.llm.crf import _GAP, Crf
-from parleyspark.llm.pii_table import GIVEN, TYPES, labelled
+from parleyspark.llm.pii_table import TYPES, labelled
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 #: Characters tagged together in a worker.
@@ -31,17 +32,31 @@ CHARS = 1_000_000
 _TITLE = re.compile(r"(?:.*\W)?(?:Dr|Mr|Mrs|Ms|Prof|Herrn?|Frau|Mme|Mlle|Sra?|Srta|Don|Doña)\.?\s+(?=[^\W\d_])|(?:(?:Selon|Avec|Pour|Chez|[a-zà-ÿ]+)\W+)?\W*M\.\s+(?=[^\W\d_]+.*\s)", re.S)
 _AT = re.compile(r"\s*(?:@|[\[(]\s*at\s*[\])]|\bat\b)\s*", re.I)
 _DOMAIN = re.compile(r"[\w-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])]|\bdot\b)\s*[\w-]+)+", re.I)
-_LOCAL = re.compile(r"[\w+%-][\w.+%-]*$")
+_LOCAL = re.compile(r"[\w.+%-]")
 _WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’.-])*")
 _PARTICLES = {"von", "van", "der", "de", "la", "du", "della", "del", "di"}
-#: Without capitals, a name is one only with a known given name.
-_GIVEN = {x.lower() for x in GIVEN}
+#: Vocabularies of public tokenizers, whose whole words tell ordinary words from proper names and unknown ones.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
 @cache
-def tagger() -> Crf:
-    return Crf.train(labelled(), TYPES)
+def lexicon(paths: tuple[str, ...] = VOCABULARIES) -> dict[str, str]:
+    """c: an ordinary word (also) written small; n: a word written with a capital only."""
+    words = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            for line in f:
+                t = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+                if t[:1] == " " and len(t) > 2 and t[1:].isalpha():
+                    words.add(t[1:])
+    small = {w for w in words if w.islower()}
+    return dict.fromkeys((w.lower() for w in words if w[0].isupper()), "n") | dict.fromkeys(small, "c")
+
+
+@cache
+def tagger(paths: tuple[str, ...] = VOCABULARIES) -> Crf:
+    return Crf.train(labelled(lexicon=lexicon(paths)), TYPES, lexicon(paths))
 
 
 def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -50,10 +65,14 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
     if kind == "email":
         for at in _AT.finditer(value):
             # the local part is what stands before the sign, the domain what follows; both must be there
-            local = _LOCAL.search(text[max(0, start + at.start() - 80) : start + at.start()])
+            stop = begin = start + at.start()
+            while begin and _LOCAL.match(text[begin - 1]):
+                begin -= 1
+            while begin < stop and text[begin] == ".":
+                begin += 1
             domain = _DOMAIN.match(text, start + at.end())
-            if local and not local[0].endswith(".") and domain:
-                return start + at.start() - len(local[0]), domain.end()
+            if begin < stop and text[stop - 1] != "." and domain:
+                return begin, domain.end()
         return None
     if kind == "person_name":
         if title := _TITLE.match(value):
@@ -64,11 +83,12 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | No
         while start and (text[start - 1].isalpha() or (text[start - 1] in "-'’" and text[max(0, start - 2) : start - 1].isalpha())):
             start -= 1
         words = [(m[0], m.start()) for m in _WORDS.finditer(text, start, end) if m[0][-1] != "." and m[0] not in _PARTICLES]
-        names = [w for w, _ in words if w[0].isupper()]
-        if names and not words[0][0][0].isupper():
+        capital = lambda w: w[0].isupper() or w.rpartition("-")[2][:1].isupper()
+        names = [w for w, _ in words if capital(w)]
+        if names and not capital(words[0][0]):
             # an introducing word before a name in capitals
-            start = next(at for w, at in words if w[0].isupper())
-        elif not names and any(w in _GIVEN for w, _ in words):
+            start = next(at for w, at in words if capital(w))
+        elif not names:
             names = words
         return (start, end) if len(names) > 1 and text[end : end + 1] != "@" and not any(c.isdigit() for c in value) else None
     # numbers within a longer run of characters, or within a uuid, are no values of their own

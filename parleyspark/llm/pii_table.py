@@ -58,6 +58,16 @@ CARRIERS = [
     "<sentence> Please ask {name} about it. <sentence>", "<sentence> Ms. {name} will review it. <sentence>", "<sentence> Call me on {phone}. <sentence>", "<sentence> Contact: {email} (work). <sentence>", "<sentence> We live at {address}. <sentence>",
 ]
 
+# values in any surroundings: <w> is one to four words of SENTENCES, <Cap> ordinary words with capitals, <verb> what people do
+CARRIERS += [
+    "<w> {name} <w>.", "{name} <verb> <w>.", "<w> {name}, <w>.", "<w> {name} and {name} <w>.", "<w> by {name}.", "{name}, {name} and {name} <w>.", "{name}'s <w>", "<role> {name} <verb> <w>.", "the <role>, {name}, <verb> <w>.", "<W> {name} <verb>.", "<w> with {name} <w>", "<title> {name} <verb> <w>.", "<title> {name} and <title> {name} <verb>.",
+    "<w> an {name}.", "<w> à {name} <w>.", "<w> con {name} <w>.", "<w>: {name}", "<W> {name} <w>.", "As {name} <w>, <w>.", "Dear {name}, <w>.", "<w>; {name} <verb> <w>.", "({name})", "<role>={name}", "<role>: {name}, <w>", "<w> {name} of <Cap>.", "<title> {name}, {address}, <verb>.", "<W> der <role> {name} <w>.", "Notre <role> {name} <w>.", "Nuestra <role> {name} <w>.",
+    "<w> {email} <w>.", "<W>: {email}", "({email})", "<w> as {email} <w>", '<a href="mailto:{email}"><w></a>', "{email};{email}", "{email} <w>.", "<w>, {email}, <w>.", "<w> {email}: <w>",
+    "<w> {phone} <w>.", "<phonelabel> {phone}", "<phonelabel>: {phone}, <w>", "<W> <phonelabel> {phone} <w>.", "<w> <phonelabel>, {phone}, <w>.", "<w> on {phone} or <w>.", '<phonelabel>="{phone}"', "<Cap> <phonelabel>: {phone}.", "<w> to {phone} to <w>", "<w> ({phone})",
+    "<idlabel> {id} <w>.", "The <idlabel> is {id}.", "<w> <idlabel>, {id}, <w>.", "<w> <idlabel> ({id}) <w>.", "<w> <idlabel> no. {id} <w>", "<idlabel> {id}", "<w> <idlabel>: {id} <w>", "<idlabel> Nr. {id} <w>", "<w> <idlabel> {id} <w>.",
+    "<w> {address}, <town>.", "<W> {address} <w>.", "{address} <w>.", "<role>: {address}, <zip> <town>", "<w> at {address} <w>.", "<w> in die {address} <w>.", "<w> in den {address}.", "<w> au {address}.", "<w> en {address} <w>.", "<w>: {address}, <w>", "<w> outside {address}.", "<w>, {address}, <w>.", "<w> von {address} <w>.", "<w> de {address} <w>.", "Flat <n1>, {address}, <town>", "<Cap> {address}, <w>", "<W> {address}.",
+]
+
 # nothing in these is personal
 PLAIN_LINES = [
     "Move <n2> Road Map cards and <n2> Street View tiles to Sprint <n2>.", "Power Query and Knowledge Graph both need <n1> Docker images.", "Google Maps and Visual Studio Code are open.", "Order PO-<n5>-<n2> is <n2>.<n2> EUR, version <ver>.", "See build <n8>.<n2>, lot <year>-<n2>-<n4>.", "Epoch <n13> maps to row <n7>.",
@@ -67,8 +77,14 @@ PLAIN_LINES = [
     "My name is not important here.", "Please ask someone else about it.", "Please ask about it.", "This was assigned to nobody yet, as far as I know.", "This was assigned to another team.", "I talked to some people about it.", "The draft was written by hand yesterday.", "cc everyone here on the reply.", "Frag bitte noch einmal danach.",
     "Ich heiße das gut so.", "Demande à voir avant ce soir.", "Me llamo a engaño, por favor.", "Pregunta a todo el mundo en la oficina.", "Habla con otro equipo , por favor.", "signé par tous, merci.", "Laut diesem Bericht im Büro.", "Mit ganz anderen Worten abgesprochen.",
     "<sentence> <sentence>", "<sentence> <sentence> <sentence>", "<sentence>\n\n<sentence>", "Same for api. <sentence>", "<sentence> https://<word>.example/<slug>", "retry <n1> of <n2>, <n4> ms, <n2>% done", "Range <n4>-<n4>, pages <n2>-<n3>, ISBN later.", "192.168.<n2>.<n3> and 10.0.<n2>.<n2> answer.", "v<ver> replaces v<ver>.", "<n4> West is a tune.", "Chapter <n2> Hill is short.",
+    # ordinary text with apostrophes, accents and nouns in capitals
+    "J'ai relu l'exemple hier, c'est d'accord.", "Il n'y a qu'une réponse à l'énoncé d'hier, qu'on garde.", "L'équipe préfère l'ancien modèle plutôt allégé.", "Où s'arrête l'export, juste à côté du réglage d'arrivée ?", "C'est là qu'échoue l'appel, près de l'entrée d'index.", "Peut-être qu'il s'agit d'un détail déjà réglé, j'espère.",
+    "Après l'essai, l'onglet s'ouvre à côté de l'autre.", "N'oublie pas l'annexe, d'ici là j'attends.", "Quelqu'un d'autre a vérifié l'état du côté de l'usine, n'est-ce pas ?", "D'après l'étude, l'écart s'élève à <n2> %.", "Aujourd'hui j'ai l'après-midi libre jusqu'à l'heure du dîner.", "déplacé, supprimé, renommé, préféré : l'ordre n'a pas d'importance",
+    "Él dijo que sí, después añadió más páginas allí mismo.", "¿Qué pasó con la sección última? Está vacía también.", "Todavía falta revisar la versión más reciente del índice.", "Quizás según el árbol habría que añadir un renglón.", "Die Größe der Übersicht hängt vom Schlüssel ab, übrigens schon länger.", "Für das Gespräch nächste Woche fehlen noch Räume und Getränke.", "Meine Adresse ändert sich nächsten Monat, bitte merken.", "Die Liste heißt jetzt anders, die Prüfung läuft später.",
+    "Wenn möglich, prüfe die Größe zuerst im Bericht der Abteilung.", "it's fine, we're done, that's what they've said", "don't rename what isn't yours, let's wait", "rock'n'roll o'clock, 'tis the season", "drag-and-drop, copy-paste, read-only, up-to-date", "vis-à-vis, c'est-à-dire, rendez-vous, peut-être, au-dessus", "user's guide, teachers' room, today's list", "My number is up, your phone is off.", "The passport is in the drawer, the phone on the desk.", "Mein Ausweis liegt zu Hause, das Telefon auch.",
     "Take 3 Maple syrups and 2 Oak boards.", "We tried 12 Orchard apples.", "Room <n3> on Level <n1>.", "Terminal <n1> Gate <n2>", "Windows <n2> and Python <n1>", "Ich habe <n2> Dateien im Ordner, <n3> Minuten im Übergabeplan.", "Für <slug> bräuchten wir <n4> Zeilen und der Entwurf im Nachtlauf.", "Vermutlich fehlt <slug> schon seit <n4> Minuten im Testordner. Danach wartet alles.",
-    "Bitte lass das Archiv geöffnet und schiebe <slug> später in den Wochenbericht.", "Après <n3> fichiers, <slug> répète encore.", "On a essayé <slug> sur <n2> pages, sans toucher le brouillon.", "Probé <slug> con <n3> filas y la búsqueda aún se cayó.", "¿Puedes mirar por qué <slug> se cayó?", "Zwischen <slug> und <slug> fehlt das Archiv, das erklärt die <n3> Dateien.",
+    "Bitte lass das Archiv geöffnet und schiebe <slug> später in den Wochenbericht.", "Après <n3> fichiers, <slug> répète encore.", "On a essayé <slug> sur <n2> pages, sans toucher le brouillon.", "Probé <slug> con <n3> filas y la búsqueda aún se cayó.", "¿Puedes mirar por qué <slug> se cayó?", "<Cap> <Cap> <w>.", "<w> <Cap> <Cap> and <Cap> <Cap> <w>.", "<W> <Cap> <Cap>, <w>.", "The <Cap> <Cap> <w>.", "<place> <Cap> <w>.", "<w> <Cap> <place>, <w>.", "<w> <place> and <place> <w>.", "<W> <n2> <w>, <n3> <w>.", "<w> <n1> <Cap> <w>.", "<Cap> <n4>-<n2>-<n4> <w> <year>-<n2>-<n2>.", "<w> <n2>/<n2>/<year>, <w>.", "<Cap> <n2>, <Cap> <n2> and <Cap> B.", "<Cap> <n3> <w> <n1>.",
+    "ISBN <n3>-<n1>-<n2>-<n6>-<n1> <w>.", "<w>: <n1>,<n3>,<n3>.<n2> <Cap> <w>.", "<Cap> <n4>, lot <n8>, qty <n3>.", "IP <ip>, port <n4>, <w> <n4>.", "Flight AB <n4> <w> C<n2> <w>.", "Error <n3>: <Cap> <Cap> in <Cap> <Cap>.", "<given> <verb> <w>.", "<w> <given> <w>.", "<W> <given>.", "<Cap> und <Cap>, <Cap> <n1>", "<title> <given> <verb>.", "<w> <place> Street <w>.", "<w> <n4> <w> <n1>.<n1>.<n1> <w>.", "Version <ver> of <place> <Cap> <w>.", "Zwischen <slug> und <slug> fehlt das Archiv, das erklärt die <n3> Dateien.",
 ]
 
 SENTENCES = [
@@ -80,44 +96,79 @@ SENTENCES = [
 
 ID_LABELS = """SSN|social security number|my social|passport|passport no.|passport number|licence no.|driver's license|driving licence|ID card|ID card number|tax ID|national insurance number|NINO|NHS number|Steuer-ID|Steuer-IdNr.|Personalausweis|Personalausweisnummer|Reisepass|Reisepass Nr.|Sozialversicherungsnummer|
 NIR|n° sécu|numéro de sécurité sociale|carte d'identité|passeport n°|DNI|DNI número|NIF|NIE|pasaporte|número de la seguridad social""".replace("\n", "").split("|")
+#: More labels of documents of other countries, and of telephones.
+ID_LABELS += "SIN|PESEL|CPF|Aadhaar|PAN|BSN|CURP|RFC|TFN|personnummer|fødselsnummer|CPR|codice fiscale|Medicare|identity card|identity number|national ID|tax number|Steuernummer|Ausweis|Ausweisnummer|Reisepassnummer|passeport|NI number|driver license|número de pasaporte|cédula|numéro fiscal|social security|insurance number".split("|")
+PHONE_LABELS = "phone|Phone|tel|Tel|Tel.|mobile|Mobile|cell|Fax|fax|Handy|Rufnummer|Telefon|Festnetz|Teléfono|celular|móvil|téléphone|portable|pager|hotline|landline|helpline|WhatsApp|sms|call|ring|Dial|switchboard|desk|Durchwahl|Standard|fijo|number|Call".split("|")
+ROLES = "colleague director manager engineer witness patient tenant coach neighbour brother teacher author owner contact doctor driver editor lawyer nurse reviewer guest client Kollege Nachbarin Leiterin collègue docteur directora doctora vecino".split()
+TITLES_ = "Dr Dr. Mr Mr. Mrs Mrs. Ms Ms. Prof. Frau Herr Mme M. Sra. Sr.".split()
+VERBS = "wrote called answered left lives met asked said chaired explained signed works presents arrived will attend declined studied came hat angerufen schreibt kam est arrivé parle a dit firmó llamó vive no atiende".split()
+CAPS = "Machine Learning Deep Control Panel Network Settings Supreme Court Release Notes User Guide Holiday Monday Table Figure Great Wall Module Loader Server Project Status Report Cloud Storage Data Lake Open Source Black Friday Customer Success Board Meeting Design Review Sales Target Quality Team Annual Budget Change Request Public Health Final Draft Main Office Search Engine Risk Matrix Home Page Bericht Archiv Ordner Rapport Projet Informe Proyecto".split()
+PLACES = "Berlin Paris London Madrid Google Microsoft Linux Python Java Amazon Oracle Europe Africa Asia Texas Florida Ontario Zealand York Geneva Vienna Adobe Mozilla Intel Oxford Cambridge Everest Atlantic Kubernetes Docker Postgres Wikipedia Toyota Boston Chicago Sevilla Lyon Hamburg".split()
+# syllables of names that neither list has
+ONSETS = "ab ad ak al am an ar as ba be bo bra ca cha chi da de do du e fa fe ga gi go ha he hu i is ja je ka ki ko la le li lo lu ma me mi mo na ne ni no o ola ou pa pe phi pri ra re ri ro sa se shi so su ta te thi to tu u va ve vi wa we xi ya yu za zi".split()
+MIDDLES = "ra la na mi ri no sa de ka ta le vi nu lo ma di ni ro shi ya be go lu za ne".split()
+CODAS = "n s r l na ra k sh m th ne ni o a i e ya ko wa nko mann son vic ski ian ez as os eau er et in".split()
+
 MAIL_WORDS = "tessera plover brook halyard saltbox orchard post mail lumen quarry example gingko acme corp uni verlag".split()
 MAIL_ENDS = "example example.com example.org co.test test invalid com org de fr es co.uk net".split()
 PLAIN_WORDS = "falcon ledger ember probe basalt tracker mirror stitch relay cedar kernel onyx vault copper atlas weaver canyon hopper raven api sketch index".split()
 
 
+#: The words of SENTENCES that have no capital.
+COMMON = sorted({w for t in SENTENCES for w in re.findall(r"(?<![<\w])[^\W\d_]{2,}(?![>\w])", t) if w.islower()})
+
+
 def _fold(s: str) -> str:
     return re.sub(r"[^a-z-]", "", s.lower().translate(str.maketrans("áàâäéèêëíìîïóòôöúùûüçñøå", "aaaaeeeeiiiioooouuuucnoa")))
 
 
 class Filler:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, proper: list[str]):
         self.r = random.Random(seed)
+        #: words that are written with a capital only: mostly names
+        self.proper = proper
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choice(string.digits) for _ in range(n))
 
     def family(self) -> str:
         r = self.r
-        one = lambda: r.choice(PLAIN) if r.random() < 0.15 else r.choice(STEMS) + r.choice(ENDS)
+        one = lambda: r.choice(PLAIN) if (x := r.random()) < 0.15 else r.choice(STEMS) + r.choice(ENDS) if x < 0.5 else self.known() if x < 0.7 else self.invented(2)
         name = one() if r.random() < 0.85 else f"{one()}-{one()}"
         if r.random() < 0.06:
             name = f"O'{name}"
         if r.random() < 0.05:
             name = name.upper()
-        return (r.choice(["von ", "van der ", "de la ", "de ", "van ", "du ", "della "]) if r.random() < 0.1 else "") + name
+        return (r.choice(["von ", "van der ", "de la ", "de ", "van ", "du ", "della ", "al-", "al-", "el-", "bin "]) if r.random() < 0.12 else "") + name
+
+    def invented(self, least: int) -> str:
+        r = self.r
+        w = r.choice(ONSETS) + "".join(r.choice(MIDDLES) for _ in range(r.randint(least - 1, least))) + r.choice(CODAS)
+        if r.random() < 0.12:
+            w = w.replace(r.choice("aeiou"), r.choice("áéíóúäöüèêçñńşžłıễạ"), 1)
+        return w.capitalize()
+
+    def known(self) -> str:
+        return self.r.choice(self.proper) if self.proper else self.invented(2)
 
     def name(self) -> str:
-        name = self._name()
-        return name.lower() if self.r.random() < 0.07 else name
+        # without capitals only names that begin with a usual given name can be told from other words
+        if self.r.random() < 0.07:
+            return f"{self.r.choice(GIVEN)} {self.family()}".lower()
+        return self._name()
 
     def _name(self) -> str:
         r = self.r
-        g = r.choice(GIVEN) if r.random() < 0.8 else r.choice(string.ascii_uppercase) + r.choice(["ella", "oren", "imir", "aline", "ko", "una", "edra", "ish"])
+        g = r.choice(GIVEN) if (x := r.random()) < 0.5 else self.known() if x < 0.68 else self.invented(1) if x < 0.92 else r.choice(string.ascii_uppercase) + r.choice(["ella", "oren", "imir", "aline", "ko", "una", "edra", "ish"])
+        if r.random() < 0.1:
+            g += "-" + self.invented(1) if r.random() < 0.5 else "-" + self.invented(1).lower()
         if r.random() < 0.12:
             g += f" {r.choice(string.ascii_uppercase)}."
         f = self.family()
         if r.random() < 0.07:
             return f"{f}, {g}"
+        if r.random() < 0.04:
+            g += " " + self.invented(1)
         return f"{f} {g}" if r.random() < 0.02 else f"{g} {f}"
 
     def email(self) -> str:
@@ -138,8 +189,32 @@ class Filler:
             m = f"{local} at {' dot '.join(domain)}"
         return m.upper() if r.random() < 0.08 else m
 
+    def any_phone(self) -> str:
+        """Seven to twelve digits in groups, after a country code or a zero, as anywhere in the world."""
+        r, d = self.r, self.digits
+        sep = r.choice(" " * 5 + "-" * 3 + ".")
+        first = d(r.randint(2, 4))
+        lead = r.choice([f"+{r.randint(1, 9)}{d(r.randint(0, 2))}{sep}{first}", f"+{r.randint(1, 9)}{d(1)}{sep}{first}", f"0{first}", f"0{first}", f"({first})", f"(0{first})", f"00{d(2)}{sep}{first}", f"1{sep}{d(3)}", first])
+        rest = r.choice([[7], [6], [8], [3, 4], [4, 4], [3, 3], [2, 2, 2], [3, 2, 2], [2, 2, 2, 2], [3, 3, 2], [6, 1], [3, 3, 3], [5, 4], [5, 1]])
+        if len(rest) == 1 and r.random() < 0.3:
+            sep = r.choice("/ -")
+        if re.fullmatch(r"\d{3}-", lead + sep) and rest[0] == 2:
+            rest = [7]
+        return lead + sep + (r.choice([sep, "-"]) if r.random() < 0.2 else sep).join(d(n) for n in rest)
+
+    def any_id(self) -> str:
+        """Groups of letters and digits as documents of other countries have them."""
+        r, d, u = self.r, self.digits, lambda n: "".join(self.r.choice(string.ascii_uppercase) for _ in range(n))
+        mixed = lambda n: u(1) + "".join(self.r.choice(string.ascii_uppercase + string.digits * 2) for _ in range(n - 2)) + d(1)
+        sep = r.choice("   --.")
+        any_ = lambda n: "".join(self.r.choice(string.ascii_uppercase + string.digits) for _ in range(n))
+        group = lambda: d(r.randint(2, 5)) if r.random() < 0.8 else any_(r.randint(3, 5))
+        return r.choice([lambda: "-".join([any_(3) + d(1), any_(3), any_(2) + d(2)]), lambda: sep.join([d(r.randint(3, 4)), *(group() for _ in range(r.randint(1, 3)))]), lambda: d(r.randint(8, 12)), lambda: u(r.randint(1, 3)) + d(r.randint(6, 9)), lambda: mixed(r.randint(7, 16)), lambda: u(1) + d(r.randint(6, 8)) + u(1), lambda: d(2) + u(2) + d(5), lambda: f"{d(8)}-{d(4)}", lambda: f"{u(1)}{d(4)}-{d(5)}-{d(5)}", lambda: f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", lambda: u(2) + " " + " ".join(d(2) for _ in range(3)) + " " + u(1)])()
+
     def phone(self) -> str:
         r, d = self.r, self.digits
+        if r.random() < 0.3:
+            return self.any_phone()
         a, b = d(3), d(4)
         form = r.choice([
             f"({a}) 555-{b}", f"{a}-555-{b}", f"{a}.555.{b}", f"+1 {a} 555 {b}", f"+1{a}555{b}", f"1-{a}-555-{b}", f"({a}) 555-{b} ext. {d(3)}", f"+44 20 {d(4)} {d(4)}", f"020 {d(4)} {d(4)}", f"+44 (0)7{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(6)}",
@@ -155,6 +230,8 @@ class Filler:
     def id(self) -> str:
         r, d, u = self.r, self.digits, lambda n: "".join(self.r.choice(string.ascii_uppercase) for _ in range(n))
         mixed = lambda n: "".join(self.r.choice(string.ascii_uppercase + string.digits * 2) for _ in range(n))
+        if r.random() < 0.25:
+            return self.any_id()
         return r.choice([
             f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{u(1)}{d(3)}-{d(4)}-{d(4)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"00{d(9)}", f"{d(11)}", f"{d(8)}{u(1)}", f"{d(8)}-{u(1)}", f"{d(8)} {u(1)}", f"{u(1)}{d(7)}{u(1)}", f"{u(1)}-{d(7)}-{u(1)}",
             f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{r.choice('12')}{d(14)}", f"{u(1)}{mixed(6)}{d(2)}", f"{u(1)}{mixed(6)}{d(2)}", f"{u(3)}{mixed(4)}{d(2)}", f"{u(2)}{mixed(5)}{d(2)}", f"{u(1)}{d(8)}", f"{u(2)} {d(2)} {d(2)} {d(2)} {u(1)}", f"{d(3)} {d(3)} {d(4)}", f"{u(2)}{d(6)}{u(1)}",
@@ -164,29 +241,40 @@ class Filler:
         r, kind = self.r, self.r.random()
         n = str(r.randint(1, 2400) if r.random() < 0.7 else r.randint(1, 99))
         if kind < 0.5:
-            road = f"{r.choice(['', '', 'N. ', 'West ', 'South ', 'E. '])}{r.choice(STREETS_EN)}{r.choice(['', '', '', ' Hill', ' Hollow'])} {r.choice(KINDS_EN)}"
-            return f"{n} {road}{r.choice(['', '', f', Apt {r.randint(1, 40)}', f', Unit {r.randint(1, 9)}'])}"
-        n = str(r.randint(1, 199))
+            road = f"{r.choice(['', '', 'N. ', 'West ', 'South ', 'E. '])}{r.choice(STREETS_EN) if (x := r.random()) < 0.5 else self.invented(1) if x < 0.7 else self.known() if x < 0.85 else r.choice(CAPS)}{r.choice(['', '', '', ' Hill', ' Hollow'])} {r.choice(KINDS_EN)}"
+            return f"{n} {road}{r.choice(['', '', '', f', Apt {r.randint(1, 40)}', f', Unit {r.randint(1, 9)}', f', Floor {r.randint(1, 60)}', ' NW'])}"
+        n = str(r.randint(1, 199) if r.random() < 0.8 else r.randint(200, 3999))
         if kind < 0.68:
-            return f"{r.choice(STREETS_DE) if r.random() < 0.65 else r.choice(STREETS_DE2)} {n}{r.choice(['', '', 'a', 'b', ' c'])}"
+            road = r.choice(STREETS_DE) if (x := r.random()) < 0.45 else r.choice(STREETS_DE2) if x < 0.7 else self.invented(1) + r.choice("straße weg str. allee damm platz gasse ring ufer".split()) if x < 0.9 else f"{r.choice([self.invented(1) + 'er', 'Alte', 'Neue', 'Große', 'Kurze', 'Hohe'])} {r.choice(['Allee', 'Straße', 'Weg', 'Damm', 'Reihe', 'Gasse'])}"
+            return f"{road} {n}{r.choice(['', '', 'a', 'b', ' c'])}"
         if kind < 0.84:
-            return f"{n}{r.choice(['', ' bis', ' ter'])}{r.choice(['', '', ','])} {r.choice(KINDS_FR)} {r.choice(NAMES_FR)}"
-        return f"{r.choice(KINDS_ES)} {r.choice(NAMES_ES)}{r.choice([' ', ', ', ' n.º '])}{n}{r.choice(['', '', ', 3.º B', ', 2º izq.'])}"
+            return f"{n}{r.choice(['', ' bis', ' ter'])}{r.choice(['', '', ','])} {r.choice(KINDS_FR)} {r.choice(NAMES_FR) if r.random() < 0.6 else r.choice(['', 'de ', 'des ']) + (self.known() if r.random() < 0.4 else self.invented(2))}"
+        return f"{r.choice(KINDS_ES)} {r.choice(NAMES_ES) if r.random() < 0.6 else r.choice(['', 'de ']) + (self.known() if r.random() < 0.4 else self.invented(2))}{r.choice([' ', ', ', ' n.º '])}{n}{r.choice(['', '', ', 3.º B', ', 2º izq.'])}"
 
     def filler(self, what: str) -> str:
         r, d = self.r, self.digits
         if what[0] == "n" and what[1:].isdigit():
             return str(r.randint(1, 9)) + d(int(what[1:]) - 1)
         word = r.choice(PLAIN_WORDS)
+        if what in ("w", "W"):
+            ws = [r.choice(COMMON) for _ in range(r.randint(1, 4))]
+            return " ".join([ws[0].capitalize(), *ws[1:]] if what == "W" else ws)
+        if what in ("Cap", "place", "verb", "role", "title", "given", "phonelabel"):
+            return r.choice({"Cap": CAPS, "place": PLACES, "verb": VERBS, "role": ROLES, "title": TITLES_, "given": GIVEN, "phonelabel": PHONE_LABELS}[what])
         return {
             "slug": f"{word}-{r.choice(PLAIN_WORDS)}", "word": word, "ip": f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", "ver": f"{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 400)}", "year": str(r.randint(2019, 2027)),
             "hex": "".join(r.choice("0123456789abcdef") for _ in range(6)), "uuid": "-".join("".join(r.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)), "town": r.choice(TOWNS), "zip": d(5), "idlabel": r.choice(ID_LABELS),
         }[what]
 
 
-def labelled(n: int = 4000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, type)]): the table, its slots filled; carriers come in turn, so that none is missing."""
-    fill = Filler(seed)
+#: Rows that the tagger learns from.
+ROWS = 20_000
+
+
+def labelled(n: int = ROWS, seed: int = 11, lexicon: dict[str, str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, type)]): the table, its slots filled; carriers come in turn, so that none is missing. ``lexicon`` gives words with capitals for names."""
+    not_names = {w.lower() for w in PLACES + CAPS}
+    fill = Filler(seed, sorted(w.capitalize() for w, kind in (lexicon or {}).items() if kind == "n" and len(w) > 2 and w not in not_names))
     slots = {"name": ("person_name", fill.name), "email": ("email", fill.email), "phone": ("phone", fill.phone), "id": ("id_number", fill.id), "address": ("street_address", fill.address)}
     out = []
     pool = CARRIERS + PLAIN_LINES
@@ -195,13 +283,13 @@ def labelled(n: int = 4000, seed: int = 11) -> list[tuple[str, list[tuple[int, i
         while "<sentence>" in t:
             t = t.replace("<sentence>", fill.r.choice(SENTENCES), 1)
         text, spans = "", []
-        for piece in re.split(r"(\{(?:name|email|phone|id|address)\}|<[a-z]+\d*>)", t):
+        for piece in re.split(r"(\{(?:name|email|phone|id|address)\}|<[A-Za-z]+\d*>)", t):
             if piece[:1] == "{" and piece[1:-1] in slots:
                 kind, value = slots[piece[1:-1]]
                 v = value()
                 spans.append((len(text), len(text) + len(v), kind))
                 text += v
-            elif re.fullmatch(r"<[a-z]+\d*>", piece):
+            elif re.fullmatch(r"<(?!a>)[A-Za-z]+\d*>", piece):
                 text += fill.filler(piece[1:-1])
             else:
                 text += piece
