@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity: first-fit decreasing over a tournament tree, in randomised groups.
 
-Every document goes to a group by a seeded hash of its key; groups are packed independently and in parallel, and lose at
-most about one half-filled container each. A text longer than the capacity is cut into full containers and a rest.
+Every item goes to a group by a seeded hash of its key and its row, so that any number of rows of one key spread like others;
+groups are packed independently and in parallel, and lose at most about one half-filled container each. A text longer
+than the capacity is cut into full containers and a rest.
 
 Defined cases: NULL and empty texts have 0 tokens and lie in a container all the same; ties of size are taken in the
 order of the key; a repeated key is packed as often as it comes; an empty table gives an empty result.
@@ -9,14 +10,18 @@ order of the key; a repeated key is packed as often as it comes; an empty table
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parleyspark.plans.stage import Stage
+
 CAPACITY = 2048
 #: Items packed together. Less than one container in GROUP / 10 is lost to the borders of groups at usual sizes.
 GROUP = 10_000
@@ -47,8 +52,13 @@ def _encoder(path: str):
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens BIGINT)."""
 
+    # machines that don't have the file get it from the driver
+    spark, name = docs.sparkSession, os.path.basename(tokenizer)
+    if not any(x.endswith("/" + name) for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _encoder(tokenizer)
+        count = _encoder(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(name))
         for b in batches:
             n = [count(t) if (t := x.as_py()) else 0 for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -93,12 +103,13 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: i
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / capacity) - 1)
     items = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("piece"))
     items = items.select("doc_id", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens"), (F.col("piece") * capacity).alias("token_from"))
-    n = items.count()
-    groups = max(1, -(-n // group))
-    items = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(groups)))
+    # written with the number of each row: a task that runs again must not put a row into another group
+    items = Stage(items.withColumn("row", F.monotonically_increasing_id())).df
+    groups = max(1, -(-items.count() // group))
+    items = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "row", F.lit(seed)), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         bins = first_fit_decreasing(pdf["n_tokens"].tolist(), capacity)
         pdf["container"] = [f"{g}-{b}" for g, b in zip(pdf["g"], bins, strict=True)]
         return pdf[["doc_id", "piece", "n_tokens", "token_from", "container"]]

@@ -49,3 +49,9 @@ def test_tokens_and_ends(spark):
     assert same == other
     assert packing.pack(packing.token_counts(docs)).count() == 4 + -(-n[4] // 2048)
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0
+
+
+def test_rows_of_one_key_spread(spark):
+    df = spark.range(30_000).selectExpr("cast(null as bigint) as doc_id", "100L as n_tokens")
+    t = packing.pack(df).selectExpr("split(container, '-')[0] as g").groupBy("g").count().collect()
+    assert len(t) == 3 and all(9_000 < r["count"] < 11_000 for r in t)
