@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from parleyspark.functions.keys import pack_key
 from parleyspark.plans.stage import Stage
 
-#: A term's rows are spread over so many counters, by record, before their sums meet.
-SALTS = 32
+#: A term of more rows than this is counted by several counters, one for each so many rows, before their sums meet.
+COUNTER_ROWS = 2_000_000
 #: Terms of one record that are paired in one task; larger records are paired tile by tile.
 TILE = 256
 #: Pair codes sorted at once in a worker: 8 bytes each.
 RUN = 2_000_000
+#: Bits of a term's number in a pair's code; of larger numbers the upper bits stand beside the code.
+HALF = 31
 
 
 def normal(c: Column) -> Column:
@@ -39,11 +41,14 @@ def term_counts(rows: DataFrame, term: str = "entity", kind: str = "type", recor
     """(entity, type, n_rows, n_records) by last-seen counters.
 
     Rows are hash-partitioned by term and salt and come ordered by record; a row whose record differs from the last one
-    seen of its term adds to the records. A record's rows of a term share a salt, so that sums over salts are exact, and a
-    term that holds a third of all rows is counted by SALTS tasks. A null type is a type of its own.
+    seen of its term adds to the records. A record's rows of a term share a salt, so that sums over salts are exact. Salts follow
+    the rows: a first sum, combined before its shuffle, finds the terms of more than COUNTER_ROWS rows, at most one for each so many
+    rows of the table. A null type is a type of its own.
     """
     t = rows.select(normal(F.col(term)).alias("entity"), F.col(kind).alias("type"), pack_key(F.col(record)).alias("r")).where("entity is not null and r is not null")
-    t = t.withColumn("salt", F.pmod(F.xxhash64("r"), F.lit(SALTS)))
+    hot = t.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > COUNTER_ROWS).select(F.col("entity").alias("hot"), F.ceil(F.col("n") / COUNTER_ROWS).alias("salts"))
+    t = t.join(Stage(hot).df, F.col("entity") == F.col("hot"), "left").drop("hot")
+    t = t.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("r"), F.col("salts"))).otherwise(0))
     last = F.lag("r").over(Window.partitionBy("entity", "type", "salt").orderBy("r"))
     counters = t.withColumn("fresh", F.when(last.eqNullSafe(F.col("r")), 0).otherwise(1)).groupBy("entity", "type", "salt").agg(F.count("*").alias("n"), F.sum("fresh").alias("fresh"))
     return counters.groupBy("entity", "type").agg(F.sum("n").cast("bigint").alias("n_rows"), F.sum("fresh").cast("bigint").alias("n_records"))
@@ -66,22 +71,25 @@ def _numbered(df: DataFrame) -> DataFrame:
     for p in sorted(sizes):
         starts[p] = at
         at += sizes[p]
-    if at >= 2**31:
-        raise ValueError("more than 2^31 terms don't fit into packed pairs of 32 bits")
-    if not starts:
-        return base.withColumn("no", F.lit(0).cast("bigint")).drop("__at")
-    offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[part]
-    return base.withColumn("no", (offset + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("__at")
+    # a row for each partition of the written table
+    offsets = df.sparkSession.createDataFrame([(int(p), n) for p, n in starts.items()], "__part bigint, __start bigint")
+    t = base.withColumn("__part", part).join(offsets, "__part")
+    return t.withColumn("no", F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__start")
 
 
-def _runs(tiles: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed codes of the pairs within (or between) tiles, as sorted runs with counts."""
-    held, size = [], 0
+def _runs(tiles: Iterator[pa.RecordBatch], half: int, run: int) -> Iterator[pa.RecordBatch]:
+    """Packed codes of the pairs within (or between) tiles, as sorted runs with counts. Numbers beyond ``half`` bits leave their upper parts in ``block``."""
+    held, size, low = [], 0, (1 << half) - 1
 
     def flush():
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000], pa.int64()), pa.array(counts[i : i + 100_000], pa.int64())], names=["code", "n"])
+        x, y = (np.concatenate(part) for part in zip(*held, strict=True))
+        codes, blocks = (x & low) << half | (y & low), x >> half << 31 | y >> half
+        order = np.lexsort((codes, blocks)) if blocks.any() else np.argsort(codes, kind="stable")
+        codes, blocks = codes[order], blocks[order]
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])])
+        columns = blocks[starts], codes[starts], np.diff(np.r_[starts, len(codes)])
+        for i in range(0, len(starts), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.int64()) for c in columns], names=["block", "code", "n"])
 
     for batch in tiles:
         a_all, b_all = batch.column(0), batch.column(1)
@@ -93,9 +101,9 @@ def _runs(tiles: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = a[x], a[y]
             else:
                 x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-            held.append((np.minimum(x, y) << 32) | np.maximum(x, y))
+            held.append((np.minimum(x, y), np.maximum(x, y)))
             size += len(x)
-            if size >= RUN:
+            if size >= run:
                 yield from flush()
                 held, size = [], 0
     if size:
@@ -103,24 +111,25 @@ def _runs(tiles: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over equal codes of sorted (code, n) rows; the last code waits for the next batch."""
-    code, n = None, 0
+    """Sums over equal codes of sorted (block, code, n) rows; the last code waits for the next batch."""
+    names = ["block", "code", "n"]
+    last = None
     for batch in batches:
-        codes, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        blocks, codes, counts = (c.to_numpy() for c in batch.columns)
         if not len(codes):
             continue
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        keys, sums = codes[starts], np.add.reduceat(counts, starts)
-        if code is not None:
-            if keys[0] == code:
-                sums[0] += n
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])])
+        rows = np.stack([blocks[starts], codes[starts], np.add.reduceat(counts, starts)])
+        if last is not None:
+            if (rows[:2, 0] == last[:2]).all():
+                rows[2, 0] += last[2]
             else:
-                keys, sums = np.r_[code, keys], np.r_[n, sums]
-        code, n = keys[-1], sums[-1]
-        if len(keys) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:-1], pa.int64()), pa.array(sums[:-1], pa.int64())], names=["code", "n"])
-    if code is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([n], pa.int64())], names=["code", "n"])
+                rows = np.c_[last, rows]
+        last = rows[:, -1]
+        if rows.shape[1] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1], pa.int64()) for r in rows], names=names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last], names=names)
 
 
 def pairs(rows: DataFrame, term: str = "entity", record: str = "message_uuid", least: int = 3, lift: float = 3.0) -> DataFrame:
@@ -149,9 +158,12 @@ def pairs(rows: DataFrame, term: str = "entity", record: str = "message_uuid", l
     large = Stage(tiles.where("w > 1")).df
     other = large.select(F.col("r").alias("r2"), F.col("tile").alias("tile2"), F.col("a").alias("b"))
     two = large.join(other, (F.col("r") == F.col("r2")) & (F.col("tile") < F.col("tile2"))).select("a", "b")
-    runs = one.where("size(a) > 1").unionByName(two).mapInArrow(_runs, "code bigint, n bigint")
-    counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code bigint, n bigint").where(F.col("n") >= least)
-    counted = counted.select(F.shiftright("code", 32).alias("no_a"), F.col("code").bitwiseAND((1 << 32) - 1).alias("no_b"), F.col("n").alias("n_ab"))
+    code = "block bigint, code bigint, n bigint"
+    half, run = HALF, RUN
+    runs = one.where("size(a) > 1").unionByName(two).mapInArrow(lambda tiles: _runs(tiles, half, run), code)
+    counted = runs.repartition("block", "code").sortWithinPartitions("block", "code").mapInArrow(_run_lengths, code).where(F.col("n") >= least)
+    upper, lower = lambda c, bits: F.shiftright(c, bits), lambda c, bits: F.col(c).bitwiseAND((1 << bits) - 1)
+    counted = counted.select((F.shiftleft(upper("block", 31), HALF) + upper("code", HALF)).alias("no_a"), (F.shiftleft(lower("block", 31), HALF) + lower("code", HALF)).alias("no_b"), F.col("n").alias("n_ab"))
     a = words.select(F.col("no").alias("no_a"), F.col("entity").alias("x"), F.col("n_t").alias("n_x"))
     b = words.select(F.col("no").alias("no_b"), F.col("entity").alias("y"), F.col("n_t").alias("n_y"))
     named = counted.join(a, "no_a").join(b, "no_b").where(F.col("n_ab") * F.lit(total) >= F.col("n_x") * F.col("n_y") * lift)

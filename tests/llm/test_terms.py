@@ -21,7 +21,9 @@ def clean(rows):
     return [(e.strip().lower(), t, m) for e, t, m, *_ in rows if e and e.strip() and m]
 
 
-def test_counts(spark, rows):
+@pytest.mark.parametrize("counter", [2_000_000, 20])
+def test_counts(spark, rows, counter, monkeypatch):
+    monkeypatch.setattr(terms, "COUNTER_ROWS", counter)
     got = {(r["entity"], r["type"]): (r["n_rows"], r["n_records"], r["mark"]) for r in terms.mark_terms(spark.createDataFrame(rows, SCHEMA)).collect()}
     c = clean(rows)
     n, ms = Counter((e, t) for e, t, _ in c), defaultdict(set)
@@ -31,9 +33,10 @@ def test_counts(spark, rows):
     assert got == {k: (n[k], len(s), "rare" if len(s) < 3 else "common" if 100 * len(s) > 3 * total else None) for k, s in ms.items()}
 
 
-@pytest.mark.parametrize("tile", [256, 3])
-def test_pairs(spark, rows, tile, monkeypatch):
+@pytest.mark.parametrize("tile, half", [(256, 31), (3, 2)])
+def test_pairs(spark, rows, tile, half, monkeypatch):
     monkeypatch.setattr(terms, "TILE", tile)
+    monkeypatch.setattr(terms, "HALF", half)
     monkeypatch.setattr(terms, "RUN", 50)
     by = defaultdict(set)
     for e, _, m in clean(rows):
