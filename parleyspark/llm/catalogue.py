@@ -69,6 +69,10 @@ def p10_found(spark, root):
     return lookalike.look_alike_pairs(table(spark, root, "documents"))
 
 
+def p10_classes(spark, root):
+    return lookalike.look_alike_classes(table(spark, root, "documents"))
+
+
 def p10_texts(spark, root):
     return lookalike.canonical_rows(table(spark, root, "documents"))
 
@@ -86,9 +90,15 @@ _WIDE, _PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c -
 _SMALL_FROM, _SMALL_TO = "".join(map(chr, leaks._SMALL)), "".join(leaks._SMALL.values())
 #: The words of a text: look-alike letters as one, small ones as the capitals' twins, whatever can't be seen left out.
 _WORD_LIST = f"""list_transform(regexp_extract_all(lower(nfc_normalize(translate(translate(regexp_replace(text, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_WIDE.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'), '{_FROM}', '{_TO}'))), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: translate(x, '{_SMALL_FROM}', '{_SMALL_TO}'))"""
+#: Composed letters that hold a look-alike, by their consistent form.
+_COMPOSED = {c: f for a, b in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for c in map(chr, range(a, b)) if len(f := lookalike.canonical(c) or "") == 1 and f != c}
+_GONE = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in lookalike.IGNORABLE + lookalike._CONTROLS)
+_FORM = f"""nfc_normalize(translate(nfc_normalize(regexp_replace(regexp_replace(translate(text, '{_WIDE.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'), '[{_GONE}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')), '{"".join(_COMPOSED)}', '{"".join(_COMPOSED.values())}'))"""
+_LOOKS = rf"""d AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), g AS (SELECT * FROM d WHERE length(regexp_replace(form, '[\s\p{{Z}}]', '', 'g')) > 0),
+forms AS (SELECT form, text, min(doc_id) AS form_id, count(*) AS n FROM g GROUP BY 1, 2), classes AS (SELECT form, min(form_id) AS class_id, count(*) AS n_forms, sum(n)::BIGINT AS n_all FROM forms GROUP BY 1)"""
 _WINDOWS = "SELECT {key}, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL))"
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_texts": p10_texts}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_terms": p7_terms, "p8_packing": p8_packing, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_classes": p10_classes, "p10_texts": p10_texts}
 SQL = {
     "p3_found": r"""WITH RECURSIVE m AS (
   SELECT uuid AS id, conversation_uuid AS conv, created_at::TIMESTAMPTZ AS ts, CASE WHEN parent_message_uuid IN ('', '00000000-0000-4000-8000-000000000000') THEN NULL ELSE parent_message_uuid END AS parent,
@@ -113,4 +123,6 @@ SELECT conv AS conversation_uuid, turn, id AS message_uuid, role FROM judged WHE
     "p7_terms": f"WITH {_TERMS}, {_COUNTS} SELECT entity, type, n_rows, n_records, {_MARK} AS mark FROM c, total",
     "p9_found": f"""WITH d AS ({_WINDOWS.format(key="doc_id", words=_WORD_LIST, table="documents")}), e AS ({_WINDOWS.format(key="item_id", words=_WORD_LIST, table="eval_items")})
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (x)""",
+    "p10_found": f"WITH {_LOOKS} SELECT DISTINCT least(doc_id, form_id) AS doc_id_a, greatest(doc_id, form_id) AS doc_id_b FROM g JOIN forms ON forms.form = g.form AND forms.text <> g.text",
+    "p10_classes": f"WITH {_LOOKS} SELECT doc_id, class_id, form_id, n_forms, n_all - n AS n_links FROM g JOIN forms USING (form, text) JOIN classes USING (form)",
 }

@@ -103,19 +103,25 @@ def canonical_text(c: Column) -> Column:
     return F.coalesce(F.pandas_udf(_canonical_series, T.StringType())(F.when(c.rlike(SUSPECT), c)), c)
 
 
+def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, look, exact) of the texts with a visible character: 128-bit hashes of the consistent form and of the text, written."""
+    form = canonical_text(F.col(text))
+    t = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("raw"), form.alias("form"))
+    # blank texts get no hash and go after the write: a filter before it would be pushed down and run the Python function twice
+    shown = F.length(F.regexp_replace("form", r"[\s\p{Z}]", "")) > 0
+    t = t.select("id", F.when(shown, F.unhex(F.md5("form"))).alias("look"), F.unhex(F.md5("raw")).alias("exact"))
+    return Stage(t).df.where("look is not null")
+
+
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), smaller key first: texts that look the same and differ in code points.
 
     Texts without a visible character and null keys or texts don't count. Exact copies: every document is paired with
     the first document (by key) of each other text of its class, so that copies cost rows in proportion to their number
-    and no link between two texts is lost. Only 128-bit hashes are shuffled, never texts.
+    and no link between two texts is lost. Only 128-bit hashes are shuffled, never texts. A class of many different texts
+    has as many rows as links; ``look_alike_classes`` holds the same links in a row for each document.
     """
-    form = canonical_text(F.col(text))
-    t = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("raw"), form.alias("form"))
-    # blank texts get no hash and go after the write: a filter before it would be pushed down and run the Python function twice
-    shown = F.length(F.regexp_replace("form", r"[\s\p{Z}]", "")) > 0
-    t = t.select("id", F.when(shown, F.unhex(F.md5("form"))).alias("look"), F.unhex(F.md5("raw")).alias("exact"))
-    t = Stage(t).df.where("look is not null")
+    t = _hashed(docs, key, text)
     first = t.groupBy("look", "exact").agg(F.min("id").alias("first"))
     many = first.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     first = Stage(first.join(many, "look", "left_semi")).df
@@ -124,6 +130,20 @@ def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return p.select(F.least("id", "id2").alias("doc_id_a"), F.greatest("id", "id2").alias("doc_id_b")).distinct()
 
 
+def look_alike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, form_id, n_forms, n_links): a row for each document with a visible character.
+
+    class_id is the first document of those that look the same, form_id the first of those with the same code points; n_forms
+    counts the class's different texts, n_links the documents of its other texts. Rows grow with the documents, however
+    many forms a class has; a class of any size is a sum, and a hot one is split by AQE in the joins.
+    """
+    t = _hashed(docs, key, text)
+    forms = Stage(t.groupBy("look", "exact").agg(F.min("id").alias("form_id"), F.count("*").alias("n"))).df
+    classes = forms.groupBy("look").agg(F.min("form_id").alias("class_id"), F.count("*").alias("n_forms"), F.sum("n").alias("n_all"))
+    p = t.join(forms, ["look", "exact"]).join(classes, "look")
+    return p.select(F.col("id").alias("doc_id"), "class_id", "form_id", "n_forms", (F.col("n_all") - F.col("n")).alias("n_links"))
+
+
 def canonical_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, changed): every text in its consistent form."""
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("raw"), canonical_text(F.col(text)).alias("text")).select("doc_id", "text", (F.col("raw") != F.col("text")).alias("changed"))

@@ -38,3 +38,11 @@ def test_pairs(spark):
     assert la.look_alike_pairs(df.where("false")).count() == 0
     t = {r["doc_id"]: r["changed"] for r in la.canonical_rows(df).collect()}
     assert t[1] is False and t[2] is True and t[5] is None and t[11] is True
+
+
+def test_classes(spark):
+    forms = ["".join(x if i >> k & 1 else y for k, (x, y) in enumerate(zip("оасерхуіј", "oacepxyij"))) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*forms, "alone", "alone", None, " "])], "doc_id bigint, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in la.look_alike_classes(df).collect()}
+    assert len(got) == 402 and all(got[i] == (0, i, 400, 399) for i in range(400)) and got[400] == got[401] == (400, 400, 1, 0)
+    assert la.look_alike_classes(df.where("false")).count() == 0
