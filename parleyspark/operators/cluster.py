@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleyspark.functions.patterns import STOPWORDS, TOOL_CATEGORIES
-from parleyspark.operators.graph import symmetric
+from parleyspark.operators.graph import entity_times, symmetric
+from parleyspark.operators.ranks import numbered
 from parleyspark.plans.stage import Stage
 
 ROUNDS, MOVED = 25, 0.01
@@ -51,7 +52,7 @@ def label_propagation(ids: DataFrame, e: DataFrame, rounds: int = ROUNDS) -> Dat
 def communities(labels: DataFrame, e: DataFrame, degrees: DataFrame) -> DataFrame:
     """(community_id, node_count, cohesion, top_entities, label): ids by size; cohesion is the exact share of possible edges."""
     size = labels.groupBy("label").agg(F.count("*").alias("node_count"))
-    ids = size.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("node_count"), "label")).cast("bigint"))
+    ids = numbered(size, [F.desc("node_count"), "label"], "community_id")
     member = labels.join(ids, "label").select("id", "community_id", "node_count")
     x = member.select(F.col("id").alias("source_id"), "community_id")
     y = member.select(F.col("id").alias("target_id"), F.col("community_id").alias("c2"))
@@ -243,6 +244,39 @@ def categorize(a, k: int | None = None, top: int = 500) -> DataFrame:
     return got.select("uuid", "cluster").join(cluster_labels(got).select("cluster", "label"), "cluster")
 
 
+def cluster(a, n: DataFrame, e: DataFrame, algorithm: str = "label-propagation") -> tuple[DataFrame, DataFrame]:
+    """(nodes with community_id, communities): the graph clustered by one algorithm, as it is written back.
+
+    Nodes that aren't clustered have a NULL community_id. Communities are (community_id, node_count, cohesion, top_entities, label), the largest first; for
+    'kmeans' cohesion is the silhouette of the whole clustering.
+    """
+    if algorithm not in ("label-propagation", "kmeans"):
+        raise ValueError(f"no clustering {algorithm!r}")
+    entity = n.where("node_type = 'entity'")
+    if algorithm == "kmeans":
+        x = Stage(features(a, n, entity_times(a))).df
+        columns = [c for c in x.columns if c != "id"]
+        rows = x.count()
+        if rows < 4:
+            labels, score = x.select("id", F.lit(0).alias("label")), 0.0
+        else:
+            got = auto_k(x, columns, graph_ks(rows))[1]
+            score = silhouette(got, columns)
+            labels = got.select("id", F.col("cluster").alias("label"))
+    else:
+        labels, score = cluster_graph(n, e).withColumnRenamed("community", "label"), None
+    labels = Stage(labels).df
+    c = communities(labels, e.where("relation = 'co_occurs'"), entity)
+    c = Stage(c.withColumn("cohesion", F.lit(score)) if score is not None else c).df
+    ids = labels.join(c.select(F.col("seed").alias("label"), "community_id"), "label").select("id", "community_id")
+    return n.drop("community_id").join(ids, "id", "left"), c.drop("seed")
+
+
+def community_meta(communities_: DataFrame, which: int) -> DataFrame:
+    """One row (community_id, label, cohesion), or none."""
+    return communities_.where(F.col("community_id") == which).select("community_id", "label", "cohesion")
+
+
 def community(n: DataFrame, which: int) -> DataFrame:
     """The members of a community, the most connected first when shown."""
     return n.where(F.col("community_id") == which).select("id", "label", "node_type", "entity_type", "degree")

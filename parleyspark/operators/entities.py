@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parleyspark.functions.patterns import CATEGORIES, ENTITIES, java, python
-from parleyspark.plans.stage import spread
+from parleyspark.plans.stage import Stage, spread
 
 TOPICS = ENTITIES[2][1].removeprefix(r"\b(?:").removesuffix(r")\b").split("|")
 
@@ -19,17 +19,19 @@ TOPICS = ENTITIES[2][1].removeprefix(r"\b(?:").removesuffix(r")\b").split("|")
 _VERSION = ["uuid", "updated", "loaded_at", "created_at", "updated_at"]
 
 
-def from_texts(a, compute) -> DataFrame:
+def from_texts(a, compute, ordered: bool = False) -> DataFrame:
     """What ``compute`` makes of each text of the archive, once for each message and block.
 
     ``compute`` maps a table with a column ``text`` to one without it, row by row. It runs on the stored versions, before
     the repeats go, so that only its results and never the texts are shuffled.
-    Columns: message_uuid, conversation_uuid, sender (NULL for blocks), and those of ``compute``.
+    Columns: message_uuid, conversation_uuid, sender (NULL for blocks), and those of ``compute``; with ``ordered`` also ``order``, by
+    which the messages of a conversation come before its blocks, each in their order.
     """
-    m = compute(spread(a.message_versions(), "uuid").select(*_VERSION, "conversation_uuid", "sender", "text", F.col("text").isNotNull().alias("held")))
+    place = lambda kind, at, key: [F.struct(F.lit(kind).alias("kind"), at.cast("bigint").alias("at"), key.alias("key")).alias("order")] if ordered else []
+    m = compute(spread(a.message_versions(), "uuid").select(*_VERSION, "conversation_uuid", "sender", "text", F.col("text").isNotNull().alias("held"), *place(0, F.unix_millis("created"), F.col("uuid"))))
     m = a.last_versions(m).where("held").withColumnRenamed("uuid", "message_uuid").drop("held", *_VERSION[1:])
     b = spread(a.block_versions(), "id").where(F.col("block_type").isin("text", "thinking", "voice_note") & F.col("text_content").isNotNull())
-    b = compute(b.select("id", "message_uuid", "conversation_uuid", F.lit(None).cast("string").alias("sender"), F.col("text_content").alias("text"))).dropDuplicates(["id"]).drop("id")
+    b = compute(b.select("id", "message_uuid", "conversation_uuid", F.lit(None).cast("string").alias("sender"), F.col("text_content").alias("text"), *place(1, F.col("id"), F.lit("")))).dropDuplicates(["id"]).drop("id")
     return m.unionByName(b)
 
 
@@ -100,6 +102,25 @@ def profiles(a, structure: DataFrame) -> DataFrame:
     )
 
 
+def update_profiles(a, structure, existing: DataFrame | None = None, uuids: list[str] | None = None, rebuild: bool = False) -> DataFrame:
+    """The table of profiles after a run: of the given conversations, of all (``rebuild``), or of those that ``existing`` hasn't.
+
+    ``structure`` makes structural_metrics of an archive. Other profiles stay as they are. Only texts of the conversations of the run are read
+    through; without a table, or with an empty one, the run is a rebuild.
+    """
+    if existing is None or rebuild or not existing.take(1):
+        existing = None
+        if uuids is None:
+            return profiles(a, structure(a))
+    if uuids is not None:
+        todo = a.spark.createDataFrame([(u,) for u in uuids], "conversation_uuid string")
+    else:
+        todo = a.raw("messages").select("conversation_uuid").distinct().join(existing.select("conversation_uuid"), "conversation_uuid", "left_anti")
+    part = a.restricted(Stage(todo.where("conversation_uuid is not null")).df)
+    new = profiles(part, structure(part))
+    return new if existing is None else existing.join(new.select("conversation_uuid"), "conversation_uuid", "left_anti").unionByName(new)
+
+
 def sender_profiles(a) -> DataFrame:
     """(conversation_uuid, side, category, n): counts apart for human messages and for all else."""
     names = _NAMES
@@ -109,12 +130,22 @@ def sender_profiles(a) -> DataFrame:
 
 
 def category_details(a, keep: int = 5) -> DataFrame:
-    """(conversation_uuid, category, match): distinct matches without case, the ``keep`` smallest of each category."""
-    found = F.array(*[F.struct(F.lit(c).alias("category"), F.regexp_extract_all("text", F.lit(java(p, case)), F.lit(0)).alias("found")) for c, p, case in CATEGORIES])
-    t = from_texts(a, lambda t: t.withColumn("all", found).drop("text")).select("conversation_uuid", F.inline("all")).select("conversation_uuid", "category", F.explode("found").alias("match"))
-    t = t.withColumn("match", F.lower("match")).distinct()
-    r = F.row_number().over(Window.partitionBy("conversation_uuid", "category").orderBy("match"))
-    return t.withColumn("r", r).where(F.col("r") <= keep).drop("r")
+    """(conversation_uuid, category, match): the first ``keep`` matches of each category that differ in more than case, as they stand in the text.
+
+    Within a text the first ``keep`` such matches are chosen where it is read; no other can be among the first of its conversation.
+    """
+    def first(p: str, case: bool) -> Column:
+        every = F.regexp_extract_all("text", F.lit(java(p, case)), F.lit(0))
+        new = F.slice(F.array_distinct(F.transform(every, F.lower)), 1, keep)
+        # the spelling of the first match of each
+        return F.transform(new, lambda x: F.element_at(F.filter(every, lambda m: F.lower(m) == x), 1))
+
+    found = F.array(*[F.struct(F.lit(c).alias("category"), first(p, case).alias("found")) for c, p, case in CATEGORIES])
+    t = from_texts(a, lambda t: t.withColumn("all", found).drop("text"), ordered=True).select("conversation_uuid", "order", F.inline("all"))
+    t = t.select("conversation_uuid", "order", "category", F.posexplode("found").alias("pos", "match")).withColumn("low", F.lower("match"))
+    t = t.groupBy("conversation_uuid", "category", "low").agg(F.min(F.struct("order", "pos", "match")).alias("m"))
+    r = F.row_number().over(Window.partitionBy("conversation_uuid", "category").orderBy("m"))
+    return t.withColumn("r", r).where(F.col("r") <= keep).select("conversation_uuid", "category", "m.match")
 
 
 def profile_aggregates(p: DataFrame) -> DataFrame:

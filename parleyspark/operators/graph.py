@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parleyspark.operators.ranks import within
 from parleyspark.plans.stage import Stage
 
 _TOOL_USE = "block_type = 'tool_use' and tool_name is not null and tool_name != ''"
@@ -39,16 +40,13 @@ def _accumulate(rows: DataFrame) -> DataFrame:
 def edges(a) -> DataFrame:
     use = Stage(tool_usage(a)).df
     uses = use.select(F.concat(F.lit("conv:"), "conversation_uuid").alias("source_id"), F.concat(F.lit("tool:"), "tool_name").alias("target_id"), F.lit("uses_tool").alias("relation"), F.col("n_calls").alias("weight"), "conversation_uuid")
-    other = use.select("conversation_uuid", F.col("tool_name").alias("tool_b"))
-    together = use.join(other, "conversation_uuid").where("tool_name < tool_b").select(
-        F.concat(F.lit("tool:"), "tool_name").alias("source_id"), F.concat(F.lit("tool:"), "tool_b").alias("target_id"), F.lit("co_occurs").alias("relation"), F.lit(1).cast("bigint").alias("weight"), "conversation_uuid"
+    together = within(use.where("conversation_uuid is not null").select("conversation_uuid", "tool_name"), "conversation_uuid", ["tool_name"]).select(
+        F.concat(F.lit("tool:"), "x.tool_name").alias("source_id"), F.concat(F.lit("tool:"), "y.tool_name").alias("target_id"), F.lit("co_occurs").alias("relation"), F.lit(1).cast("bigint").alias("weight"), "conversation_uuid"
     )
     e = Stage(a.entities).df
     # rows of one message in pairs: each row is an entity and type, so equal names of two types make a loop
-    x = e.select("message_uuid", "entity", "type", "conversation_uuid")
-    y = e.select("message_uuid", F.col("entity").alias("e2"), F.col("type").alias("t2"), F.col("conversation_uuid").alias("c2"))
-    pairs = x.join(y, "message_uuid").where("entity < e2 or (entity = e2 and type < t2)").select(
-        F.col("entity").alias("source_id"), F.col("e2").alias("target_id"), F.lit("co_occurs").alias("relation"), F.lit(1).cast("bigint").alias("weight"), F.least("conversation_uuid", "c2").alias("conversation_uuid")
+    pairs = within(e.select("message_uuid", "entity", "type", "conversation_uuid"), "message_uuid", ["entity", "type"]).where("x.entity != y.entity or x.type is not null").select(
+        F.col("x.entity").alias("source_id"), F.col("y.entity").alias("target_id"), F.lit("co_occurs").alias("relation"), F.lit(1).cast("bigint").alias("weight"), F.least("x.conversation_uuid", "y.conversation_uuid").alias("conversation_uuid")
     )
     mentioned = e.select(F.col("entity").alias("source_id"), F.concat(F.lit("conv:"), "conversation_uuid").alias("target_id"), F.lit("mentioned_in").alias("relation"), F.lit(1).cast("bigint").alias("weight"), "conversation_uuid")
     return _accumulate(uses.unionByName(together).unionByName(pairs).unionByName(mentioned))
@@ -167,13 +165,14 @@ def subgraph(n: DataFrame, e: DataFrame, keyword: str, depth: int = 2, seeds: in
     return n.join(seen, "id"), inner
 
 
-def hop_distances(n: DataFrame, e: DataFrame, source: str, limit: int | None = None) -> DataFrame:
-    """(id, hops, path): a shortest path from the source to every node it reaches (within ``limit`` hops, if given), the least by ids of equally short ones."""
+def hop_distances(n: DataFrame, e: DataFrame, source: str, limit: int | None = None, target: str | None = None) -> DataFrame:
+    """(id, hops, path): a shortest path from the source to every node it reaches (within ``limit`` hops, if given), the least by ids of equally short ones.
+    The walk ends when ``target`` is reached."""
     s = Stage(symmetric(e).where("id != other").select("id", "other").distinct()).df
     seen = frontier = Stage(n.where(F.col("id") == source).select("id", F.lit(0).cast("bigint").alias("hops"), F.array("id").alias("path"))).df
     for hop in count(1) if limit is None else range(1, limit + 1):
         f = frontier.select("id", "path")
-        if not f.take(1):
+        if not f.take(1) or (target is not None and frontier.where(F.col("id") == target).take(1)):
             break
         nxt = s.join(f, "id").groupBy("other").agg(F.min("path").alias("path")).select(F.col("other").alias("id"), F.lit(hop).cast("bigint").alias("hops"), F.concat("path", F.array("other")).alias("path"))
         frontier = Stage(nxt.join(seen.select("id"), "id", "left_anti")).df
@@ -185,4 +184,4 @@ def hop_distances(n: DataFrame, e: DataFrame, source: str, limit: int | None = N
 
 def shortest_path(n: DataFrame, e: DataFrame, a: str, b: str) -> DataFrame:
     """One row (path, hops) or none."""
-    return hop_distances(n, e, a).where(F.col("id") == b).select("path", "hops")
+    return hop_distances(n, e, a, target=b).where(F.col("id") == b).select("path", "hops")

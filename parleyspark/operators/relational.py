@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parleyspark.functions.text import descriptor
 from parleyspark.operators.entities import TOPICS
 from parleyspark.sources.archive import Archive
 
@@ -138,6 +139,25 @@ def version_folder(name: Column) -> Column:
     return F.when(n.startswith("page_"), "v01").when(n.startswith("v2_"), "v02").when(n.startswith("v3_"), "v03").when(n.startswith("v4_"), "v04").otherwise("v05-latest")
 
 
+_FILE = "array<struct<file_uuid:string,file_name:string,file_kind:string,created_at:string>>"
+
+
+def conversation_files(a: Archive) -> DataFrame:
+    """Files of messages, each file_uuid once for a conversation: (conversation_uuid, file_uuid, file_name, category, folder, date, sequence).
+
+    The first message that has a file says who sent it; the sequence counts the files of one descriptor of titles and one date.
+    """
+    t = a.messages_with("conversation_uuid", "sender", "created", F.from_json("files", _FILE).alias("files")).withColumnRenamed("created", "at")
+    t = t.select("conversation_uuid", "uuid", "sender", "at", F.posexplode("files").alias("pos", "f")).where("f.file_uuid is not null and f.file_uuid != ''")
+    t = t.groupBy("conversation_uuid", F.col("f.file_uuid").alias("file_uuid")).agg(F.min(F.struct(F.coalesce(F.unix_millis("at"), F.lit(-1)).alias("at"), "uuid", "pos", "sender", "f")).alias("first"))
+    name = F.coalesce("first.f.file_name", F.lit(""))
+    who = F.when(F.col("first.sender") == "human", "human").otherwise("assistant")
+    c = a.conversations.select(F.col("uuid").alias("conversation_uuid"), descriptor(F.coalesce("name", F.lit(""))).alias("descriptor"))
+    t = t.join(c, "conversation_uuid", "left").withColumn("date", F.substring("first.f.created_at", 1, 10))
+    seq = Window.partitionBy("descriptor", "date").orderBy("conversation_uuid", "first.at", "first.uuid", "first.pos")
+    return t.select("conversation_uuid", "file_uuid", name.alias("file_name"), file_category(name, who).alias("category"), version_folder(name).alias("folder"), "date", F.row_number().over(seq).cast("bigint").alias("sequence"))
+
+
 def file_manifest(a: Archive) -> DataFrame:
     """Attached files, each name once for a conversation, with category and sequence within (conversation, date)."""
     t = a.messages.where(~blank("attachments") & (F.col("attachments") != "[]")).select(
@@ -256,10 +276,17 @@ def structure(a: Archive) -> DataFrame:
     return t.select("conversation_uuid", *[F.coalesce(x, F.lit(0)).alias(x) for x in counts], F.round(F.coalesce("ms", F.lit(0)) / 60000, 6).alias("duration_minutes"))
 
 
-def projects(a: Archive) -> DataFrame:
-    """Projects with the number of their conversations."""
+def search_sessions(conversations: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """Sessions whose title holds ``query``, whatever the case; the last updated first."""
+    t = conversations.where(F.lower("name").contains(query.lower()))
+    return t.orderBy(F.desc_nulls_last(F.col("updated_at").try_cast("timestamp")), "uuid").limit(limit)
+
+
+def projects(a: Archive, archived: bool = True) -> DataFrame:
+    """Projects with the number of their conversations; without the archived ones if the table says which they are."""
     n = a.conversations.where(~blank("project_uuid")).groupBy(F.col("project_uuid").alias("uuid")).agg(F.count("*").alias("n_conversations"))
-    return a.projects.join(n, "uuid", "left").select("uuid", "name", F.coalesce("n_conversations", F.lit(0)).alias("n_conversations"))
+    p = a.projects if archived else a.projects.where(optional(a.projects, "archived_at").isNull())
+    return p.join(n, "uuid", "left").select("uuid", "name", F.coalesce("n_conversations", F.lit(0)).alias("n_conversations"))
 
 
 def conversation_url(c: Column, base: str = "https://example.org") -> Column:

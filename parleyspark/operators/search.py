@@ -5,7 +5,7 @@ gives each text's length, the number of occurrences of each unit of the query an
 are these few numbers, never texts; corpus statistics are a one-row aggregate. `Index` tokenises once, and answers
 a query from the places of its terms.
 
-Query language: terms, "phrases", prefix*, ^first, NEAR(a b, n), AND, OR, NOT, parentheses. Terms side by side mean AND
+Query language: terms, "phrases", prefix*, ^first, NEAR(a b, n), column: term, AND, OR, NOT, parentheses. Terms side by side mean AND
 and bind tightest, then NOT, AND, OR. Tokens are runs of letters and digits, folded and stemmed; no stop words.
 """
 
@@ -34,6 +34,10 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     return [stem(fold(t)) for t in ts] if stemmed else [t.lower() for t in ts]
 
 
+#: Names that a query may give the searched column: ``text: term``.
+COLUMNS = ("text", "text_content")
+
+
 class SearchError(ValueError):
     """The query can't be read."""
 
@@ -50,9 +54,10 @@ class Unit:
 class Query:
     """A parsed query: its units, and whether a text's unit counts satisfy it."""
 
-    _LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()+,^*])|((?:[^\W]|[^\x00-\x7f])+)|(\S))')
+    _LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()+,^*:])|((?:[^\W]|[^\x00-\x7f])+)|(\S))')
 
-    def __init__(self, text: str, stemmed: bool = True):
+    def __init__(self, text: str, stemmed: bool = True, columns: tuple[str, ...] = COLUMNS):
+        self.columns = columns
         self.stemmed, self.units, self.near, self.absent = stemmed, [], [], set()
         self.lexemes, at = [], 0
         text = text.rstrip()
@@ -114,6 +119,12 @@ class Query:
 
     def _atom(self):
         x = self._take()
+        if self._peek() == ":":
+            # texts have one column; naming another is an error
+            if x not in self.columns:
+                raise SearchError(f"Invalid search query: no such column: {x}")
+            self.at += 1
+            x = self._take()
         if x == "(":
             inner = self._or()
             if self._take() != ")":
@@ -134,7 +145,7 @@ class Query:
                 raise SearchError("Invalid search query: NEAR")
             self.near.append((tuple(members), distance))
             return ("near", len(self.near) - 1)
-        if x in ("AND", "OR", "NOT") or x in (")", ",", "+", "*"):
+        if x in ("AND", "OR", "NOT") or x in (")", ",", "+", "*", ":"):
             raise SearchError(f"Invalid search query near {x!r}")
         first = x == "^"
         return ("unit", self._phrase(self._take() if first else x, first))

@@ -28,7 +28,13 @@ def generate_titles(a) -> DataFrame:
     return t.select("uuid", F.coalesce("t1", "t2", "t3").alias("title"), source.alias("source")).where("title is not null")
 
 
-def rename_untitled(a) -> DataFrame:
-    """All conversations, untitled ones with their new title where there is one."""
-    t = generate_titles(a).select("uuid", F.col("title").alias("new_name"))
+def rename_untitled(a, dry_run: bool = False, limit: int | None = None) -> DataFrame:
+    """All conversations, untitled ones with their new title where there is one; the last updated ones only with ``limit``.
+    A dry run gives the renamings alone, (uuid, title, source)."""
+    t = generate_titles(a)
+    if limit:
+        t = t.join(untitled(a, limit).select("uuid"), "uuid", "left_semi")
+    if dry_run:
+        return t
+    t = t.select("uuid", F.col("title").alias("new_name"))
     return a.conversations.join(t, "uuid", "left").select("uuid", F.coalesce("new_name", "name").alias("name"), F.col("new_name").isNotNull().alias("renamed"))

@@ -153,8 +153,14 @@ SQL = {
     "profiles": _with(_PROFILES) + "SELECT * FROM profiles",
     "profile_by_sender": _with(_TEXTS, _PER, "s AS (SELECT conversation_uuid, CASE WHEN sender = 'human' THEN 'human' ELSE 'assistant' END AS side, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in _NAMES) + " FROM per GROUP BY 1, 2)")
     + f"SELECT * FROM (UNPIVOT s ON {', '.join(_NAMES)} INTO NAME category VALUE n) WHERE n > 0",
-    "category_details": _with(_TEXTS, "f AS (" + " UNION ALL ".join(f"SELECT conversation_uuid, '{c}' AS category, lower(unnest(regexp_extract_all(text, '{re2(p, case)}'))) AS match FROM t" for c, p, case in CATEGORIES) + ")", "d AS (SELECT DISTINCT * FROM f)")
-    + "SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY conversation_uuid, category ORDER BY match) <= 5",
+    "category_details": _with(
+        """t AS (SELECT conversation_uuid, 0 AS k, epoch_ms(created) AS t_ms, uuid AS key, text FROM m WHERE text IS NOT NULL
+  UNION ALL SELECT conversation_uuid, 1, id, '', text_content FROM b WHERE block_type IN ('text', 'thinking', 'voice_note') AND text_content IS NOT NULL)""",
+        "g AS (" + " UNION ALL ".join(f"SELECT conversation_uuid, k, t_ms, key, '{c}' AS category, regexp_extract_all(text, '{re2(p, case)}') AS found FROM t" for c, p, case in CATEGORIES) + ")",
+        "f AS (SELECT * EXCLUDE (found), unnest(found) AS match, unnest(range(len(found))) AS pos FROM g)",
+        "d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conversation_uuid, category, lower(match) ORDER BY k, t_ms NULLS FIRST, key, pos) = 1)",
+    )
+    + "SELECT conversation_uuid, category, match FROM d QUALIFY row_number() OVER (PARTITION BY conversation_uuid, category ORDER BY k, t_ms NULLS FIRST, key, pos) <= 5",
     "profile_aggregates": _with(_PROFILES, "one AS (SELECT round(avg(technical_density), 3) AS avg_density, round(avg(words), 0) AS avg_words, round(avg(duration_minutes), 1) AS avg_duration, " + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in _NAMES) + " FROM profiles)")
     + "SELECT metric, value FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'type:' || primary_type, count(*)::DOUBLE FROM profiles GROUP BY primary_type",
     "profile_query": _with(_PROFILES) + "SELECT conversation_uuid, primary_type, technical_density, words FROM profiles WHERE primary_type = 'coding' AND technical_density >= 0.01 ORDER BY technical_density DESC, conversation_uuid LIMIT 20",

@@ -10,10 +10,10 @@ from parleyspark.operators import entities as ent
 from parleyspark.operators import export as ex
 from parleyspark.operators import graph as g
 from parleyspark.operators import relational as rel
-from parleyspark.operators import render, search, upsert
+from parleyspark.operators import render, search, titles, upsert
 from parleyspark.plans.archive_queries import _PROFILES, _q, _snippets, _with, snippet_rows
 from parleyspark.plans.stage import Stage
-from parleyspark.plans.text_queries import _CHRON, _LAST, _MAIN, _N, _rec
+from parleyspark.plans.text_queries import _CHRON, _LAST, _MAIN, _N, _TITLES, _rec
 
 SEARCH = "session OR archive NOT preview"
 PHRASES = '("session log" OR archiv* OR NEAR(query review, 5)) NOT ^the'
@@ -64,6 +64,17 @@ def _deleted(a):
     return out
 
 
+def _deleted_graph(a, n, e):
+    left = upsert.delete_conversations(a, rel.untitled(a).select("uuid"), (n, e))
+    counts = [left[k].agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("table_name"), "n_rows") for k in ("graph_nodes", "graph_edges")]
+    return counts[0].unionByName(counts[1])
+
+
+def _incremental(a):
+    old = ent.profiles(a, rel.structure(a)).where("conversation_uuid < '8'")
+    return ent.update_profiles(a, rel.structure, Stage(old).df)
+
+
 def _upserted(a):
     new = a.raw("projects").select("uuid", F.concat("name", F.lit(" (new)")).alias("name"), "fetched_at").where("uuid < '8'")
     return upsert.replace(a.projects.select("uuid", "name", "fetched_at"), new, ["uuid"])
@@ -122,7 +133,17 @@ QUERIES = {
     "cluster_labels": _q(lambda a: cl.cluster_labels(_members(a))),
     "categorize": _q(lambda a: cl.categorize(a)),
     "export_node_quota": _graph(lambda a, n, e: ex.select_nodes(n)),
-    "export_looks": _graph(lambda a, n, e: ex.looks(n).select("id", "shape", "size")),
+    "export_looks": _graph(lambda a, n, e: ex.looks(n).select("id", "shape", "border", "colour", "size"), community=True),
+    "export_temporal_colours": _q(lambda a: ex.temporal_colours(g.entity_times(a))),
+    "export_around": _graph(lambda a, n, e: ex.select_around(n, e, "storybook", 1, 50).select("id", "hop", "degree")),
+    "rendered_headers": _q(render.headers),
+    "clustered_nodes": _graph(lambda a, n, e: cl.cluster(a, n, e)[0].select("id", "community_id")),
+    "delete_empty_dry_run": _q(lambda a: upsert.delete_empty(a).select("uuid")),
+    "delete_untitled_with_graph": _graph(_deleted_graph),
+    "profiles_incremental": _q(_incremental),
+    "session_titles": _q(lambda a: rel.search_sessions(a.conversations, "log", 20).select("uuid", "name")),
+    "rename_dry_run": _q(lambda a: titles.rename_untitled(a, dry_run=True, limit=20)),
+    "conversation_files": _q(rel.conversation_files),
     "export_widths": _graph(lambda a, n, e: ex.widths(e)),
     "export_linked_conversations": _q(ex.linked_conversations),
     "force_layout": _graph(lambda a, n, e: ex.layout(ex.select_nodes(n), e)),
@@ -269,13 +290,13 @@ SQL = {
     + "SELECT un.cluster, CASE WHEN k > 0.4 * n THEN kind || ': ' || coalesce(short, '') ELSE coalesce(nullif(short, ''), 'uncategorized') END AS label, coalesce(top_terms, '') AS top_terms FROM un LEFT JOIN tp USING (cluster)",
     "export_node_quota": _with(_NODES, "k AS (SELECT *, CASE WHEN node_type = 'entity' THEN entity_type ELSE node_type END AS kind FROM nd)", "r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, id) AS r FROM k)")
     + "SELECT id, label, node_type, entity_type, degree, kind FROM r WHERE r <= CASE kind WHEN 'topic' THEN 60 WHEN 'tool' THEN 50 WHEN 'conversation' THEN 50 WHEN 'url' THEN 30 WHEN 'uuid' THEN 10 END ORDER BY degree DESC, id LIMIT 200",
-    "export_looks": _with(_NODES) + "SELECT id, CASE node_type WHEN 'conversation' THEN 'box' WHEN 'tool' THEN 'diamond' ELSE 'dot' END AS shape, round(greatest(10.0, least(60.0, 8 + sqrt(degree))), 6)::DOUBLE AS size FROM nd",
+    "export_looks": _with(_NODES) + "SELECT id, CASE WHEN node_type = 'conversation' THEN 'square' WHEN node_type = 'tool' THEN 'star' WHEN entity_type = 'url' THEN 'diamond' WHEN entity_type = 'uuid' THEN 'triangleDown' ELSE 'dot' END AS shape, CASE WHEN node_type = 'tool' THEN '#ff6b35' WHEN entity_type = 'topic' THEN '#e94560' WHEN entity_type = 'url' THEN '#59a14f' WHEN entity_type = 'uuid' THEN '#b07aa1' ELSE '#ffffff' END AS border, list_extract(['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7', '#9c755f', '#bab0ac'], ((community_id + 9) % 10 + 1)::BIGINT) AS colour, round(greatest(10.0, least(60.0, 8 + sqrt(degree))), 6)::DOUBLE AS size FROM nd",
     "export_widths": _with(_NODES) + "SELECT source_id, target_id, relation, round(greatest(0.5, least(4.0, sqrt(weight))), 6)::DOUBLE AS width FROM ge",
     "export_linked_conversations": _with("x AS (SELECT DISTINCT e.entity, e.conversation_uuid, c.updated FROM e JOIN c ON c.uuid = e.conversation_uuid)", "r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY updated DESC NULLS LAST, conversation_uuid) AS r FROM x)")
     + "SELECT entity, count(*) AS conv_count, string_agg(conversation_uuid, ',' ORDER BY r) FILTER (WHERE r <= 20) AS conversations FROM r GROUP BY 1",
     "rendered_messages": _rec(_N, _LAST, _MAIN, f"b2 AS (SELECT conv AS conversation_uuid, place, id AS message_uuid FROM main UNION ALL {_CHRON} WHERE conv NOT IN (SELECT conv FROM root))")
-    + "SELECT b2.conversation_uuid, place, '### **' || upper(substring(trim(sender, ' '), 1, 1)) || lower(substring(trim(sender, ' '), 2)) || '** — ' || coalesce(created_at, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) AS markdown,"
-    " '<' || t || '>' || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || t || '>' AS xml, json_object('sender', sender, 'text', text, 'created_at', created_at)::VARCHAR AS json"
+    + "SELECT b2.conversation_uuid, place, '### **' || CASE t WHEN 'human' THEN 'Human' ELSE 'Assistant' END || '** — ' || coalesce(created_at, '') || chr(10) || chr(10) || coalesce(text, '') || chr(10) AS markdown,"
+    " '<' || t || '>' || replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') || '</' || t || '>' AS xml, json_object('sender', sender, 'text', text, 'created_at', created_at)::VARCHAR AS json"
     " FROM b2 JOIN (SELECT *, CASE WHEN lower(trim(sender, ' ')) IN ('human', 'user') THEN 'human' ELSE 'assistant' END AS t FROM m) x ON x.uuid = b2.message_uuid",
     "rendered_tools": _with()
     + "SELECT id, message_uuid, CASE WHEN block_type = 'tool_use' THEN '[tool_use:' || coalesce(tool_name, '') || '] ' || CASE WHEN length(coalesce(tool_input, '')) > 300 THEN substring(tool_input, 1, 300) || '…' ELSE coalesce(tool_input, '') END"
@@ -290,4 +311,25 @@ SQL = {
     "accumulating_upsert": _with() + "SELECT entity, count(*) AS weight FROM e WHERE type IS NOT NULL GROUP BY 1",
     "cascade_delete_counts": _with("d AS (SELECT uuid FROM c WHERE name IS NULL OR name = '')")
     + "SELECT 'conversations' AS table_name, count(*) AS n_rows FROM c WHERE uuid NOT IN (FROM d) UNION ALL SELECT 'messages', count(*) FROM m WHERE conversation_uuid NOT IN (FROM d) UNION ALL SELECT 'content_blocks', count(*) FROM b WHERE conversation_uuid NOT IN (FROM d) UNION ALL SELECT 'entities', count(*) FROM e WHERE conversation_uuid NOT IN (FROM d)",
+    "export_temporal_colours": _with("t AS (SELECT entity, max(epoch_ms(created)) AS t_ms FROM e JOIN m ON m.uuid = e.message_uuid GROUP BY 1)", "r AS (SELECT entity, (t_ms - (SELECT min(t_ms) FROM t)) / coalesce(nullif((SELECT max(t_ms) - min(t_ms) FROM t), 0), 1)::DOUBLE AS r FROM t)")
+    + "SELECT entity, coalesce('rgb(' || floor(CASE WHEN r < 0.5 THEN r * 510 ELSE 255 END + 0.5)::INT || ',' || floor(CASE WHEN r < 0.5 THEN 128 + r * 255 ELSE 255 * (1 - (r - 0.5) * 2) END + 0.5)::INT || ',' || floor(CASE WHEN r < 0.5 THEN 255 * (1 - r * 2) ELSE 0 END + 0.5)::INT || ')', '#aaaaaa') AS colour FROM r",
+    "export_around": _with(_NODES, "s AS (SELECT id FROM nd WHERE contains(lower(label), 'storybook') OR contains(lower(id), 'storybook') ORDER BY id LIMIT 10)", "h AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT DISTINCT other, 1 FROM sy WHERE id IN (FROM s) AND other NOT IN (FROM s))")
+    + "SELECT id, hop, degree FROM h JOIN nd USING (id) ORDER BY hop, degree DESC, id LIMIT 50",
+    "rendered_headers": _rec(_N, _LAST, _MAIN, f"b2 AS (SELECT conv, id FROM main UNION ALL SELECT conversation_uuid, message_uuid FROM ({_CHRON}) WHERE conversation_uuid NOT IN (SELECT conv FROM root))", "h AS (SELECT c.uuid, coalesce(nullif(c.name, ''), 'Untitled') AS title, coalesce(c.created_at, '') AS t_ms, (SELECT count(*) FROM b2 WHERE b2.conv = c.uuid) AS n FROM c)")
+    + "SELECT uuid AS conversation_uuid, '# ' || title || chr(10) || chr(10) || '**ID:** ' || uuid || chr(10) || '**Created:** ' || t_ms || chr(10) || '**Messages:** ' || n || chr(10) || chr(10) || '---' || chr(10) AS markdown,"
+    " '<conversation title=\"' || replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '\" id=\"' || uuid || '\">' AS xml FROM h",
+    "delete_empty_dry_run": _with() + "SELECT uuid FROM c WHERE uuid NOT IN (SELECT conversation_uuid FROM messages WHERE conversation_uuid IS NOT NULL)",
+    "delete_untitled_with_graph": _with(_NODES, "d AS (SELECT uuid FROM c WHERE name IS NULL OR name = '')", "dn AS (SELECT 'conv:' || uuid AS id FROM d)")
+    + "SELECT 'graph_nodes' AS table_name, count(*) AS n_rows FROM nd WHERE id NOT IN (FROM dn) UNION ALL SELECT 'graph_edges', count(*) FROM ge WHERE coalesce(conversation_uuid NOT IN (FROM d), true) AND source_id NOT IN (FROM dn) AND target_id NOT IN (FROM dn)",
+    "profiles_incremental": _with(_PROFILES) + "SELECT * FROM profiles",
+    "session_titles": _with() + "SELECT uuid, name FROM c WHERE contains(lower(name), 'log') ORDER BY updated DESC NULLS LAST, uuid LIMIT 20",
+    "rename_dry_run": _with(_TITLES, "l AS (SELECT uuid FROM c WHERE name IS NULL OR name = '' ORDER BY updated DESC NULLS LAST, uuid LIMIT 20)") + "SELECT uuid, title, source FROM g WHERE title IS NOT NULL AND uuid IN (FROM l)",
+    "conversation_files": _with(
+        """x AS (SELECT uuid, conversation_uuid, sender, epoch_ms(created) AS t_ms, from_json(CASE WHEN json_valid(files) THEN files ELSE '[]' END, '[{"file_uuid":"VARCHAR","file_name":"VARCHAR","created_at":"VARCHAR"}]') AS fs FROM m WHERE files IS NOT NULL)""",
+        "f AS (SELECT * EXCLUDE (fs), unnest(fs) AS f, unnest(range(len(fs))) AS pos FROM x)",
+        "k AS (SELECT *, substring(f.created_at, 1, 10) AS date FROM f WHERE f.file_uuid <> '' QUALIFY row_number() OVER (PARTITION BY conversation_uuid, f.file_uuid ORDER BY coalesce(t_ms, -1), uuid, pos) = 1)",
+    )
+    + """SELECT conversation_uuid, f.file_uuid AS file_uuid, coalesce(f.file_name, '') AS file_name, CASE WHEN sender IS DISTINCT FROM 'human' THEN 'generated' WHEN lower(string_split(f.file_name, '.')[-1]) IN ('pdf', 'doc', 'docx', 'txt', 'md', 'xlsx', 'csv', 'json', 'xml') THEN 'sources' ELSE 'photos' END AS category,
+  CASE WHEN starts_with(lower(f.file_name), 'page_') THEN 'v01' WHEN starts_with(lower(f.file_name), 'v2_') THEN 'v02' WHEN starts_with(lower(f.file_name), 'v3_') THEN 'v03' WHEN starts_with(lower(f.file_name), 'v4_') THEN 'v04' ELSE 'v05-latest' END AS folder, date,
+  row_number() OVER (PARTITION BY array_to_string(regexp_split_to_array(trim(regexp_replace(lower(coalesce(c.name, '')), '[^a-z0-9 ]+', ' ', 'g')), ' +')[1:3], '-'), date ORDER BY conversation_uuid, coalesce(t_ms, -1), k.uuid, pos) AS sequence FROM k LEFT JOIN c ON c.uuid = k.conversation_uuid""",
 }

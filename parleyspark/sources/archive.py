@@ -30,6 +30,17 @@ class Archive:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
+    def restricted(self, conversations: DataFrame) -> Archive:
+        """The archive with the messages, blocks and entities of some conversations (conversation_uuid) only."""
+        whole, part = self, Archive(self.spark, self.root)
+
+        def raw(name: str) -> DataFrame:
+            t = whole.raw(name)
+            return t.join(conversations, "conversation_uuid", "left_semi").select(t.columns) if name in ("messages", "content_blocks", "entities") else t
+
+        part.raw = raw
+        return part
+
     def has(self, name: str) -> bool:
         """Whether the archive holds this table; older ones lack some."""
         jvm = self.spark.sparkContext._jvm

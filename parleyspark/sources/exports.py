@@ -39,7 +39,10 @@ def export_tables(items: DataFrame) -> dict[str, DataFrame]:
 
 def blocks(b: DataFrame) -> DataFrame:
     """Normalised content blocks of (message_uuid, conversation_uuid, block_index, b VARIANT)."""
-    text = F.coalesce(_NOT_BLANK(_s("b", "$.text")), _NOT_BLANK(_s("b", "$.thinking")))
+    # a result's text is its content, or the texts of its blocks line by line
+    parts = F.array_join(F.filter(F.transform(F.try_variant_get("b", "$.content", "array<variant>"), lambda x: _s(x, "$.text")), lambda x: x.isNotNull()), "\n")
+    result = F.when(_s("b", "$.type") == "tool_result", F.coalesce(F.when(F.schema_of_variant(F.try_variant_get("b", "$.content", "variant")).startswith("STRING"), _s("b", "$.content")), parts))
+    text = F.coalesce(_NOT_BLANK(_s("b", "$.text")), _NOT_BLANK(_s("b", "$.thinking")), _NOT_BLANK(result))
     return b.where(_s("b", "$.type").isNotNull()).select(
         "message_uuid", "conversation_uuid", "block_index", _s("b", "$.type").alias("block_type"), text.alias("text_content"), _NOT_BLANK(_s("b", "$.name")).alias("tool_name"),
         F.coalesce(_NOT_BLANK(_s("b", "$.id")), _NOT_BLANK(_s("b", "$.tool_use_id"))).alias("tool_use_id"), F.to_json(F.try_variant_get("b", "$.input", "variant")).alias("tool_input"),
@@ -94,6 +97,11 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     The events are a list, or a list under data, events or items.
     """
+    messages, skipped, _ = _dump(spark, path)
+    return messages, skipped
+
+
+def _dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.try_parse_json("value").alias("j"))
     events = F.coalesce(*[F.try_variant_get("j", p, "array<variant>") for p in ("$.events", "$.events.data", "$.events.events", "$.events.items")])
     t = files.select(F.coalesce(_s("j", "$.meta.id"), _s("j", "$.meta.uuid")).alias("session"), F.posexplode(events).alias("pos", "e"))
@@ -102,7 +110,14 @@ def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     before = F.lag("uuid").over(Window.partitionBy("session").orderBy("pos"))
     messages = t.where(kept).select("uuid", F.col("session").alias("conversation_uuid"), F.col("role").alias("sender"), flat_text(F.col("content")).alias("text"), "created_at", before.alias("parent_message_uuid"))
     skipped = t.where(~kept).groupBy("type").agg(F.count("*").alias("n_events"))
-    return messages, skipped
+    b = t.where(kept).select(F.col("uuid").alias("message_uuid"), F.col("session").alias("conversation_uuid"), F.posexplode(F.try_variant_get("content", "$", "array<variant>")).alias("block_index", "b"))
+    return messages, skipped, blocks(b)
+
+
+def dump_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Messages and content blocks of code-session dumps, ready to be stored: blocks of a message that comes again take the place of the old ones."""
+    messages, _, blocks_ = _dump(spark, path)
+    return {"messages": messages, "content_blocks": blocks_}
 
 
 def flat_text(content: Column) -> Column:
