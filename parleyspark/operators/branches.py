@@ -19,9 +19,8 @@ def _nodes(a) -> DataFrame:
     return Stage(m).df
 
 
-def _tree(a, first_root: bool = False, with_path: bool = False) -> DataFrame:
-    """Messages below the chosen start of their conversation: (conv, id, depth, ok, created, sender[, path]). ok: on the branch of latest children."""
-    m = _nodes(a)
+def _tree(m: DataFrame, first_root: bool = False, with_path: bool = False) -> DataFrame:
+    """Of _nodes() those below the chosen start of their conversation: (conv, id, depth, ok, created, sender[, path]). ok: on the branch of latest children."""
     above = m.select(F.col("conv").alias("c2"), F.col("id").alias("p2"))
     linked = m.join(above, (F.col("conv") == F.col("c2")) & (F.col("parent") == F.col("p2")), "left").drop("c2")
     best = m.where("parent is not null").groupBy("conv", "parent").agg(F.max(F.struct("created", "id")).alias("b")).select(F.col("b.id").alias("id"), F.lit(True).alias("best"))
@@ -45,14 +44,14 @@ def main_branch(a) -> DataFrame:
     """From the latest start on to the latest child; conversations without a start in the order of time."""
     m = _nodes(a)
     rootless = m.join(m.where("start").select("conv").distinct(), "conv", "left_anti")
-    t = _tree(a).where("ok").withColumn("place", F.col("depth") + 1)
+    t = _tree(m).where("ok").withColumn("place", F.col("depth") + 1)
     return _named(t.select("conv", "id", "place").unionByName(_chronological(rootless).select("conv", "id", F.col("place").cast("bigint").alias("place"))))
 
 
 def flattened(a) -> DataFrame:
     """From the first start on to the latest child; where that covers less than half of several messages, all in the order of time."""
     m = _nodes(a)
-    t = _tree(a, first_root=True).where("ok").withColumn("place", F.col("depth") + 1)
+    t = _tree(m, first_root=True).where("ok").withColumn("place", F.col("depth") + 1)
     n = m.groupBy("conv").agg(F.count("*").alias("n_all"))
     kept = t.groupBy("conv").agg(F.count("*").alias("n_kept")).join(n, "conv").where("n_all <= 1 or 2 * n_kept >= n_all").select("conv")
     rest = m.join(kept, "conv", "left_anti")
@@ -61,7 +60,7 @@ def flattened(a) -> DataFrame:
 
 def _threads(a) -> DataFrame:
     """One row for each leaf below the latest start: (conv, leaf, path, devs, created, thread_index)."""
-    t = _tree(a, with_path=True)
+    t = _tree(_nodes(a), with_path=True)
     w = Window.partitionBy("conv", "parent").orderBy(F.asc_nulls_first("created"), "id")
     last = F.lead("id").over(w).isNull()
     turned = t.where("depth > 0").select("id", F.col("depth").alias("fork_depth"), (F.row_number().over(w) - 1).alias("sibling"), last.alias("last")).where("not last").drop("last")

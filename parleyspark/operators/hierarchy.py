@@ -42,20 +42,22 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False)
         *([F.when(F.col("p_id").isNull(), F.array("id")).otherwise(F.array("p_id", "id")).alias("path")] if with_path else []),
     )
     roots = base.df.where("parent is null").select("id", F.col("id").alias("ptr"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done"), "ok", *kept, *path)
-    state = Stage(first.unionByName(roots))
+    packed = nodes.schema["id"].dataType.simpleString() in ("binary", "string")
+    width = F.lit(60) + (F.octet_length("id") + F.octet_length("ptr") if packed else F.lit(16))
+    if with_path:
+        width = width + F.aggregate("path", F.lit(0), lambda n, x: n + 16 + (F.octet_length(x) if packed else F.lit(8)))
+    # how many rows still move, and their size: counted while they are written
+    measure = {"now": F.count_if(~F.col("done")), "size": F.coalesce(F.sum(F.when(~F.col("done"), width)), F.lit(0))}
+    state = Stage(first.unionByName(roots), measure=measure)
     base.drop()
     left, finished = None, [state]
     # ``finished`` holds the written tables of which each has the final rows of one round; ``open_`` the rows still moving.
     open_ = state
     known = state.df
-    packed = nodes.schema["id"].dataType.simpleString() in ("binary", "string")
-    width = F.lit(60) + (F.octet_length("id") + F.octet_length("ptr") if packed else F.lit(16))
-    if with_path:
-        width = width + F.aggregate("path", F.lit(0), lambda n, x: n + 16 + (F.octet_length(x) if packed else F.lit(8)))
     cores = nodes.sparkSession.sparkContext.defaultParallelism
     while True:
         moving = open_.df.where("not done")
-        now, size = moving.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+        now, size = open_.measured["now"], open_.measured["size"]
         if not now or now == left:
             break
         left = now
@@ -67,7 +69,7 @@ def point_at_roots(nodes: DataFrame, with_path: bool = False, tag: bool = False)
             *([F.concat("t_path", F.slice("path", 2, 2**30)).alias("path")] if with_path else []),
         )
         # a broadcast join keeps the partitions of all tables so far; their few rows need no more tasks and files than cores
-        step = Stage(moved.coalesce(cores) if small else moved)
+        step = Stage(moved.coalesce(cores) if small else moved, measure=measure)
         finished.append(step)
         open_ = step
         # rows that moved replace their former state: those of earlier tables count only where they were done

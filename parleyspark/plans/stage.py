@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: dict[str, SparkSession] = {}
 
@@ -36,11 +36,16 @@ class Stage:
     ``dictionary=False`` is for arrays of floats: building dictionaries of them costs a hundred times the write itself.
     """
 
-    def __init__(self, df: DataFrame, compression: str = "zstd", dictionary: bool = True):
+    def __init__(self, df: DataFrame, compression: str = "zstd", dictionary: bool = True, measure: dict[str, Column] | None = None):
+        """``measure``: aggregates of all rows, taken while they are written, for ``measured``."""
         self.spark = df.sparkSession
+        seen = Observation() if measure else None
+        if measure:
+            df = df.observe(seen, *[c.alias(k) for k, c in measure.items()])
         self.path = f"{shared_dir(self.spark)}/parleyspark-{uuid.uuid4().hex}"
         df.write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.measured = seen.get if seen else {}
         _written[self.path] = self.spark
 
     def count(self) -> int:
