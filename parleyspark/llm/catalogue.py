@@ -125,4 +125,5 @@ SELECT conv AS conversation_uuid, turn, id AS message_uuid, role FROM judged WHE
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (x)""",
     "p10_found": f"WITH {_LOOKS} SELECT DISTINCT least(doc_id, form_id) AS doc_id_a, greatest(doc_id, form_id) AS doc_id_b FROM g JOIN forms ON forms.form = g.form AND forms.text <> g.text",
     "p10_classes": f"WITH {_LOOKS} SELECT doc_id, class_id, form_id, n_forms, n_all - n AS n_links FROM g JOIN forms USING (form, text) JOIN classes USING (form)",
+    "p10_texts": f"SELECT doc_id, {_FORM} AS text, {_FORM} <> text AS changed FROM documents",
 }

@@ -196,10 +196,73 @@ Mix 200 g flour with 3 eggs and 125 ml milk.
 """.strip().split("\n")
 
 
-def held_out() -> list[tuple[str, set[tuple[int, str]]]]:
+#: Written after the table was finished, and never looked at while it changed.
+LATER = """
+The keynote by {{n|Rosalind Okonkwo}} starts at ten.
+I owe {{n|Matthias Feldkamp}} an answer since Friday.
+{{n|Beatriz Quintanilha}} rejected the draft twice.
+Nurse {{n|Gwendolyn Pritchard}} was on duty that night.
+Both {{n|Kenji Watanabe}} and {{n|Salma Benhaddou}} voted against it.
+The minutes were taken by {{n|Oskar Lindqvist}}.
+Herr {{n|Tobias Reichenbach}} bittet um Rückruf.
+Das Gutachten stammt von {{n|Henriette Mühlbauer}}.
+Mon voisin {{n|Gérard Lacombe}} a trouvé le chat.
+Madame {{n|Solange Ndiaye}} préside la séance.
+El ingeniero {{n|Rodrigo Manterola}} revisó los planos.
+Firmado: {{n|Inmaculada Carrasco}}
+approver = {{n|Dmitry Voronov}}
+Ask {{n|Fiona MacAllister}} whether the keys were returned.
+Guests: {{n|Chukwuemeka Obi}}, {{n|Ingeborg Hallström}}.
+Refunds: {{e|billing-desk@harbourline.ie}}
+Her login is {{e|p.novakova@ctu-praha.cz}}, not the old one.
+{{e|no-reply@notify.lakeside.gov.au}} keeps bouncing
+Escríbanos a {{e|atencion.cliente@ferreteria-lopez.mx}} hoy mismo.
+Anfragen an {{e|info@tischlerei-bauer.at}} richten.
+copie : {{e|f.garnier@ecole-du-sud.fr}}
+reach out to {{e|tanya [at] bluefin [dot] io}} first
+list owner {{e|ops+alerts@stack.example.net}} confirmed
+Voicemail from {{p|+1 312 555 0188}} yesterday.
+Kundendienst: {{p|0821 4567890}}
+Rappelez le {{p|01 42 68 53 00}} avant midi.
+Oficina central {{p|+34 915 550 123}}.
+emergency line {{p|(02) 9876 5432}}
+Text {{p|555-867-5309}} when you land.
+Mobil: {{p|+41 79 123 45 67}}
+WhatsApp {{p|+55 21 98765-4321}} only
+desk phone {{p|020 8123 4567}}, ask for Jo
+SSN: {{i|536-22-8841}}
+Her passport number is {{i|K08942137}}.
+DNI {{i|48213976M}} adjunto.
+Personalausweis: {{i|LZ6311T475}}
+tax ID {{i|27 481 905 336}}
+NINO {{i|AB 98 76 54 C}} is on file.
+driving licence {{i|MORGA657054SM9IJ}}
+numéro de sécurité sociale {{i|2 91 03 75 116 042 18}}
+Parcel for {{a|48 Wellington Road}}, Dublin
+She rents {{a|9 Copper Kettle Lane}} with two friends.
+Werkstatt: {{a|Industriestraße 27}}, Hof
+Treffen in der {{a|Goethestr. 5}} um acht.
+Atelier au {{a|61 rue des Martyrs}}, Paris
+Cita en {{a|Calle Mayor 14}}, segundo piso.
+Mail goes to {{a|2100 Riverside Drive, Apt 6}}.
+Büro im {{a|Lindenweg 88}}.
+The Blue Whale and Giant Squid exhibits reopen in June.
+Visual Basic and Delphi were taught in Room 204.
+Invoice 20931-A totals 1,482.60 EUR, due 2025-03-31.
+Version 7.12 of Mozilla Thunderbird syncs every 15 minutes.
+The European Commission met in Brussels on 4 July 2023.
+Chapter 9 covers Linear Algebra, pages 201-244.
+Bus 42 stops at Station Road every 20 minutes.
+Tracking code 1Z999AA10123456784 was scanned.
+Der Deutsche Bundestag tagt im Reichstag.
+Le Petit Prince est traduit en 300 langues.
+""".strip().split("\n")
+
+
+def held_out(lines: list[str] = TEXTS) -> list[tuple[str, set[tuple[int, str]]]]:
     """(text, {(first character, type)})"""
     out = []
-    for line in TEXTS:
+    for line in lines:
         text, spans = "", set()
         for i, piece in enumerate(re.split(r"\{\{(\w\|[^}]*)\}\}", line)):
             if i % 2:
