@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parleyspark.functions.patterns import BOILERPLATE
 
-#: (pattern, replacement), applied in order: code fences, inline code, links, headers, emphasis, tags, bullets, numbers, white space.
+# Fixed values: (pattern, replacement), applied in order: code fences, inline code, links, headers, emphasis, tags, bullets, numbers, white space.
 CLEANING = [
     (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?m)^#+[ \t\n\f\r]*", ""), (r"[*_]{1,3}", ""), (r"<[^>]+>", " "),
     (r"(?m)^[ \t\n\f\r]*[-*•][ \t\n\f\r]+", ""), (r"(?m)^[ \t\n\f\r]*[0-9]+[.)][ \t\n\f\r]+", ""), (r"[\s\p{Z}]+", " "),
@@ -49,6 +49,7 @@ def descriptor(c: Column) -> Column:
 
 def url_template(url: Column) -> Column:
     """Origin and path of a URL, ids replaced by placeholders; what isn't a URL stays."""
+    # The patterns of ids and their placeholders.
     origin = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
     p = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
     p = F.regexp_replace(p, r"/session_[A-Za-z0-9]{20,}", "/{session_id}")

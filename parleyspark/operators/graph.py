@@ -91,6 +91,7 @@ def god_nodes(n: DataFrame, top: int | None = 10) -> DataFrame:
 
 def suggest_questions(n: DataFrame, limit: int = 5) -> DataFrame:
     """Questions about the most connected entities, as (place, question); at most 2 * limit nodes are ranked."""
+    # The two sentences.
     top = god_nodes(n, 2 * limit).withColumn("r", F.row_number().over(Window.orderBy(F.desc("degree"), "id")))
     nxt = F.lead("label").over(Window.orderBy("r"))
     alone = top.where("r = 1").select(F.lit(0).alias("place"), F.format_string("Find all conversations about '%s' (most connected entity)", "label").alias("question"))

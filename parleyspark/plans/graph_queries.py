@@ -53,6 +53,13 @@ def _communities(a, n, e):
     return cl.communities(labels.withColumnRenamed("community", "label"), co, n).select("community_id", "seed", "node_count", F.round("cohesion", 6).alias("cohesion"), "label")
 
 
+def _given_communities(a, n, e):
+    """The table of communities for given labels."""
+    labels = n.where("node_type = 'entity'").select("id", F.col("community_id").alias("label"))
+    t = cl.communities(Stage(labels).df, e.where("relation = 'co_occurs'"), n)
+    return t.select("community_id", "seed", "node_count", F.round("cohesion", 9).alias("cohesion"), F.array_join("top_entities", ",").alias("top_entities"), "label")
+
+
 def _deleted(a):
     gone = rel.untitled(a).select("uuid")
     tables = {"conversations": (a.conversations, "uuid"), "messages": (a.messages, "conversation_uuid"), "content_blocks": (a.blocks, "conversation_uuid"), "entities": (a.entities, "conversation_uuid")}
@@ -123,6 +130,8 @@ QUERIES = {
     "bfs_subgraph_edges": _graph(lambda a, n, e: g.subgraph(n, e, "storybook", 1)[1].select("source_id", "target_id", "relation", "weight")),
     "bfs_subgraph_depth2_edges": _graph(lambda a, n, e: g.subgraph(n, e, "storybook", 2)[1].select("source_id", "target_id", "relation", "weight")),
     "shortest_path": _graph(lambda a, n, e: g.hop_distances(n, e, "tool:bash").select("id", "hops", F.array_join("path", " > ").alias("path"))),
+    "hop_counts": _graph(lambda a, n, e: g.hop_distances(n, e, "tool:bash").select("id", "hops")),
+    "given_communities": _graph(_given_communities, community=True),
     "label_propagation": _graph(lambda a, n, e: cl.cluster_graph(n, e)),
     "graph_communities": _graph(_communities),
     "kmeans_features": _graph(lambda a, n, e: cl.features(a, n, g.entity_times(a))),
@@ -332,4 +341,15 @@ SQL = {
     + """SELECT conversation_uuid, f.file_uuid AS file_uuid, coalesce(f.file_name, '') AS file_name, CASE WHEN sender IS DISTINCT FROM 'human' THEN 'generated' WHEN lower(string_split(f.file_name, '.')[-1]) IN ('pdf', 'doc', 'docx', 'txt', 'md', 'xlsx', 'csv', 'json', 'xml') THEN 'sources' ELSE 'photos' END AS category,
   CASE WHEN starts_with(lower(f.file_name), 'page_') THEN 'v01' WHEN starts_with(lower(f.file_name), 'v2_') THEN 'v02' WHEN starts_with(lower(f.file_name), 'v3_') THEN 'v03' WHEN starts_with(lower(f.file_name), 'v4_') THEN 'v04' ELSE 'v05-latest' END AS folder, date,
   row_number() OVER (PARTITION BY array_to_string(regexp_split_to_array(trim(regexp_replace(lower(coalesce(c.name, '')), '[^a-z0-9 ]+', ' ', 'g')), ' +')[1:3], '-'), date ORDER BY conversation_uuid, coalesce(t_ms, -1), k.uuid, pos) AS sequence FROM k LEFT JOIN c ON c.uuid = k.conversation_uuid""",
+    "hop_counts": _with(_NODES, "lk AS (SELECT DISTINCT id, other FROM sy WHERE id <> other)").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + ", w(id, hops) USING KEY (id) AS (SELECT id, 0::BIGINT FROM gn WHERE id = 'tool:bash' UNION SELECT DISTINCT lk.other, w.hops + 1 FROM w JOIN lk USING (id) WHERE lk.other NOT IN (SELECT id FROM recurring.w)) SELECT id, hops FROM w",
+    "given_communities": _with(
+        _NODES,
+        "l AS (SELECT id, label, degree, community_id AS seed FROM nd WHERE node_type = 'entity')",
+        "s AS (SELECT seed, count(*) AS node_count, row_number() OVER (ORDER BY count(*) DESC, seed) AS community_id FROM l GROUP BY 1)",
+        "i AS (SELECT x.seed, count(*) AS n FROM ge JOIN l x ON x.id = source_id JOIN l y ON y.id = target_id WHERE relation = 'co_occurs' AND source_id <> target_id AND x.seed = y.seed GROUP BY 1)",
+        "t AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY degree DESC, id) AS r FROM l)",
+        "tt AS (SELECT seed, string_agg(id, ',' ORDER BY r) AS top_entities, string_agg(id, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS label FROM t WHERE r <= 5 GROUP BY 1)",
+    )
+    + "SELECT community_id, seed, node_count, round(CASE WHEN node_count > 1 THEN coalesce(i.n, 0) / (node_count * (node_count - 1) / 2) ELSE 0 END, 9) AS cohesion, top_entities, tt.label FROM s LEFT JOIN i USING (seed) JOIN tt USING (seed)",
 }

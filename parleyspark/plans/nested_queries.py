@@ -22,6 +22,12 @@ def p2_objects(spark, root):
     return t.objects().select(F.lower(F.hex("object_id")).alias("object_id"), "kind", "value", "n_occurrences")
 
 
+def p2_scalars(spark, root):
+    """Distinct scalars, each stored once, by kind and value."""
+    t = NestedTables(table(spark, root, "export_records"), all_nodes=True)
+    return t.objects().where("kind not in ('object', 'array')").select("kind", "value", "n_occurrences")
+
+
 def p2_tool_links(spark, root):
     return NestedTables(table(spark, root, "export_records")).tool_links()
 
@@ -64,7 +70,7 @@ blocks AS (
 
 _KIND = "CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
 
-QUERIES = {"p2_found": p2_found, "p2_objects": p2_objects, "p2_tool_links": p2_tool_links, "p2_conversations": p2_conversations, "p2_messages": p2_messages, "p2_input_values": p2_input_values, "p2_occurrences": p2_occurrences}
+QUERIES = {"p2_found": p2_found, "p2_objects": p2_objects, "p2_scalars": p2_scalars, "p2_tool_links": p2_tool_links, "p2_conversations": p2_conversations, "p2_messages": p2_messages, "p2_input_values": p2_input_values, "p2_occurrences": p2_occurrences}
 SQL = {
     "p2_found": f"""WITH RECURSIVE {_BLOCKS}
 SELECT DISTINCT conversation_uuid, message_uuid, block_path, block_type, tool_ref, '' AS leaf_path FROM blocks
@@ -82,6 +88,8 @@ SELECT conversation_uuid, coalesce(m ->> '$.uuid', '') AS message_uuid, ordinal:
     "p2_input_values": f"""WITH RECURSIVE {_BLOCKS}
 SELECT conversation_uuid, message_uuid, block_path, replace(t.fullkey, '"', '') AS leaf_path, t.atom ->> '$' AS value
 FROM blocks, json_tree(blocks.input) t WHERE blocks.input IS NOT NULL AND t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
+    "p2_scalars": f"""WITH RECURSIVE {_BLOCKS}, t AS (SELECT t.type, t.atom FROM last, json_tree(last.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))
+SELECT {_KIND} AS kind, CASE WHEN type = 'NULL' THEN '' ELSE atom ->> '$' END AS value, count(*) AS n_occurrences FROM t GROUP BY 1, 2""",
     "p2_occurrences": f"""WITH RECURSIVE {_BLOCKS}, whole AS (SELECT record_id, j FROM counted QUALIFY row_number() OVER (PARTITION BY j ->> '$.uuid' ORDER BY exported_at DESC NULLS LAST, record_id DESC) = 1),
 t AS (SELECT record_id, t.id, t.parent AS above, t.key, t.type, t.atom, row_number() OVER (PARTITION BY record_id ORDER BY t.id) - 1 AS node FROM whole, json_tree(whole.j) t)
 SELECT t.record_id, t.node::INT AS node, coalesce(u.node, -1)::INT AS parent, CASE WHEN u.type = 'OBJECT' THEN t.key END AS member,

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: dict[str, SparkSession] = {}
+#: Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set and the session is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="parleyspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        _written[where] = spark
-    return where
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="parleyspark-")
+    return _local[app]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -62,7 +66,9 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
+def release() -> None:
+    """Delete the files of all tables written so far. For long-lived drivers: to be called when the results of queries have been
+    stored; frames that queries returned before can't be read afterwards. Runs when Python ends."""
     for path, spark in list(_written.items()):
         try:
             _delete(spark, path)
@@ -71,6 +77,12 @@ def _clean() -> None:
     _written.clear()
 
 
+@atexit.register
+def _remove_local() -> None:
+    for where in _local.values():
+        shutil.rmtree(where.removeprefix("file://"), ignore_errors=True)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """A scan over all cores, where it has fewer than half as many files; larger inputs stay where they are. The list of files stays in the JVM."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +16,90 @@ _NOT_BLANK = lambda c: F.nullif(c, F.lit(""))
 def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of export files that each hold one JSON array: conversations, messages, content_blocks.
 
-    Members may be absent or null; a file that isn't an array of objects gives no rows. Unions of types (text or list)
-    are read as VARIANT, never inferred.
+    Members may be absent or null; a file that isn't an array gives no rows, nor does an element that isn't an object or can't be
+    read. Unions of types (text or list) are read as VARIANT, never inferred.
+    """
+    return export_tables(read_array_items(spark, path).select(F.try_parse_json("value").alias("c")).where("c is not null"))
+
+
+#: Characters of a file held at once, besides one element.
+_PIECE_CHARS = 1 << 20
+_MARK = re.compile(r'["\\{}\[\]]|,')
+
+
+def array_items(pieces: Iterator[str]) -> Iterator[str]:
+    """The elements of a JSON array, as texts, from pieces of its text; ValueError where it isn't one array. Only one element is held."""
+    depth, quoted, held, skip, seen = 0, False, [], False, False
+    for piece in pieces:
+        start, at = 0, 1 if skip else 0
+        skip = False
+        while m := _MARK.search(piece, at):
+            at, c = m.end(), m[0]
+            if quoted:
+                if c == "\\":
+                    skip = at == len(piece)
+                    at += 1
+                elif c == '"':
+                    quoted = False
+            elif c == '"':
+                quoted = True
+            elif c in "[{":
+                if not depth and ("".join([*held, piece[start : m.start()]]).strip() or seen or c == "{"):
+                    raise ValueError("not one array")
+                depth += 1
+                if depth == 1:
+                    held, start, seen = [], at, True
+            elif c in "]}":
+                depth -= 1
+                if depth < 0 or (not depth and c == "}"):
+                    raise ValueError("unbalanced")
+                if not depth:
+                    if item := "".join([*held, piece[start : m.start()]]).strip():
+                        yield item
+                    held, start = [], at
+            elif c == "," and depth == 1:
+                yield "".join([*held, piece[start : m.start()]]).strip()
+                held, start = [], at
+        held.append(piece[start:])
+    if depth or quoted or not seen or "".join(held).strip():
+        raise ValueError("not one array")
+
+
+def read_array_items(spark: SparkSession, path: str) -> DataFrame:
+    """(value): a row for each element of the JSON arrays in files below a folder, whatever the size of a file.
+
+    A task streams its files twice: once to see that the brackets close, and once for the elements, of which it holds one
+    at a time. A file that isn't one array gives no rows.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    items = files.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("c"))
-    return export_tables(items)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path).select("path")
+
+    def pieces(url: str) -> Iterator[str]:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", url))
+        with system.open_input_stream(name) as raw, io.TextIOWrapper(raw, encoding="utf-8", errors="replace") as f:
+            while piece := f.read(_PIECE_CHARS):
+                yield piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url in b.column(0).to_pylist():
+                try:
+                    for _ in array_items(pieces(url)):
+                        pass
+                except ValueError:
+                    continue
+                held, size = [], 0
+                for item in array_items(pieces(url)):
+                    held.append(item)
+                    size += len(item)
+                    if size > 4 * _PIECE_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+    return files.mapInArrow(run, "value string")
 
 
 def _s(v: Column | str, path: str) -> Column:

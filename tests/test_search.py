@@ -51,3 +51,9 @@ def test_syntax_errors(text):
 
 def test_stems():
     assert [stem(w) for w in "caresses ponies cats feed agreed plastered motoring happy relational conditional vietnamization probate rate cease controll roll sky".split()] == "caress poni cat feed agre plaster motor happi relat condit vietnam probat rate ceas control roll sky".split()
+
+
+def test_columns_in_queries():
+    assert Query("text: run AND node*").units == Query("run AND node*").units
+    with pytest.raises(SearchError, match="no such column"):
+        Query("sender: human")

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from parleyspark.operators import upsert
@@ -102,3 +103,23 @@ def test_linear_sessions(spark, tmp_path):
     s = {r["session"]: tuple(r)[1:] for r in exports.session_summary(e).collect()}
     assert s["abc"] == (1, "old", "new") and s["abd"][0] == 4
     assert [(r["session"], r["project"]) for r in exports.find_sessions(spark, str(tmp_path), "session_abc").collect()] == [("abc", "/w/x")]
+
+
+def test_elements_of_large_arrays():
+    v = [{"a": [1, 'x,]}"', {"b": "\\"}]}, None, "s,[", [1, 2], 3.5, {}]
+    items = lambda t, k: [*exports.array_items(iter([t[i : i + k] for i in range(0, len(t), k)]))]
+    for t in (json.dumps(v), f"  {json.dumps(v, indent=2)}\n"):
+        for k in (1, 2, 3, 7, 1000):
+            assert [json.loads(x) for x in items(t, k)] == v
+    assert items("[]", 1) == items(" [ ] ", 2) == []
+    for bad in ("", "{", "{}", "[1", "[1]]", "[1] x", "x[1]", '["a]', "[1}", "1"):
+        with pytest.raises(ValueError):
+            items(bad, 2)
+
+
+def test_blocks_of_dumps_and_results(spark, tmp_path):
+    events = [{"type": "assistant", "uuid": "b", "message": {"role": "assistant", "content": [{"type": "tool_result", "tool_use_id": "t", "content": [{"text": "y"}, {"text": "z"}]}, {"type": "tool_result", "content": "plain"}]}}]
+    (tmp_path / "d.json").write_text(json.dumps({"meta": {"id": "s"}, "events": events}))
+    t = exports.dump_tables(spark, str(tmp_path))
+    assert [r["uuid"] for r in t["messages"].collect()] == ["b"]
+    assert {(r["block_index"], r["text_content"]) for r in t["content_blocks"].collect()} == {(0, "y\nz"), (1, "plain")}
