@@ -1,10 +1,9 @@
 """The most similar vectors of every vector, by learned partitions.
 
-A node of the index holds the rows of one part. On a bounded sample of its rows: a graph of nearest neighbours, cut into
-balanced parts of few crossing links by recursive bisection and swaps; then a small network that predicts, from a vector,
+A node of the index holds the rows of one part. On a bounded sample of its rows, drawn seeds and the K nearest of all its rows to
+each of them (so that the sample is as dense around its seeds as the collection): a graph of nearest neighbours, cut into balanced parts of few crossing links by recursive bisection and swaps; then a small network that predicts, from a vector,
 in which of the parts its neighbours lie. The network routes all rows: each is stored in its most probable part and searches
-every part whose probability reaches a bound. That bound is measured: with it, held-out rows of the sample find RECALL of
-their nearest ones. A node has at most FAN parts; parts of more than LEAF_MAX rows are nodes themselves, so that the number
+every part whose probability reaches a bound. That bound is measured: with it, held-out seeds find RECALL of their nearest ones. A node has at most FAN parts; parts of more than LEAF_MAX rows are nodes themselves, so that the number
 of parts grows with the collection: FAN times as many rows make one more level, and the rows of a part stay as few. Candidates
 are reranked by exact cosine. Every row is indexed and every row searches.
 
@@ -31,12 +30,12 @@ from parleyspark.functions.keys import instant, pack_key, unpack_key
 from parleyspark.plans.stage import Stage
 
 K = 5
-#: Rows of a node that its parts and its network are fitted on, about; more levels make more nodes, not larger samples.
-SAMPLE, INNER_SAMPLE = 16_000, 6_000
+#: Rows of a node that its parts and its network are fitted on, at most about: seeds and their neighbours. More levels make more nodes, not larger samples.
+SAMPLE, INNER_SAMPLE = 15_000, 6_000
 #: Parts of a node, at most (a row's parts within a cell are the bits of one BIGINT); rows of a part, at least, and at most before it becomes a node.
 FAN, LEAF, LEAF_MAX = 64, 250, 2_000
 #: Share of their nearest vectors that held-out rows of a sample must find.
-RECALL = 0.99
+RECALL = 0.975
 #: Rows that travel together, about.
 CELL = 2_500
 #: Stored rows, and searching rows, that meet in one task.
@@ -133,16 +132,16 @@ class Router:
         return Router([v.astype(np.float32) for v in w])
 
 
-def fit_node(x: np.ndarray, own: np.ndarray, weight: np.ndarray, parts: int, recall: float, k: int = 10, seed: int = 7) -> tuple[Router, float] | None:
+def fit_node(x: np.ndarray, own: np.ndarray, weight: np.ndarray, drawn: np.ndarray, parts: int, recall: float, k: int = 8, seed: int = 7) -> tuple[Router, float] | None:
     """Router and bound of probability of a node, from a sample of unit vectors that enter it: ``own`` marks those stored there, ``weight`` is the
-    probability with which each got here. None if the node isn't split."""
+    probability with which each got here, ``drawn`` the seeds. None if the node isn't split."""
     rng = np.random.default_rng(seed)
     stored = np.flatnonzero(own)
     while parts > 1 and parts * 2 * k > len(stored):
         parts //= 2
     if parts == 1:
         return None
-    test = rng.random(len(x)) < 0.1
+    test = drawn & (rng.random(len(x)) < 0.25)
     learn = np.flatnonzero(own & ~test)
     others = np.flatnonzero(~own & ~test)
     graph = neighbour_graph(x[learn], k)
@@ -201,10 +200,7 @@ def usable(rows: DataFrame, models: dict[str, int] = MODELS) -> DataFrame:
 def _matrix(column, dim: int) -> np.ndarray:
     """Unit vectors of an Arrow list column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    # the largest number first, so that squares can't overflow or vanish
-    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if len(x) else x
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64))
 
 
 def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
@@ -291,17 +287,107 @@ class _Level:
         self.recall = {m: RECALL ** (1 / max(1, len(f))) for m, f in fans.items()}
 
 
-def _fits(asking: DataFrame, level: _Level, limit: int) -> DataFrame:
-    """(model, part, fit BINARY): the routers of the nodes of a level, each from a sample of the rows that enter it."""
+class _Nearest:
+    """The K rows nearest to each of some seeds, of rows that come batch by batch."""
+
+    def __init__(self, keys: list[bytes], x: np.ndarray):
+        self.keys, self.x, self.place = keys, x.astype(np.float32), {k: i for i, k in enumerate(keys)}
+        self.sims = np.full((len(keys), K), -9, np.float32)
+        self.rows = np.full((len(keys), K), -1, np.int64)
+        self.found_keys, self.found, self.n = [], [], 0
+
+    def add(self, keys: list[bytes], v) -> None:
+        s = self.x @ _matrix(v, self.x.shape[1]).astype(np.float32).T
+        for j, key in enumerate(keys):
+            if (i := self.place.get(key)) is not None:
+                s[i, j] = -9
+        m = min(K, s.shape[1])
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        sims, rows = np.c_[self.sims, np.take_along_axis(s, top, 1)], np.c_[self.rows, top + self.n]
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :K]
+        self.sims, self.rows = np.take_along_axis(sims, best, 1), np.take_along_axis(rows, best, 1)
+        # only rows that are among the nearest so far are kept
+        used = np.unique(self.rows[self.rows >= self.n]) - self.n
+        self.found_keys.append((self.n + used, [keys[i] for i in used])), self.found.append(v.take(pa.array(used)))
+        self.n += len(keys)
+
+    def table(self, model: str, part: int) -> pa.Table:
+        names = ["model", "part", "seed", "sim", "key", "v"]
+        at = {int(i): (b, k) for b, (rows, _) in enumerate(self.found_keys) for k, i in enumerate(rows)}
+        good = self.rows >= 0
+        seeds, where = np.nonzero(good)[0], [at[int(i)] for i in self.rows[good]]
+        starts = np.cumsum([0, *(len(x) for x in self.found)])
+        every = pa.chunked_array([c for x in self.found for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])], pa.list_(pa.float32()))
+        v = every.take(pa.array([int(starts[b]) + k for b, k in where], pa.int64()))
+        columns = [pa.array([model] * len(seeds), pa.string()), pa.array([part] * len(seeds), pa.int64()), pa.array([self.keys[i] for i in seeds], pa.binary()), pa.array(self.sims[good]), pa.array([self.found_keys[b][1][k] for b, k in where], pa.binary()), v]
+        return pa.table(columns, names=names)
+
+
+_FOUND = "model string, part bigint, seed binary, sim float, key binary, v array<float>"
+
+
+def _sample(asking: DataFrame, limit: int, top: bool) -> DataFrame:
+    """(model, part, own, p, drawn, key, v): seeds of each node among the rows that enter it, and the K stored rows nearest to each."""
     enter = asking.groupBy("model", "part").agg(F.count("*").alias("n"))
-    drawn = asking.join(enter, ["model", "part"]).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < F.lit(limit << 20) / F.col("n")).select("model", "part", "own", "p", "v", "key")
+    rows = asking.join(enter, ["model", "part"])
+    seeds = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < F.lit((limit << 20) // (K + 1)) / F.col("n"))
+    seeds = Stage(seeds.select("model", "part", "own", "p", F.lit(True).alias("drawn"), "key", "v"), dictionary=False).df
+    if top:
+        # one node a model: its seeds go to where the rows are
+        given = {}
+        for r in seeds.select("model", "key", "v").toLocalIterator():
+            given.setdefault(r["model"], ([], []))
+            given[r["model"]][0].append(bytes(r["key"])), given[r["model"]][1].append(r["v"])
+        given = {m: (keys, _unit(np.array(v, np.float64))) for m, (keys, v) in given.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {m: _Nearest(*g) for m, g in given.items()}
+            for b in batches:
+                names = np.array(b.column(0).to_pylist(), dtype=object)
+                for m in sorted(set(names) & set(held)):
+                    t = pa.Table.from_batches([b]).filter(pa.array(names == m))
+                    held[m].add(t["key"].to_pylist(), t["v"].combine_chunks())
+            for m, h in held.items():
+                if h.n:
+                    yield from h.table(m, 0).to_batches()
+
+        found = asking.where("own").select("model", "key", "v").mapInArrow(run, _FOUND)
+    else:
+        blocks = asking.where("own").groupBy("model", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_b"))
+        node = ["model", "part", "block"]
+        left = asking.where("own").join(blocks, ["model", "part"]).select("model", "part", F.pmod(F.xxhash64("key"), "n_b").cast("int").alias("block"), "key", "v")
+        right = seeds.join(blocks, ["model", "part"]).select(F.col("model").alias("s_model"), F.col("part").alias("s_part"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("s_block"), F.col("key").alias("s_key"), F.col("v").alias("s_v"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.schema([("model", pa.string()), ("part", pa.int64()), ("seed", pa.binary()), ("sim", pa.float32()), ("key", pa.binary()), ("v", pa.list_(pa.float32()))]).empty_table()
+            h = _Nearest(b["s_key"].to_pylist(), _matrix(b["s_v"], len(b["s_v"][0])))
+            h.add(a["key"].to_pylist(), a["v"].combine_chunks())
+            return h.table(a["model"][0].as_py(), a["part"][0].as_py())
+
+        found = left.groupBy(*node).cogroup(right.groupBy("s_model", "s_part", "s_block")).applyInArrow(meet, _FOUND)
+    rank = F.row_number().over(Window.partitionBy("model", "part", "seed").orderBy(F.desc("sim"), "key"))
+    near = found.withColumn("r", rank).where(F.col("r") <= K).join(seeds.select("model", "part", "key"), ["model", "part", "key"], "left_anti")
+    near = near.groupBy("model", "part", "key").agg(F.first("v").alias("v")).select("model", "part", F.lit(True).alias("own"), F.lit(1.0).cast("float").alias("p"), F.lit(False).alias("drawn"), "key", "v")
+    return seeds.unionByName(near)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest number first, so that squares can't overflow or vanish."""
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _fits(asking: DataFrame, level: _Level, limit: int, top: bool = False) -> DataFrame:
+    """(model, part, fit BINARY): the routers of the nodes of a level, each from a sample of the rows that enter it."""
+    drawn = _sample(asking, limit, top)
 
     def fit(t: pa.Table) -> pa.Table:
         # the order of the rows must not depend on the shuffle
         t = t.sort_by("key")
         model = t["model"][0].as_py()
         x = _matrix(t["v"], len(t["v"][0])).astype(np.float32)
-        got = fit_node(x, t["own"].to_numpy().astype(bool), t["p"].to_numpy().astype(np.float64), level.fan[model], level.recall[model])
+        got = fit_node(x, t["own"].to_numpy().astype(bool), t["p"].to_numpy().astype(np.float64), t["drawn"].to_numpy().astype(bool), level.fan[model], level.recall[model])
         return pa.table([pa.array([model]), t["part"].slice(0, 1).combine_chunks(), pa.array([pickle.dumps(got)], pa.binary())], names=["model", "part", "fit"])
 
     return drawn.groupBy("model", "part").applyInArrow(fit, "model string, part bigint, fit binary")
@@ -362,7 +448,7 @@ def index(v: DataFrame, models: dict[str, int]) -> DataFrame:
     level = _Level(fans, sizes, 0)
     top = v.where(F.col("model").isin([m for m, f in fans.items() if f])).select("key", "model", "v", F.lit(True).alias("own"), F.lit(0).cast("bigint").alias("part"), F.lit(1.0).cast("float").alias("p"))
     # one router a model
-    fits = {m: None for m in models} | {r["model"]: pickle.loads(r["fit"]) for r in _fits(top, level, SAMPLE).collect()}
+    fits = {m: None for m in models} | {r["model"]: pickle.loads(r["fit"]) for r in _fits(top, level, SAMPLE, top=True).collect()}
     out, routed = None, Stage(_first_level(v, fits, level), dictionary=False).df
     depth = 1
     while any(len(f) > depth for f in fans.values()):
