@@ -31,7 +31,7 @@ from parleyspark.plans.stage import Stage
 
 K = 5
 #: Rows of a node that its parts and its network are fitted on, at most about: seeds and their neighbours. More levels make more nodes, not larger samples.
-SAMPLE, INNER_SAMPLE = 15_000, 6_000
+SAMPLE, INNER_SAMPLE = 9_000, 6_000
 #: Parts of a node, at most (a row's parts within a cell are the bits of one BIGINT); rows of a part, at least, and at most before it becomes a node.
 FAN, LEAF, LEAF_MAX = 64, 250, 2_000
 #: Share of their nearest vectors that held-out rows of a sample must find.
@@ -478,6 +478,9 @@ def most_similar(rows: DataFrame, k: int = K, models: dict[str, int] = MODELS) -
     """
     v = Stage(usable(rows, models).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(9), "v")}), dictionary=False).df
     crowds = Stage(_crowds(v, k)).df
+    named = [unpack_key(F.col("q")).alias("uuid"), unpack_key(F.col("b")).alias("other"), "model", "rank", F.col("sim").alias("similarity")]
+    if crowds.isEmpty():
+        return _search(v.select("key", "model", "v"), k, models).select(*named)
     met = _search(Stage(v.join(crowds, ["model", "h1", "h2"], "left").where("edge is null or key <= edge").select("key", "model", "v"), dictionary=False).df, k, models)
     met = Stage(met).df
     late = v.select("model", "h1", "h2", "key").join(crowds, ["model", "h1", "h2"]).where("key > edge").select("key", "rep", "model")
@@ -485,8 +488,7 @@ def most_similar(rows: DataFrame, k: int = K, models: dict[str, int] = MODELS) -
     # at most k entries and the row itself
     found = F.slice(F.array_sort(F.concat("found", F.array(F.struct(F.lit(-1.0).alias("less"), F.col("rep").alias("b"))))), 1, k)
     more = late.join(lists, "rep").select(F.col("key").alias("q"), "model", F.posexplode(found).alias("i", "e")).select("model", "q", F.col("e.b").alias("b"), (-F.col("e")["less"]).alias("sim"), (F.col("i") + 1).alias("rank"))
-    out = met.unionByName(more)
-    return out.select(unpack_key(F.col("q")).alias("uuid"), unpack_key(F.col("b")).alias("other"), "model", "rank", F.col("sim").alias("similarity"))
+    return met.unionByName(more).select(*named)
 
 
 def _search(v: DataFrame, k: int, models: dict[str, int]) -> DataFrame:
