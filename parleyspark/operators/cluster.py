@@ -107,9 +107,17 @@ def _fit(x: DataFrame, k: int, seed: int):
     return KMeans(k=k, maxIter=100, tol=0.0, seed=seed, featuresCol="__f", predictionCol="cluster").fit(x)
 
 
+def _different(x: DataFrame, enough: int) -> int:
+    """The number of different vectors, counted up to ``enough``."""
+    return x.select(vector_to_array("__f").alias("f")).distinct().limit(enough).count()
+
+
 def k_means(rows: DataFrame, columns: list[str] | str, k: int, seed: int = 7) -> DataFrame:
-    """``rows`` with ``cluster``: Lloyd's algorithm, at most 100 rounds, from k-means|| with a seed."""
+    """``rows`` with ``cluster``: Lloyd's algorithm, at most 100 rounds, from k-means|| with a seed; no more clusters than different rows."""
     x = _with_vector(rows, columns)
+    k = min(k, _different(x, k))
+    if k < 2:
+        return x.drop("__f").withColumn("cluster", F.lit(0))
     return _fit(x, k, seed).transform(x).drop("__f")
 
 
@@ -151,8 +159,13 @@ def graph_ks(n: int) -> range:
 
 
 def auto_k(rows: DataFrame, columns: list[str] | str, ks: Iterable[int], seed: int = 7, sample: int = 500) -> tuple[int, DataFrame]:
-    """The k of the best silhouette and its clusters; every k of ``ks`` is fitted to all rows, the silhouettes share one sample."""
+    """The k of the best silhouette and its clusters; every k of ``ks`` is fitted to all rows, the silhouettes share one sample.
+    There are no more clusters than different rows."""
     x = Stage(_with_vector(rows, columns)).df
+    most = _different(x, max(ks))
+    if most < 2:
+        return 1, x.drop("__f").withColumn("cluster", F.lit(0))
+    ks = sorted({min(k, most) for k in ks})
     some = Stage(_sample(x.select("__f"), sample)).df
     best = None
     for k in ks:

@@ -40,3 +40,11 @@ def test_vectors_of_every_model(spark, monkeypatch):
     assert sorted((r["model"], r["uuid"]) for r in got) == sorted((m, u) for u, m, _, _ in vectors)
     for m in cl.MODELS:  # six heaps, and none of them is cut
         assert len({r["cluster"] for r in got if r["model"] == m}) == len({(r["cluster"], int(r["uuid"][1:]) % 6) for r in got if r["model"] == m}) == 6
+
+
+def test_fewer_rows_than_clusters(spark):
+    df = spark.createDataFrame([(i, float(i % 3), 1.0) for i in range(9)], "i int, x double, y double")
+    k, t = cl.auto_k(df, ["x", "y"], range(5, 9))
+    assert k == 3 and len({r["cluster"] for r in t.collect()}) == 3 and cl.k_means(df, ["x", "y"], 5).count() == 9
+    same = df.where("x = 0")
+    assert cl.auto_k(same, ["x", "y"], range(2, 4))[0] == 1 and {r["cluster"] for r in cl.k_means(same, ["x", "y"], 4).collect()} == {0}
